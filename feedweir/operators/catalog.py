@@ -55,7 +55,7 @@ def resolve_sources(submitted: DataFrame, sources: DataFrame, aliases: DataFrame
 
     Three keyed projections and one equi-join replace an OR over three columns, which would plan as a nested loop.
     """
-    hashed = submitted.withColumn("_url", canonical_url("url")).withColumn(
+    hashed = submitted.select("id", "url").withColumn("_url", canonical_url("url")).withColumn(
         "hash", F.when(is_http_url("_url"), url_hash("_url"))
     )
     return hashed.join(source_keys(sources, aliases), "hash", "left").select(

@@ -4,7 +4,7 @@ import importlib
 
 from feedweir.plans.registry import ORACLES, QUERIES, bound
 
-MODULES = ["q_catalog"]
+MODULES = ["q_catalog", "q_text", "q_articles"]
 
 for _name in MODULES:
     importlib.import_module(f"feedweir.plans.{_name}")
