@@ -56,8 +56,8 @@ def normalize_batch_stats(v):
     return A.normalize_batch_stats(items(v))
 
 
-# a third of the canonical URLs is already stored
-STORED = "SELECT canonical_url_hash, content_hash FROM normalized WHERE pos % 3 = 1"
+# the items without a guid were stored by an earlier run
+STORED = "SELECT canonical_url_hash, content_hash FROM normalized WHERE external_id IS NULL"
 DETECT = f"""{NORMAL}, stored AS ({STORED}),
     u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY canonical_url_hash ORDER BY pos) AS rn FROM normalized) x
         WHERE rn = 1 AND canonical_url_hash NOT IN (SELECT canonical_url_hash FROM stored)),
@@ -67,7 +67,7 @@ DETECT = f"""{NORMAL}, stored AS ({STORED}),
 
 def detected(v):
     normalized = A.normalize_articles(items(v))
-    stored = normalized.where("pos % 3 = 1").select("canonical_url_hash", "content_hash")
+    stored = normalized.where("external_id IS NULL").select("canonical_url_hash", "content_hash")
     return normalized, A.detect_new_articles(normalized, stored, "pos")
 
 
@@ -90,19 +90,19 @@ def detect_stats(v):
     return A.detect_stats(normalized, new)
 
 
-# page metadata as the enrichment operators receive it: known for two thirds of the articles
-META = """SELECT canonical_url_hash, 'Page title of ' || CAST(id AS STRING) AS title,
+# page metadata as the enrichment operators receive it
+META = """SELECT canonical_url_hash, CASE WHEN id % 7 <> 2 THEN 'Page title of ' || CAST(id AS STRING) END AS title,
         CASE id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'https://cdn.example.org/profile/' || CAST(id AS STRING) || '.png'
             ELSE 'https://cdn.example.org/page/' || CAST(id AS STRING) || '.png' END AS image_url,
         CASE WHEN id % 5 = 0 THEN NULL ELSE 'Description of the page number ' || CAST(id AS STRING) END AS description
-    FROM v_articles WHERE id % 3 < 2"""
+    FROM v_articles"""
 
 
 def metadata(v):
     n = F.col("id").cast("string")
-    return v.articles.where("id % 3 < 2").select(
+    return v.articles.select(
         "canonical_url_hash",
-        F.concat(F.lit("Page title of "), n).alias("title"),
+        F.when(F.col("id") % 7 != 2, F.concat(F.lit("Page title of "), n)).alias("title"),
         F.when(F.col("id") % 4 == 0, None)
         .when(F.col("id") % 4 == 1, F.concat(F.lit("https://cdn.example.org/profile/"), n, F.lit(".png")))
         .otherwise(F.concat(F.lit("https://cdn.example.org/page/"), n, F.lit(".png")))
@@ -182,8 +182,8 @@ def fresh_sources(v):
 
 @query(
     "serve_preview",
-    f"""WITH fresh AS ({FRESH}), cached AS (SELECT source_id, least(count(*), 12) AS n_cached FROM v_articles WHERE source_id % 4 <> 3 GROUP BY 1),
-        live AS (SELECT doc_id % 20 AS source_id, count(*) AS n_live FROM v_docs WHERE doc_id % 20 < 15 GROUP BY 1),
+    f"""WITH fresh AS ({FRESH}), cached AS (SELECT source_id, least(count(*), 12) AS n_cached FROM v_articles GROUP BY 1),
+        live AS (SELECT doc_id % 20 AS source_id, count(*) AS n_live FROM v_docs GROUP BY 1),
         j AS (SELECT r.id AS request_id, r.source_id, n_live, n_cached, CASE WHEN n_cached > 0 AND f.source_id IS NOT NULL THEN 'fresh'
             WHEN n_live > 0 THEN 'live' WHEN n_cached > 0 THEN 'stale_fallback' ELSE 'failed' END AS cache_mode
             FROM v_generations r LEFT JOIN cached c ON c.source_id = r.source_id LEFT JOIN fresh f ON f.source_id = r.source_id
@@ -193,8 +193,8 @@ def fresh_sources(v):
 )
 def serve_preview(v):
     requests = v.generations.select(F.col("id").alias("request_id"), "source_id")
-    cached = A.preview_items(v.articles.where("source_id % 4 <> 3"))
-    live = v.docs.select((F.col("doc_id") % 20).alias("source_id")).where("source_id < 15")
+    cached = A.preview_items(v.articles)
+    live = v.docs.select((F.col("doc_id") % 20).alias("source_id"))
     fresh = A.fresh_sources(v.sources, v.articles, now_column())
     return A.serve_preview(requests, cached, fresh, live)
 

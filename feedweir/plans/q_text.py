@@ -67,13 +67,11 @@ def parse_dates(v):
     return v.table("orders").select(F.col("o_orderkey").alias("id"), text.parse_date(spelled).alias("published_at"))
 
 
-@query("repair_utf8", "SELECT doc_id AS id, text || ' end' AS text FROM v_docs WHERE strlen(text) < 20000")
+@query("repair_utf8", "SELECT doc_id AS id, text || ' end' AS text FROM v_docs")
 def repair_utf8(v):
     """Documents with a broken byte spliced in come back as written."""
     broken = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("D1")), F.encode(F.lit(" end"), "UTF-8"))
-    return v.docs.where(F.octet_length("text") < 20000).select(
-        F.col("doc_id").alias("id"), text.repair_utf8(broken, S.SNAPSHOT_BYTES).alias("text")
-    )
+    return v.docs.select(F.col("doc_id").alias("id"), text.repair_utf8(broken).alias("text"))
 
 
 TITLE = "lower(trim(split_part(text, chr(10), 1)))"

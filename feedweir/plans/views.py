@@ -82,7 +82,7 @@ VIEWS: dict[str, str] = {
                     ELSE 'https://office.com/' END || CAST(c_custkey % 40 AS STRING)
                 ELSE CASE WHEN c_custkey % 6 = 0 THEN 'not an address' ELSE 'user' || CAST(c_custkey % 40 AS STRING)
                     || '@example.com' END END AS target,
-            c_acctbal > 0 AS is_active, c_nationkey % 3 <> 1 AS translate_enabled,
+            c_acctbal > 0 AND (c_custkey % {N_SOURCES}) % 3 <> 1 AS is_active, c_nationkey % 3 <> 1 AS translate_enabled,
             CASE WHEN c_nationkey % 4 <> 3 THEN {LANGS.format(x="c_nationkey")} END AS translate_language,
             CASE WHEN c_custkey % 3 = 0 THEN {NOW} - (c_custkey % 50) * {DAY} END AS last_delivered_at,
             {NOW} - (c_custkey * 7 % 5000) * {MINUTE} AS created_at
@@ -167,7 +167,7 @@ VIEWS: dict[str, str] = {
                 WHEN 1 THEN '{{{{"article_selector": "//div", "title_xpath": " ", "link_xpath": ".//a/@href"}}}}'
                 WHEN 2 THEN '{{{{"source_type": "rss"}}}}' ELSE '{{{{"article_xpath": "//li", "title_selector": ".//h3"}}}}' END AS schema_payload,
             CAST(p_size AS DOUBLE) AS confidence_score, CASE WHEN p_size % 3 > 0 THEN CAST(p_size AS DOUBLE) END AS validation_score,
-            p_partkey % 5 = 0 AS is_active, p_partkey % 7 = 1 AS is_shadow,
+            (p_partkey + CAST(floor(p_partkey / {N_SOURCES}) AS BIGINT)) % 4 = 0 AS is_active, p_partkey % 89 = 1 AS is_shadow,
             CASE WHEN p_size % 6 = 0 THEN NULL ELSE {NOW} - (p_partkey * 31 % 2000) * {MINUTE} END AS last_validated_at
         FROM {{part}}""",
     "v_validations": f"""

@@ -89,6 +89,8 @@ def main(argv):
             n, error = compare(con, spark, sf_dir, queries[name], oracles.get(name))
         except Exception as e:  # report and go on
             n, error = -1, f"{type(e).__name__}: {e}"[:1500]
+            if "database has been invalidated" in error or "INTERNAL" in error:
+                con = connect(sf_dir)
         kind = "sql" if name in oracles else "rows"
         print(f"{'ok ' if error is None else 'BAD'} {name} {kind} rows={n} {time.time() - start:.1f}s", flush=True)
         if error:
