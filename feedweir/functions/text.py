@@ -54,9 +54,11 @@ def decode_entities(value: Column | str) -> Column:
             .otherwise(F.concat(text, rest))
         )
 
-    text = col(value)
-    return F.when(~F.contains(text, F.lit("&")), text).otherwise(
-        F.array_join(F.transform(F.split(text, "&"), piece), "")
+    return let(
+        col(value),
+        lambda text: F.when(~F.contains(text, F.lit("&")), text).otherwise(
+            F.array_join(F.transform(F.split(text, "&"), piece), "")
+        ),
     )
 
 
@@ -77,20 +79,21 @@ def clean_text(value: Column | str) -> Column:
 
 
 def truncate_text(value: Column | str, limit: int, ellipsis: str = "...") -> Column:
-    text = col(value)
-    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit))), F.lit(ellipsis))).otherwise(
-        text
+    return let(
+        col(value),
+        lambda text: F.when(
+            F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit))), F.lit(ellipsis))
+        ).otherwise(text),
     )
 
 
 def title_or_default(value: Column | str, default: str = S.DEFAULT_TITLE) -> Column:
-    return truncate_text(
-        F.coalesce(blank_to_null(clean_text(F.coalesce(col(value), F.lit("")))), F.lit(default)), S.TITLE_LIMIT
-    )
+    clean = clean_text(F.coalesce(col(value), F.lit("")))
+    return let(clean, lambda t: truncate_text(F.when(t == "", F.lit(default)).otherwise(t), S.TITLE_LIMIT))
 
 
 def nullable_summary(value: Column | str) -> Column:
-    return truncate_text(blank_to_null(clean_text(value)), S.SUMMARY_LIMIT)
+    return let(clean_text(value), lambda t: truncate_text(F.when(t != "", t), S.SUMMARY_LIMIT))
 
 
 def clean_summary(value: Column | str) -> Column:

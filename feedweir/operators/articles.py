@@ -50,8 +50,9 @@ def normalize_articles(items: DataFrame) -> DataFrame:
         F.coalesce(iso_date(F.col("published_at")), F.lit("")),
         F.coalesce("external_id", F.lit("")),
     )
-    return named.withColumn("canonical_url_hash", url_hash("canonical_url")).withColumn(
-        "content_hash", F.sha2(F.lower(content), 256)
+    # never null here; saying so keeps joins from re-evaluating the URL in an inferred null filter
+    return named.withColumn("canonical_url_hash", F.coalesce(url_hash("canonical_url"), F.lit(""))).withColumn(
+        "content_hash", F.coalesce(F.sha2(F.lower(content), 256), F.lit(""))
     )
 
 
@@ -77,11 +78,11 @@ def detect_new_articles(normalized: DataFrame, articles: DataFrame, order: str)
     First row per URL hash, minus stored URL hashes, then the same on content hashes: four equi-keyed steps, each cut
     down before its shuffle, in place of an OR anti-join.
     """
-    fresh = normalized.where(valid_normalized())
+    fresh = normalized.withColumn("_invalid", ~valid_normalized())
     for key in ("canonical_url_hash", "content_hash"):
-        fresh = top_per_key(fresh, [key], [F.col(order).asc()], 1).drop("rn")
-        fresh = fresh.join(articles.select(key), key, "left_anti")
-    return fresh
+        fresh = top_per_key(fresh, [key], [F.col("_invalid").asc(), F.col(order).asc()], 1).drop("rn")
+        fresh = fresh.where("NOT _invalid").join(articles.select(key), key, "left_anti")
+    return fresh.drop("_invalid")
 
 
 def detect_stats(normalized: DataFrame, new_articles: DataFrame) -> DataFrame:

@@ -151,9 +151,9 @@ _SECTION = "'{\"type\":\"section\",\"text\":{\"type\":\"mrkdwn\",\"text\":' || "
 
 @query(
     "message_payloads",
-    f"""WITH m AS (SELECT d.id AS delivery_id, d.channel, s.target, a.title, coalesce(a.summary, '') AS body, a.canonical_url AS url,
+    f"""WITH m AS (SELECT d.id AS delivery_id, s.channel, s.target, a.title, coalesce(a.summary, '') AS body, a.canonical_url AS url,
             nullif(a.image_url, '') AS img FROM v_deliveries d JOIN v_articles a ON a.id = d.article_id
-            JOIN v_subscriptions s ON s.id = d.subscription_id WHERE d.channel IN ({REALTIME}))
+            JOIN v_subscriptions s ON s.id = d.subscription_id WHERE s.channel IN ({REALTIME}))
         SELECT delivery_id, channel, CASE channel
             WHEN 'telegram' THEN '{{"chat_id":' || {_js('target')} || CASE WHEN img IS NOT NULL
                 THEN ',"photo":' || {_js('img')} || ',"caption":' || {_js(f'left({_MSG}, 1024)')} || '}}'
