@@ -17,6 +17,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def apply(body: str, *values: Column | str) -> Column:
+    """Evaluate a SQL lambda such as ``u -> upper(u)`` on a column.
+
+    With several values the lambda receives one struct with the fields a, b, … . Large expressions are written as SQL
+    text: they parse in one step, where building them call by call takes seconds of driver time.
+    """
+    cols = [col(v) for v in values]
+    arg = cols[0] if len(cols) == 1 else F.struct(*[c.alias(chr(97 + i)) for i, c in enumerate(cols)])
+    return F.element_at(F.call_function("transform", F.array(arg), F.expr(body)), 1)
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL text: evaluate ``value`` once under ``name`` inside ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def blank_to_null(value: Column | str) -> Column:
     return F.nullif(col(value), F.lit(""))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
-from feedweir.functions.core import col, let, sha256_ci
+from feedweir.functions.core import apply, col, let_sql, sha256_ci
 
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+\-.]*://"
 PARTS = r"(?s)^([a-zA-Z][a-zA-Z0-9+\-.]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(?:#.*)?$"
@@ -28,10 +28,6 @@ def php_trim(value: Column | str) -> Column:
     return F.regexp_replace(col(value), r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
 
 
-def has_scheme(value: Column) -> Column:
-    return value.rlike(SCHEME)
-
-
 def url_authority(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, PARTS, 2), USERINFO, "")
 
@@ -55,124 +51,71 @@ def url_origin(url: Column | str) -> Column:
     return F.concat(F.regexp_extract(u, PARTS, 1), F.lit("://"), F.coalesce(url_host(u), F.lit("")))
 
 
-def _decode(value: Column) -> Column:
-    return F.coalesce(F.try_url_decode(value), value)
-
-
-def _encode(value: Column) -> Column:
-    encoded = F.url_encode(value)
-    for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
-        encoded = F.replace(encoded, F.lit(old), F.lit(new))
-    return encoded
-
-
-def _tracking(key: Column) -> Column:
-    name = F.lower(F.trim(key))
-    return F.startswith(name, F.lit(S.TRACKING_PREFIX)) | name.isin(S.TRACKING_KEYS)
-
-
-def canonical_query(query: Column) -> Column:
-    """``?a=1&b`` → sorted, de-duplicated (last wins), tracking-free and RFC 3986 encoded."""
-    pieces = F.filter(F.split(F.substring(query, 2, 2_000_000), "&"), lambda p: p != "")
-    pairs = F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.translate(F.ltrim(_decode(F.substring_index(p, "=", 1))), ". ", "__").alias("k"),
-            _decode(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, r"^[^=]*=", "")).otherwise(F.lit("")))
-            .alias("v"),
-        ),
-    )
-    kept = let(
-        pairs,
-        lambda kvs: F.filter(
-            kvs,
-            lambda kv, i: (kv["k"] != "")
-            & ~kv["k"].rlike(r"^(0|-?[1-9][0-9]*)$")
-            & ~_tracking(kv["k"])
-            & ~F.exists(F.slice(kvs, i + 2, F.size(kvs)), lambda later: later["k"] == kv["k"]),
-        ),
-    )
-    joined = F.concat_ws(
-        "&",
-        F.transform(F.array_sort(kept), lambda kv: F.concat(_encode(kv["k"]), F.lit("="), _encode(kv["v"]))),
-    )
-    return F.when(F.length(query) <= 1, F.lit("")).otherwise(
-        let(joined, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
-    )
-
-
-def _rebuild(url: Column) -> Column:
-    """Canonical form of a URL that carries a scheme; returned untouched when it has no usable host."""
-
-    def assemble(p: Column) -> Column:
-        scheme = F.lower(p["scheme"])
-        host = F.rtrim(F.lower(F.regexp_replace(p["auth"], PORT, "")), F.lit("."))
-        number = F.regexp_extract(p["auth"], PORT, 1)
-        port = F.regexp_replace(number, r"^0+(?=\d)", "")
-        default_port = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-        path = F.regexp_replace(F.regexp_replace(p["path"], "/+", "/"), "/$", "")
-        return F.when(
-            (F.regexp_replace(p["auth"], PORT, "") == "") | p["auth"].rlike(BAD_PORT), url
-        ).otherwise(
-            F.concat(
-                scheme,
-                F.lit("://"),
-                host,
-                F.when((port == "") | default_port, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
-                F.when(path == "", F.lit("/")).otherwise(path),
-                F.when(p["query"] == "", F.lit("")).otherwise(canonical_query(p["query"])),
-            )
-        )
-
-    parts = F.struct(
-        F.regexp_extract(url, PARTS, 1).alias("scheme"),
-        url_authority(url).alias("auth"),
-        F.regexp_extract(url, PARTS, 3).alias("path"),
-        F.regexp_extract(url, PARTS, 4).alias("query"),
-    )
-    return let(parts, assemble)
+# --- SQL text of the canonical form ------------------------------------------------------------------
+def _trim(x: str) -> str:
+    return rf"regexp_replace({x}, r'^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$', '')"
+
+
+def _plain(x: str) -> str:
+    return f"coalesce(try_url_decode({x}), {x})"
+
+
+def _encode(x: str) -> str:
+    return f"replace(replace(replace(url_encode({x}), '+', '%20'), '*', '%2A'), '%7E', '~')"
+
+
+TRACKED = ", ".join(f"'{k}'" for k in S.TRACKING_KEYS)
+TRACKING = f"(startswith(lower(trim(kv.k)), '{S.TRACKING_PREFIX}') OR lower(trim(kv.k)) IN ({TRACKED}))"
+PAIRS = f"""transform(filter(split(substring(p.q, 2), '&'), s -> s <> ''), s -> named_struct(
+    'k', translate(ltrim({_plain("substring_index(s, '=', 1)")}), '. ', '__'),
+    'v', {_plain("CASE WHEN contains(s, '=') THEN regexp_replace(s, r'^[^=]*=', '') ELSE '' END")}))"""
+KEPT = f"""filter(kvs, (kv, i) -> kv.k <> '' AND NOT kv.k RLIKE r'^(0|-?[1-9][0-9]*)$' AND NOT {TRACKING}
+    AND NOT exists(slice(kvs, i + 2, size(kvs)), later -> later.k = kv.k))"""
+ENCODED = f"array_join(transform(array_sort({KEPT}), kv -> concat({_encode('kv.k')}, '=', {_encode('kv.v')})), '&')"
+# ``?a=1&b`` → sorted, de-duplicated (last wins), tracking-free and RFC 3986 encoded
+QUERY = let_sql(let_sql(PAIRS, "kvs", ENCODED), "e", "CASE WHEN e = '' THEN '' ELSE concat('?', e) END")
+PORTLESS = f"regexp_replace(p.h, r'{PORT}', '')"
+CANONICAL_PATH = "regexp_replace(regexp_replace(p.f, '/+', '/'), '/$', '')"
+NUMBER = rf"regexp_replace(regexp_extract(p.h, r'{PORT}', 1), r'^0+(?=\d)', '')"
+STANDARD_PORT = "(n = '' OR (lower(p.s) = 'http' AND n = '80') OR (lower(p.s) = 'https' AND n = '443'))"
+REBUILT = f"""CASE WHEN {PORTLESS} = '' OR p.h RLIKE r'{BAD_PORT}' THEN w
+    ELSE concat(lower(p.s), '://', rtrim('.', lower({PORTLESS})),
+        {let_sql(NUMBER, 'n', f"CASE WHEN {STANDARD_PORT} THEN '' ELSE concat(':', n) END")},
+        {let_sql(CANONICAL_PATH, 'c', "CASE WHEN c = '' THEN '/' ELSE c END")},
+        CASE WHEN length(p.q) <= 1 THEN '' ELSE {QUERY} END) END"""
+SPLIT = f"""named_struct('s', regexp_extract(w, r'{PARTS}', 1),
+    'h', regexp_replace(regexp_extract(w, r'{PARTS}', 2), r'{USERINFO}', ''),
+    'f', regexp_extract(w, r'{PARTS}', 3), 'q', regexp_extract(w, r'{PARTS}', 4))"""
+WITH_SCHEME = f"CASE WHEN v RLIKE r'{SCHEME}' THEN v ELSE concat('https://', v) END"
+
+
+def canonical_sql(x: str) -> str:
+    return let_sql(_trim(x), "v", f"CASE WHEN v = '' THEN v ELSE {let_sql(WITH_SCHEME, 'w', let_sql(SPLIT, 'p', REBUILT))} END")
 
 
 def canonical_url(value: Column | str) -> Column:
     """Canonical URL: one spelling per resource."""
-    trimmed = php_trim(value)
-    return let(
-        trimmed,
-        lambda v: F.when(v == "", v).otherwise(
-            let(F.when(has_scheme(v), v).otherwise(F.concat(F.lit("https://"), v)), _rebuild)
-        ),
-    )
-
-
-def _collapse_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments."""
-    segments = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
-    resolved = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
-            F.array_append(acc, s)
-        ),
-    )
-    return F.concat(F.lit("/"), F.array_join(resolved, "/"))
+    return apply(f"u -> {canonical_sql('u')}", value)
+
+
+# href ``c`` against canonical base ``b``
+ORIGIN = r"regexp_extract(b, r'^([a-zA-Z][a-zA-Z0-9+\-.]*://[^/?#]*)', 1)"
+DIRECTORY = f"regexp_replace(regexp_extract(b, r'{PARTS}', 3), r'[^/]*$', '')"
+UNDOTTED = """concat('/', array_join(aggregate(filter(split(concat(DIR, c), '/'), s -> s <> '' AND s <> '.'), cast(array() AS array<string>),
+    (acc, s) -> CASE WHEN s = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) ELSE array_append(acc, s) END), '/'))""".replace(
+    "DIR", DIRECTORY
+)
+RESOLVED = f"""CASE WHEN c = '' THEN b
+    WHEN c RLIKE r'{SCHEME}' OR regexp_extract(b, r'{PARTS}', 2) = '' THEN c
+    WHEN startswith(c, '//') THEN concat(regexp_extract(b, r'{PARTS}', 1), ':', c)
+    WHEN startswith(c, '/') THEN concat({ORIGIN}, c)
+    ELSE concat({ORIGIN}, {UNDOTTED}) END"""
+ABSOLUTE = let_sql(_trim("x.a"), "c", let_sql(canonical_sql("x.b"), "b", let_sql(RESOLVED, "r", canonical_sql("r"))))
 
 
 def absolute_url(href: Column | str, base: Column | str) -> Column:
     """Resolve ``href`` against ``base`` and canonicalise the result."""
-
-    def raw(c: Column, b: Column) -> Column:
-        origin = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+\-.]*://[^/?#]*)", 1)
-        directory = F.regexp_replace(url_path(b), r"[^/]*$", "")
-        return (
-            F.when(c == "", b)
-            .when(has_scheme(c) | (F.coalesce(url_host(b), F.lit("")) == ""), c)
-            .when(F.startswith(c, F.lit("//")), F.concat(F.regexp_extract(b, PARTS, 1), F.lit(":"), c))
-            .when(F.startswith(c, F.lit("/")), F.concat(origin, c))
-            .otherwise(F.concat(origin, _collapse_dots(F.concat(directory, c))))
-        )
-
-    pair = F.struct(php_trim(href).alias("c"), canonical_url(base).alias("b"))
-    return let(pair, lambda p: canonical_url(raw(p["c"], p["b"])))
+    return apply(f"x -> {ABSOLUTE}", href, base)
 
 
 def is_http_url(url: Column | str) -> Column:

@@ -225,8 +225,14 @@ def parsed(payloads: DataFrame, kinds: list[str] | None = None, cap: bool = True
 
 
 def item_rows(parsed_payloads: DataFrame, *extra: str) -> DataFrame:
-    return parsed_payloads.select("payload_id", *extra, F.posexplode("items").alias("pos", "i")).select(
-        "payload_id", *extra, "pos", "i.*"
+    """One row per item.
+
+    The outer explode keeps the optimizer from adding a ``size(items) > 0`` filter below, which would parse twice.
+    """
+    return (
+        parsed_payloads.select("payload_id", *extra, F.posexplode_outer("items").alias("pos", "i"))
+        .where("pos IS NOT NULL")
+        .select("payload_id", *extra, "pos", "i.*")
     )
 
 

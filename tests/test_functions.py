@@ -68,6 +68,7 @@ def test_clean_text(one):
         "x<!-- c -->y": "xy",
         "0": "",
         "&#x1F600;": "😀",
+        "&bsol;&mdash;&CounterClockwiseContourIntegral;&Tab;x": "\\—∳ x",
     }
     assert one(text.clean_text, list(cases)) == list(cases.values())
 
