@@ -4,7 +4,7 @@ import importlib
 
 from feedweir.plans.registry import ORACLES, QUERIES, bound
 
-MODULES = ["q_catalog", "q_text", "q_articles", "q_crawl", "q_polling", "q_schemas", "q_delivery", "q_reports", "q_feeds", "q_pages"]
+MODULES = ["q_catalog", "q_text", "q_articles", "q_crawl", "q_polling", "q_schemas", "q_delivery", "q_reports", "q_feeds", "q_pages", "q_streaming"]
 
 for _name in MODULES:
     importlib.import_module(f"feedweir.plans.{_name}")

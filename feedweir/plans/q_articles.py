@@ -25,7 +25,7 @@ ITEMS_DB = ITEMS.replace("{documents}", "documents")
 
 
 def items(v):
-    return v.spark.sql(ITEMS.replace("{documents}", f"parquet.`{v.dir}/documents.parquet`"))
+    return v.sql(ITEMS.replace("{documents}", f"parquet.`{v.dir}/documents.parquet`"))
 
 
 def _title(x):

@@ -154,7 +154,7 @@ def pattern_validation(v):
 @query(
     "schema_extract_items",
     f"""WITH a AS (SELECT page_id, url AS base, g - 1 AS pos, regexp_extract(ms[g], 'href="([^"]*)"', 1) AS href,
-            regexp_extract(ms[g], '>([^<]*)', 1) AS raw FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*') AS ms FROM v_pages) x,
+            regexp_extract(ms[g], 'href="[^"]*">([^<]*)', 1) AS raw FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*') AS ms FROM v_pages) x,
             unnest(range(1, len(ms) + 1)) AS u(g)),
         b AS (SELECT page_id, base, pos, {absolute('href', 'base')} AS url, {clean('raw')} AS title FROM a),
         c AS (SELECT * FROM b WHERE length(lower(trim(title))) BETWEEN 12 AND 220 AND NOT {any_of('lower(title)', S.FEED_TITLE_BLOCKED)}),

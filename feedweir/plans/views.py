@@ -270,12 +270,31 @@ class Views:
     """Entity views of one data folder as DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = prepare(spark), sf_dir
+        self.spark, self.dir, self._stream = prepare(spark), sf_dir, None
 
     def __getattr__(self, name: str) -> DataFrame:
         if f"v_{name}" not in VIEWS:
             raise AttributeError(name)
-        return self.spark.sql(_render(VIEWS[f"v_{name}"], self.dir))
+        return self.sql(_render(VIEWS[f"v_{name}"], self.dir))
+
+    def streaming(self, table: str) -> Views:
+        """The same views with one sample table read as a stream."""
+        other = Views(self.spark, self.dir)
+        other._stream = table
+        return other
+
+    def sql(self, text: str) -> DataFrame:
+        if self._stream is None:
+            return self.spark.sql(text)
+        from feedweir.sources.tables import SAMPLE_TABLES
+        from feedweir.streaming.jobs import read_stream
+
+        stream = read_stream(self.spark, self.dir, f"{self._stream}.parquet", SAMPLE_TABLES[self._stream])
+        name = f"parquet.`{self.dir}/{self._stream}.parquet`"
+        view = f"feedweir_stream_{self._stream}"
+        stream.createOrReplaceTempView(view)
+        # inside a scalar subquery (row counts that scale the keys) the table stays a batch table
+        return self.spark.sql(text.replace(f"FROM {name}", f"FROM {view}").replace(f"SELECT count(*) FROM {view}", f"SELECT count(*) FROM {name}"))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
