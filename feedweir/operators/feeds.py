@@ -14,6 +14,7 @@ from feedweir.functions.core import blank_to_null, col, let, sha256_ci
 from feedweir.functions.images import feed_image_or_null
 from feedweir.functions.text import clean_summary, clean_text, parse_date, strip_tags, truncate_text
 from feedweir.functions.urls import absolute_url, php_trim, url_hash
+from feedweir.session import stage
 
 ITEM = "struct<url:string,title:string,external_id:string,summary:string,image_url:string,published_at:timestamp>"
 
@@ -277,7 +278,7 @@ def fallback_candidate_items(payloads: DataFrame, candidates: DataFrame) -> Data
 
     ``candidates`` holds payload_id, rank, url and type; alternatives are looked up in the payload table by URL.
     """
-    own = parsed(payloads)
+    own = stage(parsed(payloads).select("payload_id", "final_url", "items"), "parsed")
     empty = own.where(F.size("items") == 0).select("payload_id")
     feeds = own.where(F.size("items") > 0).select(url_hash("final_url").alias("_hash"), F.col("final_url").alias("candidate_url"), "items")
     wanted = candidates.where(F.col("type").isin(S.FEED_TYPES)).join(empty, "payload_id", "left_semi").withColumn(

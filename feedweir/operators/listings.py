@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
@@ -183,7 +184,7 @@ def detect_listing_patterns(shredded: DataFrame) -> DataFrame:
     patterns = detect_patterns(card_fields(shredded))
     checked = pattern_validation(shredded, patterns)
     return patterns.join(checked.where("accepted"), "page_id").select(
-        "page_id", "signature", "items", "valid_items", "score", F.round("confidence", 2).alias("confidence")
+        "page_id", "signature", "items", "valid_items", "score", F.round(F.round("confidence", 9), 2).alias("confidence")
     )
 
 
@@ -228,7 +229,7 @@ def schema_extract_items(shredded: DataFrame, rules: DataFrame) -> DataFrame:
         .agg(F.min("pos").alias("pos"), F.max_by(F.struct(*values), F.col("pos")).alias("_v"))
         .select("page_id", "pos", "_v.*")
     )
-    return score_article_candidates(once, "page_id")
+    return score_article_candidates(once, "page_id", bounded=True)
 
 
 def candidate_score(url: Column, source_url: Column, title: Column, summary: Column, published: Column) -> Column:
@@ -264,13 +265,20 @@ def candidate_score(url: Column, source_url: Column, title: Column, summary: Col
     )
 
 
-def score_article_candidates(items: DataFrame, key: str) -> DataFrame:
-    """Keep items scoring at least 2; where a listing has none, keep all of it."""
+def score_article_candidates(items: DataFrame, key: str, bounded: bool = False) -> DataFrame:
+    """Keep items scoring at least 2; where a listing has none, keep all of it.
+
+    ``bounded`` says that a key is one page, whose few items fit a window; other keys get their best score from an
+    aggregate that is joined back.
+    """
     scored = items.withColumn(
         "score", candidate_score(F.col("url"), F.col("source_url"), F.col("title"), F.col("summary"), F.col("published_at"))
     )
-    best = scored.groupBy(key).agg(F.max("score").alias("_best"))
-    return scored.join(best, key).where(
+    if bounded:
+        rated = scored.withColumn("_best", F.max("score").over(W.partitionBy(key)))
+    else:
+        rated = scored.join(scored.groupBy(key).agg(F.max("score").alias("_best")), key)
+    return rated.where(
         (F.col("score") >= S.CANDIDATE_MIN_SCORE) | (F.col("_best") < S.CANDIDATE_MIN_SCORE)
     ).drop("_best")
 

@@ -96,3 +96,31 @@ def payloads(docs: DataFrame) -> DataFrame:
         declared.alias("source_type"),
         body.alias("body"),
     )
+
+
+def listing_pages(docs: DataFrame) -> DataFrame:
+    """Listing page per document: feed announcements, page metadata and one card per line."""
+    doc = F.col("doc_id")
+    number = doc.cast("string")
+
+    def card(line: Column, i: Column) -> Column:
+        return F.concat(
+            _s("<article"), F.when(doc % 2 == 0, _s(" class=\"card news-card\"")).otherwise(_s(" class=\"item\"")), _s(">"),
+            F.when(i % 2 == 0, _s("<time datetime=\"2024-01-05\">5 Jan</time>")).otherwise(_s("")),
+            _s("<h2><a href=\"/story/"), number, _s("/"), _s(i), _s("\">"), _xml(line), _s("</a></h2><p>"), _xml(line), _s("</p>"),
+            F.when(i % 3 == 0, F.concat(_s("<img src=\"/img/"), _s(i), _s(".jpg\">"))).otherwise(_s("<img src=\"/img/avatar.jpg\">")),
+            _s("</article>"),
+        )
+
+    head = F.concat(
+        _s("<html><head><link rel=\"alternate\" type=\"application/rss+xml\" title=\"Feed\" href=\"https://feed.example.org/p/"), number,
+        _s("\"><meta property=\"og:description\" content=\"A description of the listing number "), number, _s("\">"),
+        F.when(doc % 3 == 0, F.concat(_s("<meta property=\"og:image\" content=\"https://cdn.example.org/lead/"), number, _s(".png\">"))).otherwise(_s("")),
+        _s("</head><body><a href=\"https://feed.example.org/p/"), number, _s("?format=rss.xml\" title=\"RSS feed\">Follow</a><main>"),
+    )
+    body = F.array_join(F.transform(F.split("text", "\n"), card), "")
+    return docs.select(
+        doc.alias("page_id"),
+        F.concat(F.lit("https://list.example.org/s/"), number).alias("url"),
+        F.concat(head, body, _s("</main></body></html>")).alias("html"),
+    )

@@ -10,7 +10,9 @@ from feedweir.operators import pages as P
 from feedweir.operators.partitioning import spread
 from feedweir.plans.oracle_parts import absolute, any_of, canon, clean, host, limit, path, quoted
 from feedweir.plans.q_feeds import RAW, corpus
+from feedweir.plans.payloads import listing_pages
 from feedweir.plans.registry import query
+from feedweir.session import stage
 from feedweir.sources.html import shred_pages
 
 
@@ -18,6 +20,27 @@ def shredded(v):
     return shred_pages(v.pages)
 
 
+def listing(v):
+    """Listing pages rendered from the documents, one card per line, shredded."""
+    return shred_pages(listing_pages(spread(v.docs)))
+
+
+CARDS_SQL = f"""raw AS (SELECT doc_id AS page_id, g - 1 AS i, string_split(text, chr(10))[g] AS line FROM v_docs,
+        unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(g)),
+    norm AS (SELECT *, {clean('line')} AS t, page_id % 2 = 0 AS classed, regexp_replace(regexp_replace(line, '[ \\t\\n\\r]+', ' ', 'g'), '^ | $', '', 'g') AS nrm FROM raw),
+    cards AS (SELECT page_id, i, t AS title, '/story/' || page_id || '/' || i AS href, i % 2 = 0 AS has_date, i % 3 = 0 AS has_image,
+            length(nrm) >= 40 AND NOT {any_of('lower(t)', S.LISTING_COPY_BLOCKED)} AS has_summary,
+            CASE WHEN classed THEN 'article:news-card' ELSE 'article' END AS signature, classed, nrm
+        FROM norm WHERE length(t) BETWEEN 12 AND 220 AND NOT {any_of('lower(t)', S.LISTING_COPY_BLOCKED)}),
+    pat AS (SELECT page_id, signature, classed, count(*) AS items, avg(has_date::INT) AS d, avg(has_summary::INT) AS s, avg(has_image::INT) AS m, avg(length(title)) AS tl
+        FROM cards GROUP BY ALL HAVING count(*) >= 3),
+    scored AS (SELECT *, CAST(items * 10 + round(d * 8) + round(s * 5) + round(m * 3) + CASE WHEN classed THEN 4 ELSE 0 END + round(least(4.0, tl / 32)) AS INT) AS score,
+        least(0.95::DOUBLE, 0.46::DOUBLE + least(0.24::DOUBLE, items * 0.035::DOUBLE) + d * 0.12::DOUBLE + s * 0.09::DOUBLE + m * 0.04::DOUBLE
+            + CASE WHEN classed THEN 0.08::DOUBLE ELSE 0 END) AS confidence FROM pat),
+    good AS (SELECT * FROM scored WHERE confidence >= 0.62),
+    valid AS (SELECT page_id, count(*) AS valid_items FROM cards WHERE (length(nrm) >= 40 AND NOT contains(lower(nrm), 'subscribe')) OR has_date GROUP BY 1)"""
+
+
 @query("page_nodes")
 def page_nodes(v):
     return P.page_nodes(shredded(v)).drop("attrs")
@@ -38,15 +61,22 @@ def link_candidates(v):
     return P.link_candidates(shredded(v))
 
 
-@query("feed_autodiscovery")
+@query(
+    "feed_autodiscovery",
+    """SELECT doc_id AS page_id, 'https://feed.example.org/p/' || doc_id AS url, 'rss' AS type, 'Feed' AS title, 0.87::DOUBLE AS confidence FROM v_docs""",
+)
 def feed_autodiscovery(v):
-    return P.feed_autodiscovery(shredded(v))
+    return P.feed_autodiscovery(listing(v))
 
 
-@query("feed_action_links")
+@query(
+    "feed_action_links",
+    """SELECT doc_id AS page_id, 'https://feed.example.org/p/' || doc_id || '?format=rss.xml' AS url, ['rss', 'atom', 'json_feed'][doc_id % 4 + 1] AS type,
+        CASE WHEN doc_id % 4 = 2 THEN 0.98::DOUBLE ELSE 0.99::DOUBLE END AS confidence FROM v_docs WHERE doc_id % 4 < 3""",
+)
 def feed_action_links(v):
-    types = feeds.sniff_payloads(corpus(v)).join(corpus(v).select("payload_id", F.col("final_url").alias("url")), "payload_id")
-    return P.feed_action_links(shredded(v), types)
+    types = feeds.sniff_payloads(corpus(v)).join(v.docs.select(F.col("doc_id").alias("payload_id"), F.concat(F.lit("https://feed.example.org/p/"), F.col("doc_id").cast("string"), F.lit("?format=rss.xml")).alias("url")), "payload_id")
+    return P.feed_action_links(listing(v), types).drop("pos")
 
 
 TYPE = """CASE WHEN contains(lower(url), 'atom') THEN 'atom' WHEN contains(lower(url), 'json') OR contains(lower(url), '.feed') THEN 'json_feed'
@@ -121,7 +151,7 @@ def apply_discovery(v):
 )
 def ingestion_probe(v):
     counts = feeds.parsed(corpus(v)).select(F.col("final_url").alias("url"), F.size("items").cast("bigint").alias("n_items"))
-    return discovery.ingestion_probe(v.sources.select(F.col("source_url").alias("requested_url")), ranked(v), counts.where("n_items > 0"))
+    return discovery.ingestion_probe(v.sources.select(F.col("source_url").alias("requested_url")), ranked(v), counts)
 
 
 @query(
@@ -135,19 +165,27 @@ def node_signatures(v):
     return listings.node_signatures(shredded(v)).groupBy("page_id", "signature").agg(F.count("*").alias("n"))
 
 
-@query("card_fields")
+@query("card_fields", f"WITH {CARDS_SQL} SELECT page_id, signature, title, href, has_date, has_summary, has_image FROM cards")
 def card_fields(v):
-    return listings.card_fields(shredded(v))
+    return listings.card_fields(listing(v)).select("page_id", "signature", "title", "href", "has_date", "has_summary", "has_image")
 
 
-@query("detect_listing_patterns")
+@query(
+    "detect_listing_patterns",
+    f"""WITH {CARDS_SQL} SELECT g.page_id, signature, items, valid_items, score, round(round(confidence, 9), 2) AS confidence FROM good g
+        JOIN valid v ON v.page_id = g.page_id WHERE valid_items >= greatest(3, least(5, items))""",
+)
 def detect_listing_patterns(v):
-    return listings.detect_listing_patterns(shredded(v))
+    return listings.detect_listing_patterns(stage(listing(v), "nodes"))
 
 
-@query("pattern_validation")
+@query(
+    "pattern_validation",
+    f"""WITH {CARDS_SQL} SELECT g.page_id, coalesce(valid_items, 0) AS valid_items, coalesce(valid_items, 0) >= greatest(3, least(5, items)) AS accepted
+        FROM good g LEFT JOIN valid v ON v.page_id = g.page_id""",
+)
 def pattern_validation(v):
-    pages = shredded(v)
+    pages = stage(listing(v), "nodes")
     return listings.pattern_validation(pages, listings.detect_patterns(listings.card_fields(pages)))
 
 
@@ -214,14 +252,21 @@ def page_titles(v):
     return P.page_titles(shredded(v))
 
 
-@query("page_descriptions")
+@query(
+    "page_descriptions",
+    "SELECT doc_id AS page_id, 'A description of the listing number ' || doc_id AS description FROM v_docs",
+)
 def page_descriptions(v):
-    return P.page_descriptions(shredded(v))
+    return P.page_descriptions(listing(v))
 
 
-@query("page_images")
+@query(
+    "page_images",
+    """SELECT doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN 'https://cdn.example.org/lead/' || doc_id || '.png' ELSE 'https://list.example.org/img/0.jpg' END AS image_url,
+        CASE WHEN doc_id % 3 = 0 THEN 100 ELSE 74 END AS score FROM v_docs""",
+)
 def page_images(v):
-    return P.page_images(shredded(v))
+    return P.page_images(listing(v))
 
 
 @query("page_metadata")
@@ -264,7 +309,7 @@ def markdown(v):
     """Documents as fetched Markdown: site title, byline, article, footer."""
     lead = F.concat(F.lit("# Site "), F.col("doc_id").cast("string"), F.lit("\nBy someone\n5 min read\n## Story\n"))
     tail = F.lit("\n![x](https://e.org/icon.png) ![y](https://e.org/fill/w_90/a.png) ![z](https://e.org/lead.png)\nShare\n## Comments\nbye")
-    return v.docs.select("doc_id", F.concat(lead, F.col("text"), tail).alias("markdown"))
+    return spread(v.docs).select("doc_id", F.concat(lead, F.col("text"), tail).alias("markdown"))
 
 
 @query(

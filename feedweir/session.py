@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     # every table stores UTC instants
@@ -37,6 +38,13 @@ def build_session(master: str | None = None, app_name: str = "feedweir", **conf:
     return builder.getOrCreate()
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that several branches read to the shared folder, so it is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediates and stream checkpoints.
 
