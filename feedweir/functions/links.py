@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from feedweir import settings as S
 from feedweir.functions.core import col, contains_any, let, starts_with_any
-from feedweir.functions.urls import absolute_url, php_trim, url_path
+from feedweir.functions.urls import absolute_url, trim_ascii, url_path
 
 MEDIA_PATH = rf"\.({'|'.join(S.HREF_EXTENSIONS_BLOCKED)})$"
 
 
 def likely_href(href: Column | str, base: Column | str) -> Column:
     """Rejects in-page, script, mail and phone links, media files and taxonomy paths."""
-    value = F.lower(php_trim(href))
+    value = F.lower(trim_ascii(href))
     target = let(
         F.lower(absolute_url(href, base)),
         lambda u: ~url_path(u).rlike(MEDIA_PATH) & ~contains_any(u, S.HREF_PATHS_BLOCKED),
@@ -23,4 +23,4 @@ def likely_href(href: Column | str, base: Column | str) -> Column:
 
 
 def blocked_listing_image(src: Column) -> Column:
-    return contains_any(F.lower(php_trim(col(src))), S.LISTING_IMAGE_BLOCKED)
+    return contains_any(F.lower(trim_ascii(col(src))), S.LISTING_IMAGE_BLOCKED)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedweir import settings as S
 from feedweir.functions.core import apply, blank_to_null, col, contains_any, let, let_sql
-from feedweir.functions.urls import php_trim
+from feedweir.functions.urls import trim_ascii
 
 SPACES = r"[\s\x{85}\p{Z}]+"
 COMMENT = r"(?s)<!--.*?(?:-->|$)"
@@ -171,29 +171,29 @@ def cut_utf8(value: Column, max_bytes: int) -> Column:
 
 # --- filters -----------------------------------------------------------------------------------------
 def likely_title(value: Column | str, blocked: list[str] = S.FEED_TITLE_BLOCKED) -> Column:
-    title = F.lower(php_trim(value))
+    title = F.lower(trim_ascii(value))
     return F.length(title).between(S.TITLE_MIN, S.TITLE_MAX) & ~contains_any(title, blocked)
 
 
 def likely_listing_title(value: Column | str) -> Column:
     title = col(value)
     return F.length(title).between(S.TITLE_MIN, S.TITLE_MAX) & ~contains_any(
-        F.lower(php_trim(title)), S.LISTING_COPY_BLOCKED
+        F.lower(trim_ascii(title)), S.LISTING_COPY_BLOCKED
     )
 
 
 def likely_summary(value: Column | str) -> Column:
-    summary = F.lower(php_trim(value))
+    summary = F.lower(trim_ascii(value))
     return (F.length(summary) >= S.SUMMARY_MIN) & ~contains_any(summary, S.FEED_SUMMARY_BLOCKED)
 
 
 # --- JSON, slugs -------------------------------------------------------------------------------------
 def extract_json_object(value: Column | str) -> Column:
     """JSON object text inside code fences or prose; null when it does not parse."""
-    raw = php_trim(value)
+    raw = trim_ascii(value)
     unfenced = F.when(
         F.startswith(raw, F.lit("```")),
-        php_trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")),
+        trim_ascii(F.regexp_replace(F.regexp_replace(raw, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")),
     ).otherwise(raw)
     braces = let(
         unfenced,

@@ -23,7 +23,7 @@ HTTP_URL = (
 )
 
 
-def php_trim(value: Column | str) -> Column:
+def trim_ascii(value: Column | str) -> Column:
     """Trim the ASCII whitespace set used for URLs and texts."""
     return F.regexp_replace(col(value), r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
 

@@ -16,7 +16,7 @@ from feedweir.functions.text import (
     title_or_default,
     truncate_text,
 )
-from feedweir.functions.urls import canonical_url, is_http_url, php_trim, url_hash
+from feedweir.functions.urls import canonical_url, is_http_url, trim_ascii, url_hash
 from feedweir.operators.partitioning import id_chunk, number_rows, top_per_key
 
 
@@ -254,9 +254,9 @@ def sanitize_preview(generations: DataFrame) -> DataFrame:
         truncate_text(
             F.coalesce(blank_to_null(clean_text("item.title")), F.lit(S.PREVIEW_DEFAULT_TITLE)), S.TITLE_LIMIT
         ).alias("title"),
-        F.when(php_trim(url) != "", url).otherwise(F.lit("#")).alias("url"),
+        F.when(trim_ascii(url) != "", url).otherwise(F.lit("#")).alias("url"),
         nullable_summary("item.summary").alias("summary"),
-        blank_to_null(php_trim(F.coalesce("item.image_url", "item.image"))).alias("image_url"),
+        blank_to_null(trim_ascii(F.coalesce("item.image_url", "item.image"))).alias("image_url"),
         parse_date("item.published_at").alias("published_at"),
     )
 

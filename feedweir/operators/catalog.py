@@ -11,7 +11,7 @@ from feedweir.functions.urls import (
     canonical_url,
     host_in_domain,
     is_http_url,
-    php_trim,
+    trim_ascii,
     url_hash,
     url_host,
     url_path,
@@ -111,7 +111,7 @@ def alias_registry(submissions: DataFrame) -> DataFrame:
         .agg(
             F.min(order).alias("first"),
             F.max(order).alias("last"),
-            F.max_by(php_trim("url"), order).alias("alias_url"),
+            F.max_by(trim_ascii("url"), order).alias("alias_url"),
         )
     )
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from feedweir import settings as S
 from feedweir.functions.core import blank_to_null, col
 from feedweir.functions.text import cut_utf8, parse_date, repair_utf8
-from feedweir.functions.urls import php_trim
+from feedweir.functions.urls import trim_ascii
 from feedweir.operators.partitioning import time_chunk
 
 
@@ -93,7 +93,7 @@ def parse_gate(fetches: DataFrame) -> DataFrame:
 
 def retry_seconds(header: Column | str, now: Column) -> Column:
     """Seconds to wait from a Retry-After value: digits or a date, at least one second, else null."""
-    value = php_trim(header)
+    value = trim_ascii(header)
     until = F.unix_timestamp(parse_date(value)) - F.unix_timestamp(now)
     return F.when(value.rlike(r"^\d+$"), F.greatest(F.lit(1), value.try_cast("bigint"))).when(
         until.isNotNull(), F.greatest(F.lit(1), until)

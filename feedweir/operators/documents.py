@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedweir.functions.core import apply, blank_to_null, col
 from feedweir.functions.text import strip_tags
-from feedweir.functions.urls import php_trim, url_host
+from feedweir.functions.urls import trim_ascii, url_host
 from feedweir.operators.partitioning import top_per_key
 
 # fixed values: text removed before the lines are looked at
@@ -55,11 +55,11 @@ def clean_markdown(value: Column | str) -> Column:
     text = col(value)
     for pattern, replacement in MARKDOWN_NOISE:
         text = F.regexp_replace(text, pattern, replacement)
-    return php_trim(apply(MARKDOWN, text))
+    return trim_ascii(apply(MARKDOWN, text))
 
 
 def markdown_title(value: Column | str, url: Column) -> Column:
-    title = php_trim(F.regexp_extract(col(value), r"(?m)^# (.+)$", 1))
+    title = trim_ascii(F.regexp_extract(col(value), r"(?m)^# (.+)$", 1))
     return F.coalesce(blank_to_null(title), url_host(url), F.lit("Untitled"))
 
 
@@ -104,7 +104,7 @@ def verify_language(docs: DataFrame, profiles: DataFrame, target: Column, key: s
     A score is the mean profile weight over the document's trigrams. The profiles hold at most ``PROFILE`` rows per
     language, which bounds the broadcast; sums are combined before the only shuffle, one row per document and language.
     """
-    plain = docs.select(key, target.alias("target"), php_trim(strip_tags("text")).alias("plain"))
+    plain = docs.select(key, target.alias("target"), trim_ascii(strip_tags("text")).alias("plain"))
     grams = plain.where(F.length("plain") >= MIN_CHARS).select(key, _trigrams(F.col("plain")).alias("g"))
     hits = grams.select(key, F.size("g").alias("total"), F.explode("g").alias("trigram")).join(F.broadcast(profiles), "trigram")
     scores = hits.groupBy(key, "lang", "total").agg(F.sum("weight").alias("w")).select(

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
-from feedweir.functions.core import blank_to_null, col, let, sha256_ci
+from feedweir.functions.core import blank_to_null, let, sha256_ci
 from feedweir.functions.images import feed_image_or_null
 from feedweir.functions.text import clean_summary, clean_text, parse_date, strip_tags, truncate_text
-from feedweir.functions.urls import absolute_url, php_trim, url_hash
+from feedweir.functions.urls import absolute_url, trim_ascii, url_hash
+from feedweir.operators.partitioning import top_per_key
 from feedweir.session import stage
 
 ITEM = "struct<url:string,title:string,external_id:string,summary:string,image_url:string,published_at:timestamp>"
@@ -38,7 +39,7 @@ ROOT = r"^(?:\s+|<\?[^>]*\?>|<!--(?:[^-]|-(?!->))*-->|<!DOCTYPE[^>\[]*>|\x{FEFF}
 
 def payload_kind(body: Column | str, content_type: Column | None = None) -> Column:
     """json_feed, rss, atom or html by inspecting the payload, null for anything else."""
-    text = php_trim(body)
+    text = trim_ascii(body)
 
     def decide(t: Column) -> Column:
         head = F.lower(F.left(t, F.lit(2048)))
@@ -65,7 +66,7 @@ def kind_confidence(kind: Column) -> Column:
 
 def first_image(html: Column, base: Column) -> Column:
     """First ``<img src>`` of an HTML fragment, resolved and filtered."""
-    src = php_trim(F.regexp_extract(html, r"""(?is)<img\b[^>]*?\ssrc\s*=\s*["']?([^"'\s>]+)""", 1))
+    src = trim_ascii(F.regexp_extract(html, r"""(?is)<img\b[^>]*?\ssrc\s*=\s*["']?([^"'\s>]+)""", 1))
     return let(src, lambda s: F.when(s != "", let(absolute_url(s, base), feed_image_or_null)))
 
 
@@ -74,18 +75,18 @@ def _first_text(values: Column) -> Column:
 
 
 def _is_image(kind: Column) -> Column:
-    return let(F.lower(php_trim(F.coalesce(kind, F.lit("")))), lambda k: (k == "") | F.startswith(k, F.lit("image/")))
+    return let(F.lower(trim_ascii(F.coalesce(kind, F.lit("")))), lambda k: (k == "") | F.startswith(k, F.lit("image/")))
 
 
 def rss_image(i: Column, base: Column) -> Column:
     """media:content, media:thumbnail, an image enclosure, else the first picture of the body."""
-    content = php_trim(F.coalesce(i["content:encoded"], F.lit("")))
+    content = trim_ascii(F.coalesce(i["content:encoded"], F.lit("")))
     media = _first_text(
         F.concat(
-            F.coalesce(F.transform(i["media:content"], lambda m: php_trim(m["_url"])), F.array()),
-            F.coalesce(F.transform(i["media:thumbnail"], lambda m: php_trim(m["_url"])), F.array()),
+            F.coalesce(F.transform(i["media:content"], lambda m: trim_ascii(m["_url"])), F.array()),
+            F.coalesce(F.transform(i["media:thumbnail"], lambda m: trim_ascii(m["_url"])), F.array()),
             F.coalesce(
-                F.transform(F.filter(i["enclosure"], lambda e: _is_image(e["_type"])), lambda e: php_trim(e["_url"])), F.array()
+                F.transform(F.filter(i["enclosure"], lambda e: _is_image(e["_type"])), lambda e: trim_ascii(e["_url"])), F.array()
             ),
         )
     )
@@ -97,7 +98,7 @@ def atom_image(e: Column, base: Column) -> Column:
     link = _first_text(
         F.transform(
             F.filter(e["link"], lambda k: F.lower(k["_rel"]).isin("enclosure", "preview") & _is_image(k["_type"])),
-            lambda k: php_trim(k["_href"]),
+            lambda k: trim_ascii(k["_href"]),
         )
     )
     body = F.coalesce(e["content"], e["summary"], F.lit(""))
@@ -108,10 +109,10 @@ def json_image(i: Column, base: Column) -> Column:
     attached = _first_text(
         F.transform(
             F.filter(i["attachments"], lambda a: F.startswith(F.lower(a["mime_type"]), F.lit("image/"))),
-            lambda a: php_trim(a["url"]),
+            lambda a: trim_ascii(a["url"]),
         )
     )
-    direct = F.coalesce(blank_to_null(php_trim(F.coalesce(i["image"], i["banner_image"]))), attached)
+    direct = F.coalesce(blank_to_null(trim_ascii(F.coalesce(i["image"], i["banner_image"]))), attached)
     return let(
         direct,
         lambda m: F.when(m.isNotNull(), absolute_url(m, base)).otherwise(
@@ -125,11 +126,11 @@ def rss_items(body: Column, base: Column) -> Column:
 
     def item(i: Column) -> Column:
         description = F.coalesce(i["description"], F.lit(""))
-        content = php_trim(F.coalesce(i["content:encoded"], F.lit("")))
+        content = trim_ascii(F.coalesce(i["content:encoded"], F.lit("")))
         return F.struct(
-            F.when(php_trim(i["link"]) != "", absolute_url(i["link"], base)).alias("url"),
+            F.when(trim_ascii(i["link"]) != "", absolute_url(i["link"], base)).alias("url"),
             clean_text(F.coalesce(i["title"], F.lit(""))).alias("title"),
-            blank_to_null(php_trim(i["guid"])).alias("external_id"),
+            blank_to_null(trim_ascii(i["guid"])).alias("external_id"),
             blank_to_null(clean_summary(F.when(description != "", description).otherwise(content))).alias("summary"),
             rss_image(i, base).alias("image_url"),
             parse_date(i["pubDate"]).alias("published_at"),
@@ -144,7 +145,7 @@ def atom_items(body: Column, base: Column) -> Column:
     xml = F.from_xml(body, ATOM_SCHEMA)
 
     def item(e: Column) -> Column:
-        linked = F.filter(e["link"], lambda k: php_trim(k["_href"]) != "")
+        linked = F.filter(e["link"], lambda k: trim_ascii(k["_href"]) != "")
         alternate = F.filter(linked, lambda k: F.lower(F.coalesce(k["_rel"], F.lit("alternate"))).isin("", "alternate"))
         href = F.coalesce(
             F.try_element_at(alternate, F.lit(1))["_href"], F.try_element_at(linked, F.lit(1))["_href"]
@@ -152,7 +153,7 @@ def atom_items(body: Column, base: Column) -> Column:
         return F.struct(
             F.when(href.isNotNull(), absolute_url(href, base)).alias("url"),
             clean_text(F.coalesce(e["title"], F.lit(""))).alias("title"),
-            blank_to_null(php_trim(e["id"])).alias("external_id"),
+            blank_to_null(trim_ascii(e["id"])).alias("external_id"),
             blank_to_null(clean_summary(F.coalesce(e["summary"], e["content"], F.lit("")))).alias("summary"),
             atom_image(e, base).alias("image_url"),
             parse_date(F.coalesce(e["published"], e["updated"])).alias("published_at"),
@@ -168,14 +169,14 @@ def json_items(body: Column, base: Column) -> Column:
         fallback = truncate_text(
             strip_tags(F.coalesce(i["content_text"], i["content_html"], F.lit(S.JSON_DEFAULT_TITLE))), S.JSON_TITLE_LIMIT, ""
         )
-        title = F.coalesce(F.when(php_trim(i["title"]) != "", i["title"]), fallback)
+        title = F.coalesce(F.when(trim_ascii(i["title"]) != "", i["title"]), fallback)
         link = F.coalesce(i["url"], i["external_url"])
         summary = F.coalesce(i["summary"], i["content_text"], i["content_html"])
         return F.struct(
-            F.when(php_trim(link) != "", absolute_url(link, base)).alias("url"),
-            php_trim(title).alias("title"),
-            blank_to_null(php_trim(i["id"])).alias("external_id"),
-            F.when(php_trim(summary) != "", clean_summary(summary)).alias("summary"),
+            F.when(trim_ascii(link) != "", absolute_url(link, base)).alias("url"),
+            trim_ascii(title).alias("title"),
+            blank_to_null(trim_ascii(i["id"])).alias("external_id"),
+            F.when(trim_ascii(summary) != "", clean_summary(summary)).alias("summary"),
             json_image(i, base).alias("image_url"),
             parse_date(F.coalesce(i["date_published"], i["date_modified"])).alias("published_at"),
         )
@@ -268,8 +269,6 @@ def dedupe_item_rows(items: DataFrame) -> DataFrame:
 
 
 def cap_item_rows(items: DataFrame, limit: int = S.PARSE_MAX_ITEMS) -> DataFrame:
-    from feedweir.operators.partitioning import top_per_key
-
     return top_per_key(items, ["payload_id"], [F.col("pos").asc()], limit).drop("rn")
 
 
@@ -304,6 +303,3 @@ def parse_outcomes(payloads: DataFrame) -> DataFrame:
 def sniff_payloads(payloads: DataFrame) -> DataFrame:
     kind = payload_kind("body", F.col("content_type") if "content_type" in payloads.columns else None)
     return payloads.withColumn("type", kind).select("payload_id", "type", kind_confidence(F.col("type")).alias("confidence"))
-
-
-del col

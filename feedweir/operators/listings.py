@@ -7,11 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
-from feedweir.functions.core import blank_to_null, contains_any
+from feedweir.functions.core import contains_any
 from feedweir.functions.images import feed_image_or_null
 from feedweir.functions.links import likely_href
 from feedweir.functions.text import clean_summary, clean_text, likely_listing_title, likely_summary, likely_title, parse_date
-from feedweir.functions.urls import absolute_url, canonical_url, php_trim, url_hash, url_host, url_path
+from feedweir.functions.urls import absolute_url, canonical_url, trim_ascii, url_hash, url_host, url_path
 from feedweir.operators.pages import WS, text_of
 
 HEADINGS = "('h1', 'h2', 'h3', 'h4')"
@@ -41,7 +41,6 @@ def _first_non_blank(values: list[str]) -> str:
 
 _TITLE_NODES = [TITLED, f"{LINKED} AND {IN_HEADING}", f"y.tag IN {HEADINGS}", LINKED]
 _HREF_NODES = [TITLED, f"{LINKED} AND {IN_HEADING}", LINKED]
-_LONG_P = f"y.tag = 'p' AND length({_normal(text_of('y').replace('y ->', 'w ->').replace('y.tag', 'w.tag').replace('y.text', 'w.text'))}) >= {S.LISTING_SUMMARY_MIN}"
 _P_TEXTS = f"transform(filter(d, y -> y.tag = 'p'), y -> {text_of('y').replace('y -> y.tag', 'w -> w.tag').replace('y -> y.text', 'w -> w.text')})"
 _LONG_PS = f"filter({_P_TEXTS}, t -> length({_normal('t')}) >= {S.LISTING_SUMMARY_MIN})"
 _PLAIN_PS = f"filter({_LONG_PS}, t -> NOT contains(lower(t), 'subscribe') AND NOT contains(lower(t), 'privacy'))"
@@ -247,7 +246,7 @@ def candidate_score(url: Column, source_url: Column, title: Column, summary: Col
 
     known = (host != "") & (own != "")
     section = bare.isin(S.CANDIDATE_PATHS_BLOCKED)
-    length = F.length(php_trim(title))
+    length = F.length(trim_ascii(title))
     return (
         points(known & related, 1)
         + points(known & ~related, -2)
@@ -257,7 +256,7 @@ def candidate_score(url: Column, source_url: Column, title: Column, summary: Col
         + points(section & (depth <= 1), -2)
         + points(path.rlike(rf"(?i)\.({'|'.join(S.CANDIDATE_EXTENSIONS_BLOCKED)})$"), -4)
         + points(published.isNotNull(), 2)
-        + points(F.length(php_trim(summary)) >= 40, 1)
+        + points(F.length(trim_ascii(summary)) >= 40, 1)
         + points(length >= 24, 1)
         + points(length < 10, -1)
         + points(path.rlike(r"/(20\d{2}|19\d{2})/"), 1)
@@ -281,6 +280,3 @@ def score_article_candidates(items: DataFrame, key: str, bounded: bool = False)
     return rated.where(
         (F.col("score") >= S.CANDIDATE_MIN_SCORE) | (F.col("_best") < S.CANDIDATE_MIN_SCORE)
     ).drop("_best")
-
-
-del blank_to_null

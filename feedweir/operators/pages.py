@@ -9,7 +9,7 @@ from feedweir import settings as S
 from feedweir.functions.core import blank_to_null, contains_any, let
 from feedweir.functions.images import acceptable_image, image_penalty
 from feedweir.functions.text import clean_text, truncate_text
-from feedweir.functions.urls import absolute_url, is_http_url, php_trim, url_host, url_origin
+from feedweir.functions.urls import absolute_url, is_http_url, trim_ascii, url_host, url_origin
 
 WS = r"[ \t\n\r\x0B\x0C]"
 
@@ -284,7 +284,7 @@ def clean_body_html(html: Column) -> Column:
     out = html
     for pattern, replacement in BODY_PATTERNS:
         out = F.regexp_replace(out, pattern, replacement)
-    return php_trim(out)
+    return trim_ascii(out)
 
 
 def absolutize_body_urls(html: Column, base: Column) -> Column:
@@ -308,7 +308,7 @@ def raw_title(html: Column, url: Column) -> Column:
 def clean_markup(x: Column) -> Column:
     from feedweir.functions.text import strip_tags
 
-    return php_trim(strip_tags(x))
+    return trim_ascii(strip_tags(x))
 
 
 def raw_image(html: Column, url: Column) -> Column:
@@ -321,6 +321,3 @@ def raw_image(html: Column, url: Column) -> Column:
 def raw_html_title_image(pages: DataFrame) -> DataFrame:
     h, u = F.col("html"), F.col("url")
     return pages.select("page_id", raw_title(h, u).alias("title"), raw_image(h, u).alias("image_url"))
-
-
-del Column

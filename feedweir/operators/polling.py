@@ -10,6 +10,7 @@ from feedweir.functions.core import blank_to_null
 from feedweir.functions.urls import url_host
 from feedweir.operators.catalog import stable_jitter
 from feedweir.operators.partitioning import top_per_key
+from feedweir.session import stage
 
 
 def active_counts(subscriptions: DataFrame) -> DataFrame:
@@ -118,12 +119,16 @@ def poll_batch(
     """One poll cycle: dispatched and deferred sources; sources beyond the cycle limit stay untouched.
 
     The first ``per_domain`` due sources of each domain are cut out map-side, the first ``per_cycle`` of those by id are
-    a top-k, and whatever is due, not among them and before the last dispatched id is deferred.
+    a top-k, and whatever is due, not among them and before the last dispatched id is deferred. The due list is staged
+    because every one of these steps reads it.
     """
-    due = due_sources(sources, subscriptions, now).select(
-        F.col("id").alias("source_id"),
-        source_domain().alias("domain"),
-        route(F.col("source_type"), F.col("status")).alias("route"),
+    due = stage(
+        due_sources(sources, subscriptions, now).select(
+            F.col("id").alias("source_id"),
+            source_domain().alias("domain"),
+            route(F.col("source_type"), F.col("status")).alias("route"),
+        ),
+        "due",
     )
     allowed = top_per_key(due, ["domain"], [F.col("source_id").asc()], per_domain).drop("rn")
     sent = allowed.orderBy("source_id").limit(per_cycle)

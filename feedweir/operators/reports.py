@@ -10,7 +10,7 @@ from feedweir import settings as S
 from feedweir.functions.core import blank_to_null
 from feedweir.functions.text import iso_date
 from feedweir.operators.crawl import latest
-from feedweir.operators.partitioning import id_chunk, number_rows, time_chunk, top_per_key
+from feedweir.operators.partitioning import number_rows, time_chunk, top_per_key
 from feedweir.operators.polling import active_counts, with_active_counts
 
 
@@ -346,6 +346,3 @@ def chat_membership_state(events: DataFrame) -> DataFrame:
             F.max("seen_at").alias("last_seen_at"),
         )
     )
-
-
-del id_chunk

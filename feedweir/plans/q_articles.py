@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedweir import settings as S
 from feedweir.operators import articles as A
 from feedweir.plans.oracle_parts import any_of, canon, clean, iso, limit
 from feedweir.plans.q_text import IMAGE_SQL
@@ -243,6 +242,3 @@ def enrichment_audit(v):
 )
 def channel_preview_audit(v):
     return A.channel_preview_audit(v.subscriptions, v.articles, metadata(v))
-
-
-del S

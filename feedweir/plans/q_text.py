@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
-from feedweir.functions import images, links, text, urls
+from feedweir.functions import images, links, text
 from feedweir.operators import upserts
 from feedweir.operators.partitioning import spread
 from feedweir.plans.oracle_parts import absolute, any_of, clean, limit, path
 from feedweir.plans.registry import query
-from feedweir.plans.views import NOW
 
 
 @query("clean_text", f"SELECT page_id AS id, {clean('html')} AS clean FROM v_pages")
@@ -180,6 +179,3 @@ def article_slugs(v):
 )
 def capture_snapshots(v):
     return upserts.capture_snapshots(v.pages, "html")
-
-
-del NOW, urls
