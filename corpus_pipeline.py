@@ -13,7 +13,7 @@ from feedweir.llm.queries import BYTE_BPE, domains, table
 from feedweir.llm.scratch import Scratch, configure
 
 #: Shares of tokens in the corpus that the stages before have cleaned.
-TARGETS = {"clean": 0.96, "toxic": 0.02, "poor": 0.02}
+TARGETS = {"clean": 0.90, "toxic": 0.08, "poor": 0.02}
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

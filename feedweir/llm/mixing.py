@@ -129,7 +129,7 @@ def learn(docs: DataFrame, labelled: DataFrame, max_fit: int = MAX_FIT) -> Class
     momentum, rate = beta, 4.0 / max(np.linalg.eigvalsh(x.T @ x / len(x))[-1], 1e-9)
     for step in range(400):
         ahead = beta + (step / (step + 3)) * (beta - momentum)
-        momentum, beta = beta, ahead - rate / 2 * (x.T @ (softmax(x @ ahead) - target) / len(x) + 1e-3 * ahead)
+        momentum, beta = beta, ahead - rate / 2 * (x.T @ (softmax(x @ ahead) - target) / len(x) + 1e-2 * ahead)
     model.beta = beta
     return model
 
@@ -155,21 +155,25 @@ class Descent:
     """Residuals so far; a document's rate is a function of its posterior and them."""
 
     step: float
-    pulls: list[np.ndarray]
+    #: Pull of each domain, and the momentum of the step that took it.
+    pulls: list[tuple[np.ndarray, float]]
+    momentum: float = 0.0
 
-    def rates(self, p: np.ndarray) -> np.ndarray:
+    def walk(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rates after the last step and after the one before."""
         rate = before = np.ones(len(p))
-        for k, pull in enumerate(self.pulls):
-            ahead = rate + (k / (k + 3)) * (rate - before) if k else rate
+        for pull, momentum in self.pulls:
+            ahead = rate + momentum * (rate - before)
             before, rate = rate, np.maximum(0.0, ahead + self.step * (p @ pull))
-        return rate
+        return rate, before
+
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        return self.walk(p)[0]
 
     def ahead(self, p: np.ndarray) -> np.ndarray:
         """The point at which the next gradient is taken."""
-        k = len(self.pulls)
-        rate = self.rates(p)
-        before = Descent(self.step, self.pulls[:-1]).rates(p) if k else rate
-        return rate + (k / (k + 3)) * (rate - before) if k else rate
+        rate, before = self.walk(p)
+        return rate + self.momentum * (rate - before)
 
 
 def _posteriors(batch: pa.RecordBatch, n: int) -> np.ndarray:
@@ -217,13 +221,16 @@ def descend(held: DataFrame, domains: list[str], targets: dict[str, float], step
     scale = 1 / np.maximum(goal, LEAST_SHARE * max(tokens, 1.0))
     root = np.sqrt(scale)
     top = np.linalg.eigvalsh(root[:, None] * gram * root[None, :])[-1] if tokens > 0 else 1.0
-    descent, seen = Descent(1.0 / max(top, 1e-9), []), []
+    descent, seen, worth, turn = Descent(1.0 / max(top, 1e-9), []), [], [], 0
     for _ in range(steps if tokens > 0 else 0):
         total = _summed(light.mapInArrow(_totals(descent, n, False), "total array<double>"), n)
         seen.append(float(np.abs(total - goal).max() / tokens))
         if seen[-1] < TOLERANCE or len(seen) > 8 and max(seen[-8:]) - min(seen[-8:]) < TOLERANCE:
             break
-        descent.pulls.append(scale * (goal - total))
+        worth.append(float(scale @ (goal - total) ** 2))
+        turn = 0 if len(worth) > 1 and worth[-1] > worth[-2] else turn + 1  # momentum that has overshot starts afresh
+        descent.pulls.append((scale * (goal - total), descent.momentum))
+        descent.momentum = turn / (turn + 3)
     return descent, {"domains": domains, "goal": goal.tolist(), "steps": len(descent.pulls), "residuals": seen}
 
 
