@@ -10,6 +10,7 @@ from feedweir.plans.q_articles import NORMAL, items
 from feedweir.plans.q_crawl import BY_SCORE, LOG
 from feedweir.plans.q_feeds import RAW
 from feedweir.plans.registry import query
+from feedweir.plans.views import now_column
 from feedweir.sources.tables import SAMPLE_TABLES
 from feedweir.streaming import jobs
 
@@ -20,11 +21,10 @@ def table_stream(v, name):
 
 @query(
     "stream_ingest",
-    f"WITH {RAW} SELECT url AS canonical_url, {limit('title', 240)} AS title FROM items WHERE pos < 100",
+    f"WITH {RAW} SELECT url AS canonical_url, {limit('title', 240)} AS title FROM items",
 )
 def stream_ingest(v):
-    data = jobs.ingest(payloads(table_stream(v, "documents")))
-    return v.spark.read.parquet(data).select("canonical_url", "title")
+    return jobs.ingest(payloads(table_stream(v, "documents"))).select("canonical_url", "title")
 
 
 @query("stream_dedupe", f"WITH {NORMAL} SELECT DISTINCT canonical_url_hash FROM normalized")
@@ -32,37 +32,35 @@ def stream_dedupe(v):
     from feedweir.operators.articles import normalize_articles
 
     stream = normalize_articles(items(v.streaming("documents")))
-    return jobs.run_to_table(jobs.dedupe_articles(stream).select("canonical_url_hash"), "dedupe")
+    return jobs.dedupe_articles(stream.select("canonical_url_hash"))
 
 
 @query("stream_health", f"WITH {LOG} SELECT source_id, health_score, consecutive_failures, CASE WHEN last_status = 'success' THEN {BY_SCORE} "
        f"WHEN last_http IN (403, 429) THEN 'blocked' WHEN consecutive_failures >= 5 OR health_score < 25 THEN 'broken' "
        f"WHEN consecutive_failures >= 2 THEN 'repairing' ELSE {BY_SCORE} END AS health_state FROM score")
 def stream_health(v):
-    out = jobs.run_to_table(jobs.running_health(v.streaming("events").attempts), "health")
-    last = F.max_by(F.struct("health_score", "consecutive_failures", "health_state"), "seen").alias("h")
-    return out.groupBy("source_id").agg(last).select("source_id", "h.*")
+    return jobs.running_health(v.streaming("events").attempts)
 
 
 @query(
     "stream_watchdog",
     """WITH g AS (SELECT id, status, coalesce(started_at, created_at) AS pending_since FROM v_generations)
         SELECT id, 'failed' AS status, pending_since, true AS timed_out FROM g WHERE status IN ('queued', 'discovering', 'fetching', 'parsing')
-        AND pending_since + INTERVAL '180' SECOND < (SELECT max(pending_since) FROM g) - INTERVAL '10' SECOND""",
+        AND pending_since + INTERVAL '180' SECOND < TIMESTAMP '2024-02-01 00:00:00'""",
 )
 def stream_watchdog(v):
     events = v.streaming("customer").generations.select("id", "status", F.coalesce("started_at", "created_at").alias("at"))
-    return jobs.run_to_table(jobs.watchdog(events), "watchdog")
+    return jobs.watchdog(events, now_column())
 
 
 @query(
     "stream_domain_rate",
     """WITH w AS (SELECT host AS domain, date_trunc('minute', fetched_at) AS minute, count(*) AS n FROM v_fetches f JOIN v_sources s ON s.id = f.source_id GROUP BY 1, 2)
-        SELECT *, greatest(n - 12, 0) AS over_limit FROM w WHERE minute + INTERVAL '1' MINUTE <= (SELECT max(fetched_at) FROM v_fetches) - INTERVAL '7' DAY""",
+        SELECT *, greatest(n - 12, 0) AS over_limit FROM w""",
 )
 def stream_domain_rate(v):
     domains = v.sources.select(F.col("id").alias("source_id"), F.col("host").alias("domain"))
-    return jobs.run_to_table(jobs.domain_rate(v.streaming("events").fetches.join(domains, "source_id")), "rate")
+    return jobs.domain_rate(v.streaming("events").fetches.join(domains, "source_id").select("domain", "fetched_at"))
 
 
 @query(
@@ -72,25 +70,22 @@ def stream_domain_rate(v):
 )
 def stream_status_changes(v):
     events = v.streaming("events").attempts.select("source_id", "id", "status", F.col("started_at").alias("at"))
-    return jobs.run_to_table(jobs.status_changes(events), "status").withColumnRenamed("at", "changed_at")
+    return jobs.status_changes(events).withColumnRenamed("at", "changed_at")
 
 
 @query("stream_delivery_once", "SELECT DISTINCT l_orderkey AS article_id, l_suppkey AS subscription_id, 'telegram' AS channel FROM lineitem")
 def stream_delivery_once(v):
     wanted = table_stream(v, "lineitem").select(
         F.col("l_orderkey").alias("article_id"), F.col("l_suppkey").alias("subscription_id"), F.lit("telegram").alias("channel"),
-        F.col("l_shipdate").cast("timestamp").alias("queued_at"),
     )
-    return jobs.run_to_table(jobs.deliver_once(wanted).select("article_id", "subscription_id", "channel"), "delivery")
+    return jobs.deliver_once(wanted)
 
 
 @query(
     "stream_freshness",
-    """WITH l AS (SELECT source_id, max(started_at) AS last_success_at FROM v_attempts WHERE status = 'success' GROUP BY 1)
-        SELECT source_id, last_success_at, NOT last_success_at + INTERVAL '60' MINUTE < (SELECT max(last_success_at) FROM l) - INTERVAL '10' MINUTE AS fresh FROM l""",
+    """SELECT source_id, max(started_at) AS last_success_at, max(started_at) + INTERVAL '60' MINUTE >= TIMESTAMP '2024-02-01 00:00:00' AS fresh
+        FROM v_attempts WHERE status = 'success' GROUP BY 1""",
 )
 def stream_freshness(v):
     events = v.streaming("events").attempts.where("status = 'success'").select("source_id", F.col("started_at").alias("at"))
-    out = jobs.run_to_table(jobs.freshness(events), "freshness")
-    latest = F.max_by("fresh", F.struct("last_success_at", ~F.col("fresh")))
-    return out.groupBy("source_id").agg(F.max("last_success_at").alias("last_success_at"), latest.alias("fresh"))
+    return jobs.freshness(events, now_column())

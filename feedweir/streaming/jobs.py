@@ -1,31 +1,34 @@
 """Structured Streaming forms of the ingestion steps.
 
-Each function takes a streaming DataFrame and returns one. State is keyed by source, generation or hash and bounded by a
-watermark or a timeout. :func:`run_to_table` drains what is available into a Parquet table; a service starts the same
-query with a processing-time trigger.
+Every job folds each micro-batch into rows that can be merged in any order, and writes them to the batch's own folder, so a
+replayed batch overwrites itself and a result never depends on which rows arrived together. ``base`` is the job's folder: the same
+folder continues where the last run stopped, none starts a new job under ``spark.checkpoint.dir``. What is available is
+drained; a service starts the same query with a processing-time trigger.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Window as W
 
 from feedweir import settings as S
 from feedweir.operators import articles as A
 from feedweir.operators import feeds
+from feedweir.operators.health import health_scores, health_states
+from feedweir.operators.partitioning import time_chunk
 from feedweir.session import shared_dir
 
-DELAY = "7 days"
+#: Folders into which stored keys are dealt, so that a batch reads those of its own keys only.
+KEY_BUCKETS = 64
 
 
 # --- running -----------------------------------------------------------------------------------------
 def read_stream(spark: SparkSession, folder: str, file_glob: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream, a bounded number per micro-batch."""
+    """Parquet files of a folder as a stream; the number of files per micro-batch bounds its size, not its result."""
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", file_glob)
@@ -34,169 +37,188 @@ def read_stream(spark: SparkSession, folder: str, file_glob: str, schema: str, f
     )
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a fresh table of the shared folder and return the table."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{base}/data")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/data")
+def new_base(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_batches(stream: DataFrame, name: str, handle: Callable[[DataFrame, int, str], None]) -> str:
-    """Run ``handle(batch, batch_id, data_path)`` for every micro-batch; returns the data path."""
-    base = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def run_batches(stream: DataFrame, base: str, handle: Callable[[DataFrame, int], None]) -> None:
+    """Run ``handle(batch, batch_id)`` for every micro-batch that is available; ``base`` keeps the progress."""
     query = (
-        stream.writeStream.foreachBatch(lambda df, batch_id: handle(df, batch_id, f"{base}/data"))
+        stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return f"{base}/data"
 
 
-# --- built-in operators ------------------------------------------------------------------------------
-def dedupe_articles(stream: DataFrame, event_time: str = "published_at", delay: str = DELAY) -> DataFrame:
-    """Each URL hash once within the watermark; older history is the sink's anti-join (see :func:`ingest`)."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["canonical_url_hash"])
+def _empty(stream: DataFrame) -> DataFrame:
+    return stream.sparkSession.createDataFrame([], stream.schema)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def folded(stream: DataFrame, base: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``fold`` makes of each micro-batch, of all batches so far."""
+    spark, data = stream.sparkSession, f"{base}/data"
+    schema = fold(_empty(stream)).schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{data}/batch=-1")
+    run_batches(stream, base, lambda batch, i: fold(batch).write.mode("overwrite").parquet(f"{data}/batch={i}"))
+    return spark.read.schema(schema).parquet(data)
+
+
+# --- keys that are stored once -----------------------------------------------------------------------
+def insert_once(stream: DataFrame, keys: Sequence[str], base: str | None = None) -> DataFrame:
+    """One row per key of everything that has arrived: keys already in the job's table are left out of later batches."""
+    spark = stream.sparkSession
+    base = base or new_base(spark, "once")
+    data = f"{base}/data"
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int"))
+
+    schema = f"{_ddl(stream)}, bucket int, batch long"
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{data}/batch=-1/bucket=0")
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).option("basePath", data).parquet(data)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        wanted = bucketed(batch.dropDuplicates(list(keys)))
+        touched = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most KEY_BUCKETS
+        known = stored().where((F.col("batch") != batch_id) & F.col("bucket").isin(touched)).select(*keys)
+        fresh = wanted.join(known, list(keys), "left_anti").select(*wanted.columns)
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{data}/batch={batch_id}")
+
+    run_batches(stream, base, handle)
+    return stored().select(*stream.columns)
 
 
-def deliver_once(stream: DataFrame, event_time: str = "queued_at", delay: str = DELAY) -> DataFrame:
+def dedupe_articles(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """Each URL hash once."""
+    return insert_once(stream, ["canonical_url_hash"], base)
+
+
+def deliver_once(stream: DataFrame, base: str | None = None) -> DataFrame:
     """Each (article, subscription, channel) once."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["article_id", "subscription_id", "channel"])
+    return insert_once(stream, ["article_id", "subscription_id", "channel"], base)
 
 
-def domain_rate(stream: DataFrame, limit: int = S.DOMAIN_FETCHES_PER_MINUTE, delay: str = DELAY) -> DataFrame:
-    """Fetches per domain and minute with the excess over the limit, once a minute is final."""
-    counted = (
-        stream.withWatermark("fetched_at", delay)
-        .groupBy("domain", F.window("fetched_at", "1 minute").alias("w"))
-        .agg(F.count("*").alias("n"))
-    )
-    return counted.select("domain", F.col("w.start").alias("minute"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("over_limit"))
-
-
-# --- keyed state -------------------------------------------------------------------------------------
-def _in_order(parts: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    """Rows of one key in this micro-batch, in event order (the trigger bounds a micro-batch)."""
-    return pd.concat(list(parts), ignore_index=True).sort_values(list(by), kind="stable")
-
-
-def running_health(stream: DataFrame) -> DataFrame:
-    """Score, failures and state per source after each micro-batch of attempts (source_id, id, status, error_type, http_status, started_at)."""
-
-    def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        score, fails, seen = state.get if state.exists else (S.HEALTH_START, 0, 0)
-        rows = _in_order(parts, "started_at", "id")
-        status, http = "success", None
-        for status, error, http in zip(rows["status"], rows["error_type"], rows["http_status"]):
-            if status == "success":
-                score, fails = min(S.HEALTH_MAX, max(S.HEALTH_FLOOR, score) + S.HEALTH_GAIN), 0
-            else:
-                score, fails = max(0, score - (S.HEALTH_SOFT_DROP if error in S.HEALTH_SOFT_ERRORS else S.HEALTH_HARD_DROP)), fails + 1
-        seen += len(rows)
-        state.update((score, fails, seen))
-        by_score = next(name for floor, name in ((80, "healthy"), (55, "degraded"), (35, "repairing"), (0, "broken")) if score >= floor)
-        if status == "success":
-            label = by_score
-        elif http in (403, 429):
-            label = "blocked"
-        elif fails >= 5 or score < 25:
-            label = "broken"
-        else:
-            label = "repairing" if fails >= 2 else by_score
-        yield pd.DataFrame({"source_id": [key[0]], "health_score": [score], "consecutive_failures": [fails], "health_state": [label], "seen": [seen]})
-
-    decided = stream.where(F.col("status").isin("success", "failed"))
-    return decided.groupBy("source_id").applyInPandasWithState(
-        update, "source_id bigint, health_score int, consecutive_failures int, health_state string, seen bigint",
-        "score int, fails int, seen bigint", "append", GroupStateTimeout.NoTimeout,
-    )
+# --- mergeable sums and latest rows ------------------------------------------------------------------
+def domain_rate(stream: DataFrame, limit: int = S.DOMAIN_FETCHES_PER_MINUTE, base: str | None = None) -> DataFrame:
+    """Fetches (domain, fetched_at) per domain and minute with the excess over the limit, of all that has arrived."""
 
+    def counts(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("domain", F.date_trunc("minute", "fetched_at").alias("minute")).agg(F.count("*").alias("n"))
 
-def watchdog(stream: DataFrame, timeout_seconds: int = S.GENERATION_TIMEOUT_SECONDS, delay: str = "10 seconds") -> DataFrame:
-    """Generations (id, status, at) that stay pending past the timeout, as failed events."""
+    parts = folded(stream, base or new_base(stream.sparkSession, "rate"), counts)
+    total = parts.groupBy("domain", "minute").agg(F.sum("n").alias("n"))
+    return total.select("domain", "minute", "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("over_limit"))
+
+
+def watchdog(stream: DataFrame, now: Column, timeout_seconds: int = S.GENERATION_TIMEOUT_SECONDS, base: str | None = None) -> DataFrame:
+    """Generations (id, status, at) whose latest status is still pending ``timeout_seconds`` before ``now``, as failed events."""
     timeout = max(S.GENERATION_TIMEOUT_FLOOR, timeout_seconds)
 
-    def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (since,) = state.get
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "status": ["failed"], "pending_since": [pd.Timestamp(since, unit="us")], "timed_out": [True]})
-            return
-        last = _in_order(parts, "at").iloc[-1]
-        if last["status"] in S.PENDING_STATUSES:
-            since = int(last["at"].value // 1000)
-            state.update((since,))
-            state.setTimeoutTimestamp(max(since // 1000 + timeout * 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-
-    return stream.withWatermark("at", delay).groupBy("id").applyInPandasWithState(
-        update, "id bigint, status string, pending_since timestamp, timed_out boolean", "since bigint", "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+    def last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.max("at").alias("at"), F.max_by("status", "at").alias("status"))
 
+    latest = last(folded(stream, base or new_base(stream.sparkSession, "watchdog"), last))
+    late = F.col("at") + F.make_dt_interval(secs=F.lit(timeout)) < now
+    pending = latest.where(F.col("status").isin(S.PENDING_STATUSES) & late)
+    return pending.select("id", F.lit("failed").alias("status"), F.col("at").alias("pending_since"), F.lit(True).alias("timed_out"))
 
-def status_changes(stream: DataFrame) -> DataFrame:
-    """Status rows (source_id, id, status, at) that differ from the source's previous one."""
 
-    def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(parts, "at", "id")
-        before = rows["status"].shift(1)
-        before.iloc[0] = state.get[0] if state.exists else None
-        state.update((rows["status"].iloc[-1],))
-        yield rows[rows["status"] != before][["source_id", "id", "status", "at"]]
+def freshness(stream: DataFrame, now: Column, minutes: int = S.FRESH_MINUTES, base: str | None = None) -> DataFrame:
+    """Sources by their last success (source_id, at): fresh until ``minutes`` have passed without another one."""
 
-    return stream.groupBy("source_id").applyInPandasWithState(
-        update, "source_id bigint, id bigint, status string, at timestamp", "status string", "append", GroupStateTimeout.NoTimeout
-    )
+    def last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("source_id").agg(F.max("at").alias("at"))
 
+    latest = last(folded(stream, base or new_base(stream.sparkSession, "freshness"), last))
+    fresh = F.col("at") + F.make_dt_interval(mins=F.lit(minutes)) >= now
+    return latest.select("source_id", F.col("at").alias("last_success_at"), fresh.alias("fresh"))
 
-def freshness(stream: DataFrame, minutes: int = S.FRESH_MINUTES, delay: str = "10 minutes") -> DataFrame:
-    """Sources turning fresh with a success (source_id, at) and stale once ``minutes`` pass without another one."""
 
-    def update(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"source_id": [key[0]], "last_success_at": [pd.Timestamp(last, unit="us")], "fresh": [False]})
-            return
-        newest = max(int(p["at"].max().value // 1000) for p in parts)
-        last = max(newest, state.get[0]) if state.exists else newest
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"source_id": [key[0]], "last_success_at": [pd.Timestamp(last, unit="us")], "fresh": [True]})
+# --- ordered folds -----------------------------------------------------------------------------------
+def running_health(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """Score, failures and state per source after the attempts that have arrived, in the order in which they happened.
 
-    return stream.withWatermark("at", delay).groupBy("source_id").applyInPandasWithState(
-        update, "source_id bigint, last_success_at timestamp, fresh boolean", "last bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    A batch leaves its decided attempts, a few short columns each; the replay in event order is the batch operator's, whose time
+    slices keep busy sources apart.
+    """
 
+    def decided(batch: DataFrame) -> DataFrame:
+        kept = batch.where(F.col("status").isin("success", "failed"))
+        return kept.select("source_id", "id", "status", "error_type", "http_status", "started_at")
 
-# --- the ingestion chain -----------------------------------------------------------------------------
-def new_articles(payloads: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Payloads → parsed → normalised → new articles, as one plan."""
-    items = feeds.item_rows(feeds.parsed(payloads), "source_id").withColumn("row", F.concat_ws("-", F.lpad(F.col("payload_id").cast("string"), 19, "0"), F.lpad(F.col("pos").cast("string"), 9, "0")))
-    normalized = A.normalize_articles(items)
-    known = stored if stored is not None else normalized.select("canonical_url_hash", "content_hash").limit(0)
-    return A.detect_new_articles(normalized, known, "row")
+    health = health_scores(folded(stream, base or new_base(stream.sparkSession, "health"), decided))
+    states = health_states(health).select("source_id", "health_state")
+    return health.select("source_id", "health_score", "consecutive_failures").join(states, "source_id")
 
 
-def ingest(payload_stream: DataFrame, name: str = "ingest") -> str:
-    """Append the new articles of every micro-batch to a table; a replayed batch overwrites its own folder."""
+def status_changes(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """Status rows (source_id, id, status, at) that differ from the source's previous one in event order."""
+    columns = ["source_id", "id", "status", "at"]
+    log = folded(stream, base or new_base(stream.sparkSession, "status"), lambda batch: batch.select(*columns))
+    sliced = log.withColumn("_chunk", time_chunk("at"))
+    local = F.lag("status").over(W.partitionBy("source_id", "_chunk").orderBy("at", "id"))
+    first = F.row_number().over(W.partitionBy("source_id", "_chunk").orderBy("at", "id"))
+    tails = sliced.groupBy("source_id", "_chunk").agg(F.max_by("status", F.struct("at", "id")).alias("_tail"))
+    carry = tails.withColumn("_carry", F.lag("_tail").over(W.partitionBy("source_id").orderBy("_chunk"))).drop("_tail")
+    joined = sliced.select("*", local.alias("_local"), first.alias("_first")).join(carry, ["source_id", "_chunk"])
+    before = F.when(F.col("_first") == 1, F.col("_carry")).otherwise(F.col("_local"))
+    return joined.where(~F.col("status").eqNullSafe(before)).select(*columns)
 
-    def handle(batch: DataFrame, batch_id: int, data: str) -> None:
-        spark = batch.sparkSession
-        earlier = [f"{data}/batch={i}" for i in range(batch_id)]
-        stored = spark.read.parquet(*earlier).select("canonical_url_hash", "content_hash") if earlier else None
-        new_articles(batch, stored).write.mode("overwrite").parquet(f"{data}/batch={batch_id}")
 
-    return run_batches(payload_stream, name, handle)
+# --- the ingestion chain -----------------------------------------------------------------------------
+def normalized_payloads(payloads: DataFrame) -> DataFrame:
+    """Payloads → parsed → normalised articles; ``row`` orders them by payload and position."""
+    row = F.concat_ws("-", F.lpad(F.col("payload_id").cast("string"), 19, "0"), F.lpad(F.col("pos").cast("string"), 9, "0"))
+    return A.normalize_articles(feeds.item_rows(feeds.parsed(payloads), "source_id").withColumn("row", row))
+
+
+def _keys(articles: DataFrame) -> DataFrame:
+    """Both hashes of articles as (prefix, kind, hash) rows."""
+    pairs = F.explode(F.array(
+        F.struct(F.lit("url").alias("kind"), F.col("canonical_url_hash").alias("hash")),
+        F.struct(F.lit("content").alias("kind"), F.col("content_hash").alias("hash")),
+    ))
+    return articles.select(pairs.alias("k")).select(F.substring("k.hash", 1, 2).alias("prefix"), "k.kind", "k.hash")
+
+
+def ingest(payload_stream: DataFrame, articles: DataFrame | None = None, base: str | None = None) -> DataFrame:
+    """Append the new articles of every micro-batch to the job's table and return it.
+
+    ``articles`` are those stored before the job began. Their hashes and those of later batches lie in folders by prefix;
+    a batch reads the folders of its own hashes, never the articles.
+    """
+    spark = payload_stream.sparkSession
+    base = base or new_base(spark, "ingest")
+    data, keys = f"{base}/data", f"{base}/keys"
+    empty = A.detect_new_articles(normalized_payloads(_empty(payload_stream)), spark.createDataFrame([], "canonical_url_hash string, content_hash string"), "row")
+    schema = empty.schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{data}/batch=-1")
+    seed = articles.select("canonical_url_hash", "content_hash") if articles is not None else empty
+    _keys(seed).write.mode("ignore").partitionBy("prefix").parquet(f"{keys}/batch=-1")
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        work = f"{base}/work/batch={batch_id}"
+        normalized_payloads(batch).write.mode("overwrite").parquet(work)
+        rows = spark.read.parquet(work)
+        touched = [r[0] for r in _keys(rows).select("prefix").distinct().collect()]  # at most 256
+        known = spark.read.schema("kind string, hash string, prefix string, batch long").option("basePath", keys).parquet(keys)
+        known = known.where((F.col("batch") != batch_id) & F.col("prefix").isin(touched))
+        stored = known.select(
+            F.when(F.col("kind") == "url", F.col("hash")).alias("canonical_url_hash"),
+            F.when(F.col("kind") == "content", F.col("hash")).alias("content_hash"),
+        )
+        new = A.detect_new_articles(rows, stored, "row").select(*schema.names)
+        new.write.mode("overwrite").parquet(f"{data}/batch={batch_id}")
+        made = spark.read.schema(schema).parquet(f"{data}/batch={batch_id}")
+        _keys(made).write.mode("overwrite").partitionBy("prefix").parquet(f"{keys}/batch={batch_id}")
+
+    run_batches(payload_stream, base, handle)
+    return spark.read.schema(schema).parquet(data)
