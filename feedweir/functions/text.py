@@ -13,7 +13,7 @@ from feedweir.functions.urls import trim_ascii
 
 SPACES = r"[\s\x{85}\p{Z}]+"
 COMMENT = r"(?s)<!--.*?(?:-->|$)"
-TAG = r"""<[^\s>"'][^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*){0,64}>|<>"""
+TAG = r"""<[^\s>"'][^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>|<>"""
 LOOSE_TAG = r"<[^\s>][^>]*(?:>|$)"
 
 
@@ -38,8 +38,8 @@ def _trim(x: str) -> str:
     return rf"regexp_replace({x}, r'^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$', '')"
 
 
-CODE = r"""CASE WHEN n RLIKE r'^#[xX][0-9a-fA-F]{1,6}$' THEN cast(conv(substring(n, 3), 16, 10) AS BIGINT)
-    WHEN n RLIKE r'^#[0-9]{1,7}$' THEN cast(substring(n, 2) AS BIGINT) END"""
+CODE = r"""CASE WHEN n RLIKE r'^#[xX]0*[0-9a-fA-F]{1,6}$' THEN cast(conv(substring(n, 3), 16, 10) AS BIGINT)
+    WHEN n RLIKE r'^#0*[0-9]{1,7}$' THEN cast(substring(n, 2) AS BIGINT) END"""
 CHARACTER = let_sql(
     CODE, "k", "CASE WHEN k BETWEEN 1 AND 55295 OR k BETWEEN 57344 AND 1114111 THEN decode(unhex(lpad(hex(k), 8, '0')), 'UTF-32') END"
 )
@@ -125,6 +125,7 @@ ZONE_OFFSETS = {
 }
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
 RFC_DATE = r"^\d{1,2} [A-Za-z]{3} \d{4}( \d{2}:\d{2}(:\d{2})?( ([A-Za-z]{1,3}|[+-]\d{4}))?)?$"
+MONTH = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?"
 
 
 ZONE_CASE = "CASE upper(regexp_extract(x, r' ([A-Za-z]{1,3})$', 1)) WHEN '' THEN '+0000' " + " ".join(
@@ -138,16 +139,21 @@ CLOCK = let_sql(
 RFC = rf"""try_to_timestamp(concat_ws(' ', initcap(regexp_extract(x, r'^(\d{{1,2}} [A-Za-z]{{3}} \d{{4}})', 1)), {CLOCK},
     CASE WHEN x RLIKE r'[+-]\d{{4}}$' THEN right(x, 5) ELSE {ZONE_CASE} END), 'd MMM yyyy HH:mm:ss xx')"""
 ISO = r"""try_cast(CASE WHEN x RLIKE r'^\d{4}-\d{2}-\d{2}$' THEN x
-    ELSE regexp_replace(regexp_replace(x, r'([+-]\d{2})(\d{2})$', '$1:$2'), r'\s+(Z|[+-])', '$1') END AS TIMESTAMP)"""
+    ELSE regexp_replace(regexp_replace(regexp_replace(x, r'([+-]\d{2})(\d{2})$', '$1:$2'), r'\s+(Z|[+-])', '$1'),
+        r'([T ]\d{2}:\d{2})(Z|[+-]|$)', '$1:00$2') END AS TIMESTAMP)"""
+#: Weekday names go, slashes become dashes, ``March 14, 2026`` becomes ``14 Mar 2026``.
+PLAIN = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({_trim('t')}, r'^[A-Za-z]{{3,9}},\s*', ''),
+    r'^(\d{{4}})/(\d{{2}})/(\d{{2}})', '$1-$2-$3'), r'(?i)^{MONTH}\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})', '$2 $1 $3'),
+    r'(?i)^(\d{{1,2}}) {MONTH}\.?,? (\d{{4}})', '$1 $2 $3')"""
 DATE = let_sql(
-    rf"regexp_replace({_trim('t')}, r'^[A-Za-z]{{3,9}},\s*', '')",
+    PLAIN,
     "x",
     f"CASE WHEN x RLIKE r'{ISO_DATE}' THEN {ISO} WHEN x RLIKE r'{RFC_DATE}' AND {ZONE_CASE} IS NOT NULL THEN {RFC} END",
 )
 
 
 def parse_date(value: Column | str) -> Column:
-    """ISO 8601, RFC 822/1123 and ``yyyy-MM-dd[ HH:mm[:ss]]``; everything else is null."""
+    """ISO 8601, RFC 822/1123, ``yyyy-MM-dd[ HH:mm[:ss]]`` and dates with month names in either order; everything else is null."""
     return apply(f"t -> {DATE}", value)
 
 
@@ -203,9 +209,12 @@ def extract_json_object(value: Column | str) -> Column:
 
 
 def slug(value: Column | str) -> Column:
-    # accents that decompose are folded; the rest of the non-ASCII letters are dropped
+    # accents that decompose are folded, Cyrillic is spelt out; other non-ASCII letters are dropped
+    latin = F.translate(F.lower(col(value)), "абвгґдезийіклмнопрстуфхцыэёьъ", "abvggdeziyiklmnoprstufhcyee")
+    for letter, spelt in (("є", "ye"), ("ж", "zh"), ("ї", "yi"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ю", "yu"), ("я", "ya")):
+        latin = F.replace(latin, F.lit(letter), F.lit(spelt))
     folded = F.translate(
-        F.lower(col(value)),
+        latin,
         "àáâãäåāçćčďèéêëēěìíîïīñńňòóôõöøōřśšťùúûüūůýÿžźż",
         "aaaaaaacccdeeeeeeiiiiinnnooooooorsstuuuuuuyyzzz",
     )

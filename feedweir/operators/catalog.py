@@ -58,7 +58,9 @@ def resolve_sources(submitted: DataFrame, sources: DataFrame, aliases: DataFrame
     hashed = submitted.select("id", "url").withColumn("_url", canonical_url("url")).withColumn(
         "hash", F.when(is_http_url("_url"), url_hash("_url"))
     )
-    return hashed.join(source_keys(sources, aliases), "hash", "left").select(
+    # URLs without a hash get keys of their own, which match nothing and spread over all tasks
+    keyed = hashed.withColumn("hash", F.coalesce("hash", F.concat(F.lit("-"), F.col("id").cast("string"))))
+    return keyed.join(source_keys(sources, aliases), "hash", "left").select(
         "id", "url", F.col("_url").alias("canonical_url"), "source_id"
     )
 

@@ -42,11 +42,10 @@ def payload_kind(body: Column | str, content_type: Column | None = None) -> Colu
     text = trim_ascii(body)
 
     def decide(t: Column) -> Column:
-        head = F.lower(F.left(t, F.lit(2048)))
         root = F.lower(F.regexp_extract(t, ROOT, 1))
         json_version = F.when(F.startswith(t, F.lit("{")), F.get_json_object(t, "$.version"))
         is_json = F.contains(F.lower(F.coalesce(json_version, F.lit(""))), F.lit("jsonfeed.org/version"))
-        markup = F.contains(head, F.lit("<html")) | F.contains(head, F.lit("<head")) | F.contains(head, F.lit("<body"))
+        markup = t.rlike("(?i)<(?:html|head|body)")
         if content_type is not None:
             markup = markup | F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("text/html"))
         return (
@@ -204,7 +203,7 @@ def cap_items(items: Column, limit: int = S.PARSE_MAX_ITEMS) -> Column:
     return F.slice(items, 1, limit)
 
 
-def parsed(payloads: DataFrame, kinds: list[str] | None = None, cap: bool = True, dedupe: bool = True) -> DataFrame:
+def parsed(payloads: DataFrame, kinds: list[str] | None = None, cap: bool = False, dedupe: bool = True) -> DataFrame:
     """Add ``parsed_as`` and the ``items`` array of every payload.
 
     A payload has one root, so at most one of the parsers can yield items whatever order they are tried in; looking at

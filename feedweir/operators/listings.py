@@ -238,7 +238,7 @@ def candidate_score(url: Column, source_url: Column, title: Column, summary: Col
     path = F.concat(F.lit("/"), F.regexp_replace(url_path(canonical), "^/+|/+$", ""))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     depth = F.size(segments)
-    bare = F.lower(F.substring(path, 2, 10_000))
+    bare = F.lower(F.regexp_replace(path, "^/", ""))
     related = (host == own) | F.endswith(host, F.concat(F.lit("."), own)) | F.endswith(own, F.concat(F.lit("."), host))
 
     def points(hit: Column, value: int) -> Column:

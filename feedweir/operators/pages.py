@@ -293,13 +293,13 @@ def absolutize_body_urls(html: Column, base: Column) -> Column:
     folder = F.regexp_replace(F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"/[^/]*/?$", "")
     lead = r"""(?i)((?:href|src|poster|data-src)\s*=\s*["'])"""
     rooted = F.regexp_replace(html, F.lit(lead + r"""(/(?!/)[^"':\s]?[^"']*?)(["'])"""), F.concat(F.lit("$1"), origin, F.lit("$2$3")))
-    relative = lead + r"""((?![/#])(?!data:)(?!mailto:)(?!https?:)[^"':\s/][^"':]*?)(["'])"""
+    relative = lead + r"""((?![/#])(?!data:)(?!mailto:)(?!https?://)[^"':\s/][^"']*?)(["'])"""
     return F.regexp_replace(rooted, F.lit(relative), F.concat(F.lit("$1"), origin, folder, F.lit("/$2$3")))
 
 
 def raw_title(html: Column, url: Column) -> Column:
     """Title by pattern: og:title, first h1, title element, else the host."""
-    og = clean_markup(F.regexp_extract(html, r"""(?i)<meta[^>]+property=["']og:title["'][^>]+content=["']([^"']+)["']""", 1))
+    og = decoded_markup(F.regexp_extract(html, r"""(?i)<meta[^>]+property=["']og:title["'][^>]+content=["']([^"']+)["']""", 1))
     h1 = clean_markup(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
     title = clean_markup(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
     return F.coalesce(blank_to_null(og), blank_to_null(h1), blank_to_null(title), url_host(url), F.lit("Untitled"))
@@ -311,6 +311,12 @@ def clean_markup(x: Column) -> Column:
     return trim_ascii(strip_tags(x))
 
 
+def decoded_markup(x: Column) -> Column:
+    from feedweir.functions.text import decode_entities, strip_tags
+
+    return trim_ascii(decode_entities(strip_tags(x)))
+
+
 def raw_image(html: Column, url: Column) -> Column:
     og = F.regexp_extract(html, r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']""", 1)
     img = F.regexp_extract(html, r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1)

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy per-row work on an input with few splits.
+#: Session setting: partitions into which inputs of heavy per-row work are dealt. Unset, the scan's splits stay.
+SPREAD_CONF = "spark.feedweir.spread"
 
-    Only inputs with fewer splits than the default parallelism are shuffled, so a large table is never moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows into as many partitions as the session asks for, for small inputs of few splits; else leave them."""
+    parts = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def time_chunk(ts: str | Column, width_seconds: int = 3600) -> Column:

@@ -106,9 +106,9 @@ def source_overview(sources: DataFrame, articles: DataFrame, subscriptions: Data
     )
 
 
-def failed_jobs_by_source(failed_jobs: DataFrame, limit: int = 250) -> DataFrame:
-    """Newest failure per source among the last ``limit`` failed jobs."""
-    recent = failed_jobs.orderBy(F.col("id").desc()).limit(limit)
+def failed_jobs_by_source(failed_jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest failure per source, of all failed jobs or of the last ``limit``."""
+    recent = failed_jobs if limit is None else failed_jobs.orderBy(F.col("id").desc()).limit(limit)
     command = F.get_json_object("payload", "$.data.command")
     source = F.regexp_extract(command, r'sourceId";s:\d+:"([^"]+)"', 1).try_cast("bigint")
     return (

@@ -66,7 +66,7 @@ def parse_json_feed_items(v):
 @query(
     "parse_with_fallback_order",
     f"""WITH {RAW} SELECT {COLS}, ['rss', 'atom', 'json_feed'][kind + 1] AS parsed_as,
-        CASE WHEN payload_id % 5 = 0 THEN kind + 1 ELSE 1 END::INT AS attempt FROM items WHERE pos < 100""",
+        CASE WHEN payload_id % 5 = 0 THEN kind + 1 ELSE 1 END::INT AS attempt FROM items""",
 )
 def parse_with_fallback_order(v):
     return feeds.parse_with_fallback_order(corpus(v))
@@ -109,7 +109,7 @@ CAND = """SELECT doc_id AS payload_id, r AS rank, 'https://feed.example.org/p/'
         c AS (SELECT cand.payload_id, cand.rank, CAST(split_part(url, '/p/', 2) AS BIGINT) AS other, url FROM cand WHERE type = 'rss'
             AND NOT EXISTS (SELECT 1 FROM n WHERE n.payload_id = cand.payload_id)),
         f AS (SELECT c.payload_id, arg_min(other, rank) AS other FROM c JOIN n ON n.payload_id = c.other GROUP BY 1)
-        SELECT f.payload_id, 'https://feed.example.org/p/' || f.other AS candidate_url, pos, i.url, title FROM f JOIN items i ON i.payload_id = f.other WHERE pos < 100""",
+        SELECT f.payload_id, 'https://feed.example.org/p/' || f.other AS candidate_url, pos, i.url, title FROM f JOIN items i ON i.payload_id = f.other""",
 )
 def fallback_candidate_items(v):
     doc = F.col("doc_id")
@@ -124,7 +124,7 @@ def fallback_candidate_items(v):
 
 @query(
     "parse_outcomes",
-    f"""WITH {RAW}, n AS (SELECT payload_id, least(count(*), 100) AS n FROM items GROUP BY 1)
+    f"""WITH {RAW}, n AS (SELECT payload_id, count(*) AS n FROM items GROUP BY 1)
         SELECT doc_id AS payload_id, doc_id % 20 AS source_id, coalesce(n, 0) AS parsed_count, CASE WHEN n > 0 THEN 'parsed' ELSE 'active' END AS status,
             CASE WHEN n > 0 THEN NULL ELSE 'parse_empty' END AS error_type FROM v_docs LEFT JOIN n ON n.payload_id = doc_id""",
 )

@@ -115,7 +115,8 @@ RANKED = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY requested_url
 
 def ranked(v):
     sources = v.sources.select("id", "source_url")
-    return discovery.rank_candidates(v.spark.sql(CAND.replace("FROM v_sources", "FROM {src}"), src=sources))
+    rows = CAND.replace("FROM v_sources", "FROM {src}").replace("CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS k(pos)", "LATERAL VIEW explode(sequence(0, 4)) k AS pos")
+    return discovery.rank_candidates(v.spark.sql(rows, src=sources))
 
 
 @query(
@@ -139,7 +140,7 @@ def apply_discovery(v):
 
 @query(
     "ingestion_probe",
-    f"""WITH {RAW}, {RANKED}, n AS (SELECT 'https://feed.example.org/p/' || payload_id AS url, least(count(*), 100) AS n FROM items GROUP BY payload_id),
+    f"""WITH {RAW}, {RANKED}, n AS (SELECT 'https://feed.example.org/p/' || payload_id AS url, count(*) AS n FROM items GROUP BY payload_id),
         c AS (SELECT r.*, coalesce(n.n, 0) AS n_items FROM ranked r LEFT JOIN n ON n.url = r.url), p AS (SELECT * FROM c WHERE rank = 1),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY requested_url ORDER BY rank) AS rn FROM c
             WHERE rank > 1 AND n_items > 0 AND type IN ('rss', 'atom', 'json_feed')) x WHERE rn = 1)

@@ -77,7 +77,7 @@ JOBS = """jobs AS (SELECT source_id, max(id) AS id, arg_max(display_name, id) AS
     FROM (SELECT id, failed_at, CASE WHEN json_valid(payload) THEN payload ->> '$.displayName' END AS display_name,
         CASE WHEN exception = '' THEN 'Unknown failure' ELSE split_part(exception, chr(10), 1) END AS head,
         try_cast(regexp_extract(CASE WHEN json_valid(payload) THEN payload ->> '$.data.command' END, 'sourceId";s:[0-9]+:"([^"]+)"', 1) AS BIGINT) AS source_id
-        FROM (SELECT * FROM v_failed_jobs ORDER BY id DESC LIMIT 250) j) k WHERE source_id >= 1 GROUP BY 1)"""
+        FROM v_failed_jobs) k WHERE source_id >= 1 GROUP BY 1)"""
 
 
 @query("failed_jobs_by_source", f"WITH {JOBS} SELECT * FROM jobs")

@@ -48,11 +48,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediates and stream checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) a
-    fresh local folder is used and recorded in the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session may leave it unset (tests on one machine): a
+    fresh local folder is then used and recorded in the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
