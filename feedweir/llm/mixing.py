@@ -145,7 +145,7 @@ def _judge(model: Classifier | None):
                 part = batch.slice(lo, hi - lo)
                 ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * p.shape[1])
                 extra = [pa.array(ws.counts.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*batch.schema.names, "_tokens", "_posterior"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *extra], names=["row", "doc_id", "tokens", "posterior"])
 
     return run
 
@@ -177,7 +177,7 @@ class Descent:
 
 
 def _posteriors(batch: pa.RecordBatch, n: int) -> np.ndarray:
-    return batch.column("_posterior").flatten().to_numpy().reshape(batch.num_rows, n)
+    return batch.column("posterior").flatten().to_numpy().reshape(batch.num_rows, n)
 
 
 def _totals(descent: Descent, n: int, at_rates: bool):
@@ -188,7 +188,7 @@ def _totals(descent: Descent, n: int, at_rates: bool):
         for batch in batches:
             p = _posteriors(batch, n)
             rate = descent.rates(p) if at_rates else descent.ahead(p)
-            total += (batch.column("_tokens").to_numpy() * rate) @ p
+            total += (batch.column("tokens").to_numpy() * rate) @ p
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
 
     return run
@@ -199,7 +199,7 @@ def _gram(n: int):
         total = np.zeros((n, n))
         for batch in batches:
             p = _posteriors(batch, n)
-            total += (p * batch.column("_tokens").to_numpy()[:, None]).T @ p
+            total += (p * batch.column("tokens").to_numpy()[:, None]).T @ p
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["total"])
 
     return run
@@ -211,9 +211,9 @@ def _summed(parts: DataFrame, n: int) -> np.ndarray:
 
 
 def descend(held: DataFrame, domains: list[str], targets: dict[str, float], steps: int = STEPS) -> tuple[Descent, dict]:
-    """Fit the rates of ``held`` (_tokens, _posterior) → the descent and a report."""
+    """Fit the rates of ``held`` (tokens, posterior) → the descent and a report."""
     n = len(domains)
-    light = held.select("_tokens", "_posterior")
+    light = held.select("tokens", "posterior")
     gram = _summed(light.mapInArrow(_gram(n), "total array<double>"), n * n).reshape(n, n)
     tokens = gram.sum()
     goal = np.array([max(0.0, float(targets.get(d, 0.0))) for d in domains])
@@ -238,27 +238,30 @@ def _rated(descent: Descent, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rate = descent.rates(_posteriors(batch, n))
-            rate = np.where(batch.column("_tokens").to_numpy() > 0, rate, 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "_rate"])
+            rate = np.where(batch.column("tokens").to_numpy() > 0, rate, 1.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
 
     return run
 
 
 def rated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_fit: int = MAX_FIT) -> tuple[DataFrame, list[str], dict]:
-    """``docs`` with _tokens, _posterior (in the order of the returned domains), _rate and _copies; and a report of the fit."""
+    """→ row (a struct of the document's columns), doc_id, tokens, posterior (in the order of the returned domains), rate and copies;
+    the domains; a report of the fit."""
     scratch = Scratch(docs.sparkSession, "mixing")
     model = learn(docs, labelled, max_fit)
     domains = model.domains if model else ["all"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    held = scratch.put(docs.mapInArrow(_judge(model), f"{kinds}, _tokens long, _posterior array<double>"), "held")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kinds = f"row {rows.schema['row'].dataType.simpleString()}, doc_id long"
+    held = scratch.put(rows.mapInArrow(_judge(model), f"{kinds}, tokens long, posterior array<double>"), "held")
     descent, report = descend(held, domains, targets)
-    out = held.mapInArrow(_rated(descent, len(domains)), f"{kinds}, _tokens long, _posterior array<double>, _rate double")
-    chance = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    whole = F.floor("_rate")
-    return out.withColumn("_copies", (whole + (chance < F.col("_rate") - whole).cast("long")).cast("long")), domains, report
+    out = held.mapInArrow(_rated(descent, len(domains)), f"{kinds}, tokens long, posterior array<double>, rate double")
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    whole = F.floor("rate")
+    return out.withColumn("copies", (whole + (chance < F.col("rate") - whole).cast("long")).cast("long")), domains, report
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_fit: int = MAX_FIT) -> DataFrame:
     """The documents, each as many times as its rate says."""
     out, _, _ = rated(docs, labelled, targets, max_fit)
-    return out.withColumn("_copy", F.explode(F.expr("CASE WHEN _copies > 0 THEN sequence(1L, _copies) ELSE array() END"))).select(*docs.columns)
+    repeated = out.select("row", F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1L, copies) ELSE array() END")).alias("copy"))
+    return repeated.select("row.*")

@@ -248,9 +248,10 @@ def near_duplicates(
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document of the smallest id of each near-duplicate class, once."""
     kept = near_duplicates(docs).where("doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = Scratch(docs.sparkSession, "near-kept").put(kept.withColumnsRenamed({"doc_id": "_id", "times": "_times"}), "kept")
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
-    once = rows.where("_times = 1").select(*docs.columns)
-    if kept.where("_times > 1").isEmpty():
+    kept = Scratch(docs.sparkSession, "near-kept").put(kept.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "times"), "kept")
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id")
+    rows = docs.select(F.struct("*").alias("row"), id_).join(kept, "id")
+    once = rows.where("times = 1").select("row.*")
+    if kept.where("times > 1").isEmpty():
         return once
-    return once.union(rows.where("_times > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return once.union(rows.where("times > 1").dropDuplicates(["id"]).select("row.*"))

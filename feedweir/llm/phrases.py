@@ -322,9 +322,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with repeated passages cut out of their texts and ``n_chars`` counted anew; every row stays."""
     cut = remove_repeats(docs, window).where("kept is not null").select("doc_id", "tag", "kept").dropDuplicates(["doc_id", "tag"])
-    tagged = docs.withColumn("_tag", tag(F.col("text")))
-    cut = cut.withColumnsRenamed({"doc_id": "_id", "tag": "_tag2", "kept": "_kept"})
-    joined = tagged.join(cut, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_tag2")), "left")
-    text = F.coalesce("_kept", "text")
-    new = {"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.char_length("_kept")).otherwise(F.col("n_chars"))}
-    return joined.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(c) for c in docs.columns])
+    cut = cut.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "tag", "kept")
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id")
+    joined = docs.select(F.struct("*").alias("row"), id_, tag(F.col("text")).alias("tag")).join(cut, ["id", "tag"], "left")
+    old, kept = F.col("row"), F.col("kept")
+    new = {"text": F.coalesce(kept, old["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(kept.isNotNull(), F.char_length(kept)).otherwise(old["n_chars"])
+    return joined.select(*[new.get(f.name, old[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])

@@ -43,8 +43,8 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates at which documents are drawn so that clean, toxic and poor text meet their target shares of tokens."""
     out, names, _ = mixing.rated(table(spark, sf_dir, "documents").select("doc_id", "text"), domains(spark, sf_dir), TARGETS)
-    posteriors = [F.col("_posterior")[i].alias(f"p_{d}") for i, d in enumerate(names)]
-    return out.select("doc_id", F.col("_tokens").alias("tokens"), *posteriors, F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    posteriors = [F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(names)]
+    return out.select("doc_id", "tokens", *posteriors, "rate", "copies")
 
 
 @_query
