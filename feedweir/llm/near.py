@@ -12,7 +12,7 @@ four times as many each round, in the end all) are compared with the members of
 of a bucket is lost to the classes, while a tight group of n copies costs about n comparisons, not n squared.
 
 Edge cases: null and empty texts are copies of each other; texts of fewer than ``gram`` words are one element; a null id
-counts as larger than every id and comes out as null; rows of one id are one document; other columns are ignored.
+counts as larger than every id and comes out as null; rows of one id (null too) are one document; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -216,7 +216,10 @@ def near_duplicates(
         return pairs.mapInArrow(_verify(least), "a long, b long")
 
     heads = held.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.put(verified(heads), "links-heads")
+    # rows of one id with different texts are one document
+    several = members.groupBy("id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("id", "a")
+    joined = members.join(several, "id").where("first > a").select("a", F.col("first").alias("b"))
+    links = scratch.put(verified(heads).union(joined), "links-heads")
     roots = components(links, scratch, "classes-heads")
 
     # buckets that still hold several classes: every pair of their members that is in no common class gets compared

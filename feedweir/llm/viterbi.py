@@ -84,7 +84,7 @@ class Counter:
             return 0
         if not self.by_word:
             return self.best(MARK + text.replace(" ", MARK))
-        return sum(self._word(x) for x in _WORDS.findall(" " + text))
+        return sum(self._word(x) for x in _WORDS.findall(" " + text.replace(MARK, " ")))  # a written mark is a space
 
     def _word(self, word: str) -> int:
         found = self.words.get(word)
@@ -100,7 +100,7 @@ class Counter:
             return [self.count(t) for t in texts]
         out, words = [], self.words
         for text in texts:
-            if not text or text[0] == " " or text[-1] == " " or "  " in text:
+            if not text or text[0] == " " or text[-1] == " " or "  " in text or MARK in text:
                 out.append(self.count(text))
                 continue
             parts = text.split(" ")

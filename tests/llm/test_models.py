@@ -79,14 +79,14 @@ def test_rates_solve_the_nonnegative_problem(spark):
     tokens = draw.integers(1, 500, 60)
     held = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens bigint, posterior array<double>")
     names, targets = ["a", "b", "c"], {"a": 0.7, "b": 0.25, "c": 0.05}
-    descent, report = mixing.descend(held, names, targets, steps=300)
+    descent, report = mixing.descend(held, names, targets, steps=150)
     rate = descent.rates(p)
     goal = np.array([targets[n] for n in names]) * tokens.sum()
     assert (rate >= 0).all() and np.abs((tokens * rate) @ p - goal).max() < 1e-4 * tokens.sum()
     assert report["residuals"][-1] < 1e-4
     # beyond what the documents can give, the optimality conditions of the projected problem hold
     sharp = spark.createDataFrame([(100, [0.9, 0.1]), (100, [0.6, 0.4])], "tokens bigint, posterior array<double>")
-    descent, _ = mixing.descend(sharp, ["a", "b"], {"a": 0.0, "b": 1.0}, steps=400)
+    descent, _ = mixing.descend(sharp, ["a", "b"], {"a": 0.0, "b": 1.0}, steps=60)
     rate = descent.rates(np.array([[0.9, 0.1], [0.6, 0.4]]))
     assert rate[0] == 0 and rate[1] > 0
 
