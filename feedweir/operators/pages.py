@@ -10,6 +10,7 @@ from feedweir.functions.core import blank_to_null, contains_any, let
 from feedweir.functions.images import acceptable_image, image_penalty
 from feedweir.functions.text import clean_text, truncate_text
 from feedweir.functions.urls import absolute_url, is_http_url, trim_ascii, url_host, url_origin
+from feedweir.sources.html import VOID
 
 WS = r"[ \t\n\r\x0B\x0C]"
 
@@ -244,27 +245,53 @@ def _selectors() -> list[str]:
     ]
 
 
+def _kept_texts() -> str:
+    """SQL: the text of every node, empty where the node is no text or lies in a noise subtree; linear in the nodes.
+
+    Outermost noise nodes are those in no other noise subtree; between and inside them runs of flags are laid down.
+    """
+    inner = "flatten(transform(noise, c -> CASE WHEN c.z > c.a THEN sequence(c.a + 1, c.z) ELSE array() END))"
+    outer = f"transform(array_except(transform(noise, c -> c.a), {inner}), i -> named_struct('a', i, 'z', nodes[i - 1].end))"
+    runs = """flatten(transform(outer, (c, k) -> concat(
+        array_repeat(true, c.a - 1 - if(k = 0, 0, outer[k - 1].z)), array_repeat(false, c.z - c.a + 1))))"""
+    rest = "array_repeat(true, size(nodes) - if(size(outer) = 0, 0, outer[size(outer) - 1].z))"
+    flags = f"concat({runs}, {rest})"
+    texts = f"zip_with(nodes, {flags}, (n, kept) -> if(kept AND n.tag = '#text', n.text, ''))"
+    return f"transform(array({outer}), outer -> named_struct('kept', {flags}, 'texts', {texts}))[0]"
+
+
+def _markup() -> str:
+    """SQL: HTML of the subtree of node ``b.id`` without its noise: start tags and texts in order, end tags after the last descendant."""
+    void = ", ".join(f"'{t}'" for t in sorted(VOID))
+    attributes = """array_join(transform(map_entries(n.attrs), e -> concat(' ', e.key, '="', replace(replace(e.value, '&', '&amp;'), '"', '&quot;'), '"')), '')"""
+    text = "replace(replace(replace(n.text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    inside_ = "filter(slice(nodes, b.id, nodes[b.id - 1].end - b.id + 1), (n, i) -> kept[b.id - 1 + i])"
+    starts = f"transform({inside_}, n -> named_struct('at', n.id, 'side', 0, 'turn', 0, 'text', if(n.tag = '#text', {text}, concat('<', n.tag, {attributes}, '>'))))"
+    closed = f"filter({inside_}, n -> n.tag <> '#text' AND n.tag NOT IN ({void}))"
+    ends = f"transform({closed}, n -> named_struct('at', n.end, 'side', 1, 'turn', -n.id, 'text', concat('</', n.tag, '>')))"
+    return f"array_join(transform(array_sort(concat({starts}, {ends})), e -> e.text), '')"
+
+
 def article_bodies(shredded: DataFrame) -> DataFrame:
-    """Text of the main content: noise subtrees out, then the longest node of the first selector with enough text.
+    """Main content as text and as markup: noise subtrees out, then the longest node of the first selector with enough text.
 
     ``selector_rank`` is the selector's number, or one past the last when the whole body was taken.
     """
     noise = f"transform(filter(nodes, n -> {_noise()}), n -> named_struct('a', n.id, 'z', n.end))"
-    clean = shredded.select("page_id", "nodes", F.expr(noise).alias("noise")).select(
-        "page_id",
-        F.expr("filter(nodes, n -> NOT exists(noise, c -> n.id BETWEEN c.a AND c.z))").alias("nodes"),
-    )
-    inner = "array_join(transform(filter(nodes, y -> y.tag = '#text' AND y.id BETWEEN n.id AND n.end), y -> y.text), '')"
+    clean = shredded.select("page_id", "nodes", F.expr(noise).alias("noise"))
+    clean = clean.select("page_id", "nodes", F.expr(_kept_texts()).alias("k")).select("page_id", "nodes", "k.kept", "k.texts")
+    inner = "array_join(slice(texts, n.id, n.end - n.id + 1), '')"
     ranked = []
     for i, selector in enumerate([*_selectors(), "n.tag = 'body'"]):
         limit = S.BODY_MIN_BYTES if i < len(_selectors()) else -1
-        ranked.append(
-            f"transform(filter(nodes, n -> {selector}), n -> named_struct('rank', {i + 1}, 'id', n.id, 'text', trim({inner}), 'floor', {limit}))"
-        )
-    texts = f"filter(concat({', '.join(ranked)}), c -> octet_length(c.text) > c.floor)"
-    best = """array_min(transform(texts, c -> named_struct('rank', c.rank, 'short', -octet_length(c.text), 'id', c.id, 'text', c.text)))"""
-    return clean.select("page_id", F.expr(texts).alias("texts")).select("page_id", F.expr(best).alias("b")).select(
-        "page_id", F.col("b.rank").alias("selector_rank"), F.col("b.text").alias("body_text")
+        found = f"filter(nodes, n -> kept[n.id - 1] AND ({selector}))"
+        ranked.append(f"transform({found}, n -> named_struct('rank', {i + 1}, 'id', n.id, 'text', trim({inner}), 'floor', {limit}))")
+    enough = f"filter(concat({', '.join(ranked)}), c -> octet_length(c.text) > c.floor)"
+    best = "array_min(transform(found, c -> named_struct('rank', c.rank, 'short', -octet_length(c.text), 'id', c.id, 'text', c.text)))"
+    chosen = clean.select("*", F.expr(enough).alias("found")).select("page_id", "nodes", "kept", F.expr(best).alias("b"))
+    return chosen.select(
+        "page_id", F.col("b.rank").alias("selector_rank"), F.col("b.text").alias("body_text"),
+        F.expr(f"CASE WHEN b IS NOT NULL THEN {_markup()} END").alias("body_html"),
     )
 
 

