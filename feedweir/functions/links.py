@@ -20,7 +20,3 @@ def likely_href(href: Column | str, base: Column | str) -> Column:
         lambda u: ~url_path(u).rlike(MEDIA_PATH) & ~contains_any(u, S.HREF_PATHS_BLOCKED),
     )
     return F.coalesce((value != "") & ~starts_with_any(value, S.HREF_PREFIX_BLOCKED) & target, F.lit(False))
-
-
-def blocked_listing_image(src: Column) -> Column:
-    return contains_any(F.lower(trim_ascii(col(src))), S.LISTING_IMAGE_BLOCKED)

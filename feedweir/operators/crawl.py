@@ -44,16 +44,6 @@ def fetch_error(code: Column | str) -> Column:
     )
 
 
-def preview_error(code: Column | str) -> Column:
-    """Variant used for previews: 4xx codes keep their number."""
-    c = col(code)
-    return (
-        F.when(c == 429, "http_429")
-        .when(c == 403, "http_403")
-        .when(c >= 500, "http_5xx")
-        .otherwise(F.concat(F.lit("http_"), c.cast("string")))
-    )
-
 
 def classify_fetches(fetches: DataFrame) -> DataFrame:
     return fetches.groupBy(

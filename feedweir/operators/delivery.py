@@ -158,9 +158,6 @@ def initial_samples(new_subscriptions: DataFrame, articles: DataFrame, deliverie
     )
 
 
-def new_deliveries(wanted: DataFrame, deliveries: DataFrame) -> DataFrame:
-    return insert_if_absent(deliveries, wanted.select(*KEY), KEY)
-
 
 def delivery_outcomes(deliveries: DataFrame, results: DataFrame) -> DataFrame:
     """Apply send results: attempts counted up to the first success, nothing is resent after it."""

@@ -106,7 +106,7 @@ def verify_language(docs: DataFrame, profiles: DataFrame, target: Column, key: s
     """
     plain = docs.select(key, target.alias("target"), trim_ascii(strip_tags("text")).alias("plain"))
     grams = plain.where(F.length("plain") >= MIN_CHARS).select(key, _trigrams(F.col("plain")).alias("g"))
-    hits = grams.select(key, F.size("g").alias("total"), F.explode("g").alias("trigram")).join(F.broadcast(profiles), "trigram")
+    hits = grams.select(key, F.size("g").alias("total"), F.explode("g").alias("trigram")).join(profiles, "trigram")
     scores = hits.groupBy(key, "lang", "total").agg(F.sum("weight").alias("w")).select(
         key, "lang", F.round(F.col("w") / F.col("total"), 6).alias("score")
     )

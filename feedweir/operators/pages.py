@@ -22,10 +22,6 @@ def text_of(x: str) -> str:
     )
 
 
-def first(condition: str, var: str = "n") -> str:
-    """SQL: first node in document order that meets the condition."""
-    return f"try_element_at(filter(nodes, {var} -> {condition}), 1)"
-
 
 def inside(x: str, tag: str) -> str:
     return f"contains(concat({x}.path, '/'), '/{tag}/')"

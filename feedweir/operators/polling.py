@@ -164,7 +164,7 @@ def repair_candidates(parse_empty: DataFrame, schemas: DataFrame, now: Column) -
 
 
 def stale_generations(
-    generations: DataFrame, now: Column, timeout_seconds: int = S.GENERATION_TIMEOUT_SECONDS, limit: int = 200
+    generations: DataFrame, now: Column, timeout_seconds: int = S.GENERATION_TIMEOUT_SECONDS, limit: int = S.STALE_GENERATIONS_MAX
 ) -> DataFrame:
     """Pending generations past the timeout, oldest ids first, as failed rows."""
     timeout = max(S.GENERATION_TIMEOUT_FLOOR, timeout_seconds)

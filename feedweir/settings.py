@@ -143,6 +143,7 @@ REPAIR_COOLDOWN_MINUTES = 60
 HEALTH_START, HEALTH_FLOOR, HEALTH_GAIN, HEALTH_MAX = 50, 40, 8, 100
 HEALTH_SOFT_DROP, HEALTH_HARD_DROP = 10, 15
 HEALTH_SOFT_ERRORS = ["timeout", "network", "http_5xx"]
+STALE_GENERATIONS_MAX = 200
 GENERATION_TIMEOUT_SECONDS = 180
 GENERATION_TIMEOUT_FLOOR = 30
 PENDING_STATUSES = ["queued", "discovering", "fetching", "parsing"]

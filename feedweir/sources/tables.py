@@ -71,9 +71,3 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, lower: int, upper: int,
                  numPartitions=str(partitions), **options)
         .load()
     )
-
-
-def append_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Append rows to a Parquet table, one folder per day when a date column is given."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
