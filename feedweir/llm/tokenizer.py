@@ -11,42 +11,81 @@ import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Words kept per worker; beyond that the store starts afresh.
-MAX_WORDS = 250_000
+MAX_WORDS = 600_000
+#: Words encoded in one call.
+CHUNK = 4000
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_RUNS = ("  ", "\n ", " \n", "\n\n")
+_ENDS = ".,;:!?"
 _OPEN: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """A byte-level BPE whose pre-tokenizer never joins a non-space with a space behind it.
+    """A byte-level BPE whose pre-tokenizer never joins a non-space with a space or line feed behind it, nor a letter with a mark.
 
-    Such a text can be cut before every run of spaces and its parts encoded by themselves. Only texts of words between single spaces
-    take that way; others, and texts with special tokens in them, are encoded whole.
+    Such a text can be cut before every space and round every line feed, and its words encoded by themselves. Only texts of words
+    between single spaces and line feeds take that way; others, and texts with special tokens in them, are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line, *self.marks = self._whole(["\n", *_ENDS])
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many to a call: a line feed between two words is a token of its own."""
+        out: list[bytes] = []
+        for a in range(0, len(words), CHUNK):
+            part = words[a : a + CHUNK]
+            (raw,) = self._whole(["\n".join(part)])
+            cuts = np.flatnonzero(np.frombuffer(raw, self.kind) == np.frombuffer(self.line, self.kind)[0]) * self.kind.itemsize
+            if len(cuts) == len(part) - 1:
+                size = self.kind.itemsize
+                starts, ends = [0, *(cuts + size).tolist()], [*cuts.tolist(), len(raw)]
+                out += [raw[i:j] for i, j in zip(starts, ends, strict=True)]
+            else:
+                out += self._whole(part)
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        """Encode parts that are not known: words behind a space, and with a space put before them the first words of lines."""
+        known = self.known
+        marked = [p for p in parts if len(p) > 1 and p[-1] in _ENDS and p[-2].isalpha()]
+        bare = {p[:-1] for p in marked}.union(parts.difference(marked))
+        new = [p for p in bare if p not in known]
+        known.update(zip(new, self._words([p[1:] if p[:1] == " " else " " + p for p in new]), strict=True))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[_ENDS.index(p[-1])]
+
+    def _simple(self, text: str) -> bool:
+        """Whether the text is words between single spaces and line feeds."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(run in text for run in _RUNS):
+            return False
+        return not _OTHER_SPACE.search(text) and not any(s in text for s in self.special)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``kind``."""
-        parts: list[list[str] | None] = []
+        lines: list[list[list[str]] | None] = []
         for text in texts:
-            simple = "  " not in text and "\n " not in text and not _OTHER_SPACE.search(text) and not any(s in text for s in self.special)
-            parts.append(text.split(" ") if simple and text else None)
-            if parts[-1]:
-                parts[-1][0] = " " + parts[-1][0]  # a first word has no space before it; no other part begins with one
+            if not self._simple(text):
+                lines.append(None)
+                continue
+            parts = [line.split(" ") for line in text.split("\n")]
+            for p in parts:
+                p[0] = " " + p[0]  # a first word has no space before it; no other part begins with one
+            lines.append(parts)
         if len(self.known) > MAX_WORDS:
             self.known.clear()
         known = self.known
-        new = [p for p in set().union(*(p for p in parts if p)) if p not in known]
-        known.update(zip(new, self._whole([p[1:] if p[:1] == " " else " " + p for p in new]), strict=True))
-        whole = iter(self._whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        return [next(whole) if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
+        self._learn(set().union(*(p for parts in lines if parts for p in parts)).difference(known))
+        whole = iter(self._whole([t for t, p in zip(texts, lines, strict=True) if p is None]))
+        look = known.__getitem__
+        return [next(whole) if parts is None else self.line.join([b"".join(map(look, p)) for p in parts]) for parts in lines]
 
 
 def encoder(path: str) -> Encoder:
