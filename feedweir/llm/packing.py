@@ -189,5 +189,7 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     phases = schedule(counts, weights, size)
     before = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # one short row per partition and queue, written out so that Spark knows its size before it plans the join
+    bases = scratch.put(bases, "bases")
     placed = tokens.join(bases, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("local")).alias("at"), "tokens", "ids")
     return placed.mapInArrow(_cut(phases, queues, encoder(tokenizer).kind.str), _PIECES)
