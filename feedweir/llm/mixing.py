@@ -45,8 +45,8 @@ _PRIOR = 8.0
 
 def _buckets(ws: w.Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, bucket of a word) of a slice."""
-    doc, bucket, _ = w.unique_pairs(ws.doc(), (ws.hashes() >> np.uint64(48)).astype(np.int64))
-    return doc, bucket
+    keys = np.unique((ws.doc().astype(np.uint64) << np.uint64(16)) | (ws.hashes() >> np.uint64(48)))
+    return (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

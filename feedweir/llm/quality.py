@@ -65,20 +65,23 @@ def statistics(ws: w.Words) -> np.ndarray:
     """Statistics of the texts of a slice, one row each."""
     size, n = np.diff(ws.offsets).astype(float), ws.counts.astype(float)
     per_byte, per_word = 1 / np.maximum(size, 1), 1 / np.maximum(n, 1)
-    kinds = {k: _per_text(table[ws.buf], ws.offsets) for k, table in _KINDS.items()}
+    cell = np.repeat(np.arange(len(n)) * 256, np.diff(ws.offsets)) + ws.buf
+    bytes_ = np.bincount(cell, minlength=256 * len(n)).reshape(len(n), 256).astype(float)
+    kinds = {k: bytes_ @ table for k, table in _KINDS.items()}
     length = (ws.end - ws.start).astype(float)
-    letters = np.concatenate([[0], np.cumsum(_LETTER[ws.buf])])
+    letters = np.zeros(len(ws.buf) + 1, np.int32)
+    np.cumsum(_LETTER[ws.buf], out=letters[1:])
     words = lambda flag: _per_text(flag, ws.first) * per_word
     mean = words(length)
     h, doc = ws.hashes(), ws.doc()
-    d, _, times = w.unique_pairs(doc, h)
+    d, times = w.distinct_counts(doc, h)
     most = np.zeros(len(n))
     np.maximum.at(most, d, times)
     again = np.zeros(len(h))
     again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
     at = w.fits(ws, 3)
     triples = np.bincount(doc[at], minlength=len(n)) if len(at) else np.zeros(len(n))
-    distinct = np.bincount(w.unique_pairs(doc[at], w.grams(h, 3)[at])[0], minlength=len(n)) if len(at) else np.zeros(len(n))
+    distinct = np.bincount(w.distinct_counts(doc[at], w.grams(h, 3)[at])[0], minlength=len(n)) if len(at) else np.zeros(len(n))
     last = ws.buf[ws.end - 1] if len(h) else ws.buf[:0]
     begin = ws.buf[ws.start] if len(h) else ws.buf[:0]
     out = [

@@ -198,5 +198,11 @@ def unique_pairs(group: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.
     return g[at], v[at], np.diff(np.append(at, len(g)))
 
 
+def distinct_counts(group: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group and frequency of its distinct values, told apart by their upper 44 bits: for statistics, by one plain sort."""
+    keys, times = np.unique((group.astype(np.uint64) << np.uint64(44)) | (values >> np.uint64(20)), return_counts=True)
+    return (keys >> np.uint64(44)).astype(np.int64), times
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
