@@ -35,7 +35,7 @@ from feedweir.llm.scratch import Scratch
 K = 10
 K1, B = 1.2, 0.75
 DIGITS = 6
-SHARD_ROWS = 8192
+SHARD_ROWS = 4096
 BLOCK = 64
 #: Words in this share of a shard's documents are kept as rows of impacts and bounded by block.
 FREQUENT = 1 / 8
