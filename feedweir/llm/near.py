@@ -7,9 +7,10 @@ similarity of their weights (for plain sets: the Jaccard similarity). ``bands``
 every link is verified on the exact weighted sets.
 
 Hot groups: word-for-word copies are one class from the start and only the first of them takes part. In a bucket all members are
-first compared with its smallest member. Where that leaves a bucket in several classes, ever more members (chosen by hash,
-four times as many each round, in the end all) are compared with the members of other classes, so no link of two members
-of a bucket is lost to the classes, while a tight group of n copies costs about n comparisons, not n squared.
+first compared with its smallest member, which settles a tight group of n copies with n comparisons. Where that leaves a bucket
+in several classes, its members are dealt into chunks of at most ``BLOCK`` documents, large classes into chunks of their own,
+and chunks that share a bucket are compared as matrices, once however many buckets they share and never where both
+hold one and the same class. So no link of two members of a bucket is lost, and no pair is ever a row.
 
 Edge cases: null and empty texts are copies of each other; texts of fewer than ``gram`` words are one element; a null id
 counts as larger than every id and comes out as null; rows of one id (null too) are one document; other columns are ignored.
@@ -31,8 +32,10 @@ from feedweir.llm.scratch import Scratch
 GRAM = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 6
-#: Members compared with the rest of a bucket in the first round after the smallest one.
-PIVOTS = 8
+#: Documents on one side of a block of comparisons.
+BLOCK = 512
+#: Columns of a block's incidence matrices worked on at once.
+COLUMNS = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 _SIGNED = "id long, doc_id long, n_words long, k1 long, k2 long, bands array<long>"
@@ -182,8 +185,106 @@ def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
+def _torn(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, id, label, n) of buckets of three members or more in which several classes are left."""
+    label = held.where("n > 2").join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("label"))
+    torn = label.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    return label.join(torn, "bucket")
+
+
+def _chunks(torn: DataFrame, block: int) -> DataFrame:
+    """(id, chunk, one): a chunk holds documents of one largest bucket; ``one`` names its class where it is all of one."""
+    home = torn.groupBy("id").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.min("label").alias("label"))
+    large = home.groupBy("home", "label").agg(F.count("*").alias("size")).where(F.col("size") >= block // 2)
+    sided = home.join(large, ["home", "label"], "left").select("id", "home", F.when(F.col("size").isNotNull(), F.col("label")).alias("one"))
+    key = F.coalesce("one", F.lit(-1))
+    parts = sided.groupBy("home", key.alias("k")).agg(F.ceil(F.count("*") * 1.1 / block).alias("parts"))
+    dealt = sided.withColumn("k", key).join(parts, ["home", "k"])
+    return dealt.select("id", F.xxhash64("home", "k", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("chunk"), "one")
+
+
+def _blocks(torn: DataFrame, block: int) -> DataFrame:
+    """Pairs of chunks that share a bucket and do not hold one and the same class."""
+    seen = torn.select("bucket", "id").join(_chunks(torn, block), "id").select("bucket", "chunk", "one").distinct()
+    other = seen.select("bucket", F.col("chunk").alias("c2"), F.col("one").alias("two"))
+    pairs = seen.join(other, "bucket").where("chunk <= c2 AND NOT coalesce(one = two, false)")
+    return pairs.select(F.col("chunk").alias("c1"), "c2").distinct()
+
+
+def _compare(least: float):
+    """Links between the two sides of a block (or within its one side), as a spanning forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+        order = np.argsort(side, kind="stable")
+        table, side, ids = table.take(pa.array(order)), side[order], ids[order]
+        grams, counts = table.column("grams").combine_chunks(), table.column("counts").combine_chunks()
+        sizes = np.diff(grams.offsets.to_numpy())
+        flat = grams.flatten().to_numpy().view(np.uint64)
+        weight = weights(counts.flatten().to_numpy())
+        row = np.repeat(np.arange(len(ids)), sizes)
+        plain = np.ones(len(ids), bool)
+        plain[row[weight > 1]] = False
+        total = np.bincount(row, weight, minlength=len(ids))
+        share = np.sqrt(weight / total[row])
+        known, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+        use = times[column] > 1
+        sort = np.argsort(column[use], kind="stable")
+        col, at, half = column[use][sort], row[use][sort], share[use][sort]
+        left, right = (np.arange(len(ids)),) * 2 if side.max() == side.min() else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        place = np.zeros(len(ids), np.int64)
+        place[left] = np.arange(len(left))
+        on_right = place.copy()
+        on_right[right] = np.arange(len(right))
+        is_left, is_right = np.isin(np.arange(len(ids)), left), np.isin(np.arange(len(ids)), right)
+        both = np.zeros((len(left), len(right)))
+        alike = np.zeros((len(left), len(right)))
+        for lo in range(0, len(known), COLUMNS):
+            a, b = np.searchsorted(col, [lo, lo + COLUMNS])
+            if a == b:
+                continue
+            mats = []
+            for value in (np.ones(b - a, np.float32), half[a:b].astype(np.float32)):
+                for inside, spot, n in ((is_left, place, len(left)), (is_right, on_right, len(right))):
+                    m = np.zeros((n, COLUMNS), np.float32)
+                    keep = inside[at[a:b]]
+                    m[spot[at[a:b]][keep], col[a:b][keep] - lo] = value[keep]
+                    mats.append(m)
+            both += mats[0] @ mats[1].T
+            if not plain.all():
+                alike += mats[2] @ mats[3].T
+        union = sizes[left][:, None] + sizes[right][None, :] - both
+        exact = plain[left][:, None] & plain[right][None, :]
+        linked = exact & (both / np.maximum(union, 1) >= least)
+        # weighted sets: the similarity is at most the sum of the roots of the products of the shares
+        maybe = ~exact & (alike >= least - 1e-4)
+        root = np.arange(len(ids))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        ends, found = np.append(0, np.cumsum(sizes)), []
+        for i, j in np.argwhere(linked | maybe).tolist():
+            x, y = int(left[i]), int(right[j])
+            if x == y or find(x) == find(y):
+                continue
+            if maybe[i, j]:
+                p, q = slice(ends[x], ends[x + 1]), slice(ends[y], ends[y + 1])
+                if similarity(flat[p], weight[p], flat[q], weight[q]) < least:
+                    continue
+            root[find(x)] = find(y)
+            found.append((ids[x], ids[y]))
+        a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        return pa.table([np.minimum(a, b), np.maximum(a, b)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(
-    docs: DataFrame, gram: int = GRAM, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, gram: int = GRAM, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) → doc_id, n_words, class_id: the smallest id of its near-duplicate class."""
     scratch = Scratch(docs.sparkSession, "near")
@@ -207,7 +308,7 @@ def near_duplicates(
         "buckets",
     )
     held = scratch.put(dealt.join(buckets, "bucket"), "held")
-    wanted = held.select("id").distinct()
+    wanted = held.select("id").distinct().hint("merge")  # the same plan at every size: never a broadcast of ids
     sets = scratch.put(texts.select("id", "text").join(wanted, "id").mapInArrow(_sets(gram), _SETS), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -222,26 +323,16 @@ def near_duplicates(
     links = scratch.put(verified(heads).union(joined), "links-heads")
     roots = components(links, scratch, "classes-heads")
 
-    # buckets that still hold several classes: every pair of their members that is in no common class gets compared
-    share = F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    ranked = held.where("n > 2").withColumn("rank", share * F.col("n"))
-    before, upto, turn = 0, PIVOTS, 0
-    while True:
-        label = ranked.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id"))
-        torn = label.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        torn = scratch.put(label.join(torn, "bucket").where(F.col("n") > before).select("bucket", "id", "head", "rank", "label", "n"), f"torn-{turn}")
-        if torn.isEmpty():
-            break
-        rest = torn.where((F.col("rank") >= before) & (F.col("id") != F.col("head")))
-        pivots = rest.where(F.col("rank") < upto).select("bucket", F.col("id").alias("pivot"), F.col("label").alias("other"))
-        pairs = (
-            rest.join(pivots, "bucket").where("label <> other")
-            .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        )
-        more = scratch.put(verified(pairs), f"links-{turn}")
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more), scratch, f"classes-{turn}")
-        before, upto, turn = upto, upto * 4, turn + 1
+    # buckets that still hold several classes: their members are compared in blocks, but for members of one class
+    torn = _torn(held, roots)
+    torn = scratch.put(torn, "torn")
+    if not torn.isEmpty():
+        blocks = scratch.put(_blocks(torn, block), "blocks")
+        sides = blocks.select("c1", "c2", F.posexplode(F.array("c1", "c2")).alias("side", "chunk"))
+        chunks = scratch.put(_chunks(torn, block), "chunks")
+        dealt = sides.where("side = 0 OR c1 <> c2").join(chunks, "chunk").join(sets, "id").select("c1", "c2", "side", "id", "grams", "counts")
+        more = scratch.put(dealt.groupBy("c1", "c2").applyInArrow(_compare(least), "a long, b long"), "links-blocks")
+        roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more), scratch, "classes-blocks")
 
     known = roots.select(F.col("id").alias("first"), "root")
     found = members.drop("bands").join(known, "first", "left").withColumn("class_id", F.coalesce("root", "first"))
@@ -253,7 +344,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).where("doc_id <=> class_id").groupBy("doc_id").agg(F.count("*").alias("times"))
     kept = Scratch(docs.sparkSession, "near-kept").put(kept.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "times"), "kept")
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id")
-    rows = docs.select(F.struct("*").alias("row"), id_).join(kept, "id")
+    rows = docs.select(F.struct("*").alias("row"), id_).join(kept.hint("merge"), "id")
     once = rows.where("times = 1").select("row.*")
     if kept.where("times > 1").isEmpty():
         return once

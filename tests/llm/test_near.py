@@ -59,13 +59,14 @@ def test_classes_equal_all_pairs(small):
     assert sorted(map(tuple, got), key=repr) == classes(rows)
 
 
-def test_torn_buckets_are_compared_to_the_end(spark, monkeypatch):
-    """With one coarse component per band all texts share buckets, so links must be found round after round."""
-    monkeypatch.setattr(near, "PIVOTS", 1)
+@pytest.mark.parametrize("block", [4, 256])
+def test_torn_buckets_are_compared_to_the_end(spark, block):
+    """With one coarse component per band all texts share buckets, so links between members that are not the smallest count."""
     base = [f"b{i}" for i in range(60)]
     rows = [(i, " ".join(["common five words stand here", *[f"d{i}x{j}" for j in range(6)]])) for i in range(30)]
     rows += [(100 + i, " ".join(["common five words stand here", *base[:59], f"e{i}"])) for i in range(6)]
-    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bands=40, rows=1)
+    rows += [(200 + i, " ".join(["common five words stand here", *["again and again we say it"] * 9, *base[:9], f"e{i}"])) for i in range(5)]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), bands=40, rows=1, block=block)
     assert sorted(map(tuple, got.select("doc_id", "class_id").collect()), key=repr) == classes(rows)
 
 
