@@ -1,21 +1,22 @@
 """Mixture-controlled packing: every window is filled from all source queues in the target proportions of tokens.
 
-Sources are queues of tokens, in table order. Deficit round-robin gives each queue its share of every window in whole tokens and
-carries what it is short of into the next window; the shares are taken over cycles of ``CYCLE`` windows, after which no deficit
-is left. When a queue runs dry the others share its part, until all tokens lie in exactly one piece. How many tokens of a queue lie
-before a window is then a formula of the window's number, so the plan is a short list of phases (two per queue at most), and
-every document finds its pieces from the position of its first token in its queue. Positions are sums over the tokens of
-earlier partitions, so deficits carry across partitions too.
+Sources are queues of tokens, in table order, every source its own. Each queue gets its share of every window in whole tokens and
+what it is short of is carried into the next window without end: how many tokens of a queue lie before a window is an exact
+formula of the window's number and the queue's whole total (see ``Phase``), so rare sources are spread over the corpus as evenly
+as large ones. When a queue runs dry the others share its part, until all tokens lie in exactly one piece. The plan is a short
+list of phases (two per target at most), and every document finds its pieces from the position of its first token in its queue.
+Positions are sums over the tokens of earlier partitions, so deficits carry across partitions too.
 
 Token ids are written once to the shared folder; only counts per partition and queue are shuffled.
 
-Edge cases: a null or empty text is its end token alone; a null source, and sources beyond the ``MAX_QUEUES`` - 1 with most rows,
-share one queue; repeated rows are packed each; an empty table gives no pieces; other columns are ignored.
+The driver and each task hold one name and one number per source.
+
+Edge cases: a null or empty text is its end token alone; rows without a source share one queue; repeated rows are packed each;
+an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,7 @@ from feedweir.llm.tokenizer import encoder
 
 SIZE = 2048
 END = 1
-CYCLE = 64
-MAX_QUEUES = 256
-#: Queue of the sources that have none of their own.
+#: Queue of the rows without a source.
 SHARED = "*"
 
 _TOKENS = "doc_id long, queue string, part int, local long, tokens long, ids binary"
@@ -61,74 +60,106 @@ def _encode(path: str, end: int):
 
 
 class Phase:
-    """Windows ``first`` to ``first + count`` in which the same queues are filled by the same cycle of quotas."""
+    """Windows ``first`` to ``first + count`` of ``size`` tokens in which the queues have whole-number ``weights``.
+
+    A binary tree over the queues deals tokens one by one: of the first n tokens of a node its left child has n * left / node,
+    rounded. Both children's counts rise by 0 or 1 with n, so quotas are never negative, sum to n exactly, and stray from the
+    weights by half a token per level of the tree at most, however many windows there are.
+    """
 
-    def __init__(self, first: int, count: int, quotas: np.ndarray, used: np.ndarray):
-        self.first, self.count, self.used = first, count, used
-        self.cycle = len(quotas)
-        self.upto = np.vstack([np.zeros(quotas.shape[1], np.int64), np.cumsum(quotas, axis=0)])
-        self.left = np.hstack([np.zeros((self.cycle, 1), np.int64), np.cumsum(quotas, axis=1)[:, :-1]])  # where a queue starts in its window
-        self.rows = [row.tolist() for row in self.upto.T]
+    def __init__(self, first: int, count: int, weights: np.ndarray, used: np.ndarray, size: int):
+        self.first, self.count, self.used, self.size = first, count, used, size
+        self.queues, self.depth = len(weights), max(0, len(weights) - 1).bit_length()
+        total = sum(int(x) for x in weights)
+        tokens = max(size * (count + 1), int(max(weights, default=0)) + 1)
+        self.kind = np.int64 if 2 * tokens * total < 1 << 62 else object  # object: Python's integers, exact at any size
+        upto = np.zeros((1 << self.depth) + 1, self.kind)
+        upto[1 : self.queues + 1] = np.cumsum(np.array([int(x) for x in weights], self.kind))
+        upto[self.queues + 1 :] = total
+        self.upto = upto
+
+    def before(self, queue: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of the queue, tokens of all queues before it) among the first ``n`` of the phase."""
+        lo, n, others = np.zeros(len(queue), np.int64), n.astype(self.kind), np.zeros(len(queue), self.kind)
+        for level in range(self.depth - 1, -1, -1):
+            mid = lo + (1 << level)
+            whole = np.maximum(self.upto[mid + (1 << level)] - self.upto[lo], 1)
+            left = (n * (self.upto[mid] - self.upto[lo]) + whole // 2) // whole
+            right = queue >= mid
+            others, n, lo = np.where(right, others + left, others), np.where(right, n - left, left), np.where(right, mid, lo)
+        return n.astype(np.int64), others.astype(np.int64)
+
+    def rank(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Place among all tokens of the phase of a queue's token; one that may lie beyond the phase comes as a Python integer."""
+        kind = object if token.dtype == object else self.kind
+        wide, token = self.upto.astype(kind, copy=False), token.astype(kind)
+        for level in range(self.depth):
+            mid = (queue >> (level + 1) << (level + 1)) + (1 << level)
+            low, middle, high = wide[mid - (1 << level)], wide[mid], wide[mid + (1 << level)]
+            whole, right = high - low, queue >= mid
+            up = -((whole // 2 - (token + 1) * whole) // np.maximum(middle - low, 1)) - 1
+            token = np.where(right, (token * whole + whole // 2) // np.maximum(high - middle, 1), up)
+        return token
 
     def taken(self, windows: int) -> np.ndarray:
-        return self.upto[-1] * (windows // self.cycle) + self.upto[windows % self.cycle]
-
-    def place(self, queue: int, token: int) -> tuple[int, int, int]:
-        """(window, offset, tokens of the queue to the end of its part of the window) of a token, counted from the phase."""
-        row = self.rows[queue]
-        turn, rest = divmod(token, row[-1])
-        k = bisect.bisect_right(row, rest) - 1
-        return self.first + turn * self.cycle + k, int(self.left[k, queue]) + rest - row[k], row[k + 1] - rest
-
-
-def cycle(weights: np.ndarray, size: int, windows: int = CYCLE) -> np.ndarray:
-    """Whole quotas (windows x queues): each window sums to ``size``, deficits are carried on and are nil after the last."""
-    share = weights / weights.sum() * size * windows
-    total = np.floor(share).astype(np.int64)
-    total[np.argsort(total - share, kind="stable")[: size * windows - total.sum()]] += 1
-    given, out = np.zeros(len(weights), np.int64), []
-    for k in range(1, windows + 1):
-        due = total * k - given * windows  # in parts of 1 / windows token
-        quota = np.maximum(due // windows, 0)
-        short = size - int(quota.sum())
-        rest = due - quota * windows
-        while short:
-            step = 1 if short > 0 else -1
-            able = np.flatnonzero(quota > 0) if step < 0 else np.arange(len(quota))
-            at = able[np.argsort(-step * rest[able], kind="stable")[: abs(short)]]
-            quota[at] += step
-            rest[at] -= step * windows
-            short = size - int(quota.sum())
-        given += quota
-        out.append(quota)
-    return np.array(out)
+        return self.before(np.arange(self.queues), np.full(self.queues, windows * self.size, object))[0]
+
+    def pieces(self, queue: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, start, stop, window, offset) of the pieces of runs of tokens of queues, counted from the start of the phase."""
+        row = np.arange(len(queue))
+        ends = (self.rank(np.tile(queue, 2), np.concatenate([start, stop - 1])) // self.size).astype(np.int64)
+        first, last = ends[: len(queue)], ends[len(queue) :]
+        rare = last - first >= stop - start  # fewer tokens than windows: go by tokens
+        n = np.where(rare, stop - start, last - first + 1)
+        row = np.repeat(row, n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        window, thin = first[row] + step, rare[row]
+        if thin.any():
+            window[thin] = self.rank(queue[row[thin]], (start[row] + step)[thin]) // self.size
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1])
+            row, window = row[new], window[new]
+        asked, bounds = np.tile(queue[row], 2), np.concatenate([window, window + 1]).astype(self.kind) * self.size
+        own, others = self.before(asked, bounds)
+        begin, end = own[: len(row)], own[len(row) :]
+        a, b = np.maximum(start[row], begin), np.minimum(stop[row], end)
+        offset = others[len(row) :] - others[: len(row)] + a - begin
+        some = b > a
+        return row[some], a[some], b[some], self.first + window[some], offset[some]
+
+
+def _whole(weights: np.ndarray) -> np.ndarray:
+    """Whole numbers in the proportions of the weights: themselves if whole, else to 60 bits."""
+    if weights.dtype.kind in "iu" or np.all((weights == np.floor(weights)) & (weights < 1 << 53)):
+        return weights.astype(np.int64)
+    scale = (1 << 60) / float(weights.sum())
+    return np.array([max(1, int(x * scale)) if x > 0 else 0 for x in weights.tolist()], np.int64)
 
 
 def schedule(totals: np.ndarray, weights: np.ndarray, size: int = SIZE) -> list[Phase]:
     """The phases that use up ``totals`` tokens of each queue."""
     left, used, first, phases = totals.astype(np.int64).copy(), np.zeros(len(totals), np.int64), 0, []
 
-    def add(count: int, quotas: np.ndarray) -> None:
+    def add(phase: Phase) -> None:
         nonlocal first
-        phases.append(Phase(first, count, quotas, used.copy()))
-        taken = phases[-1].taken(count)
-        left[:], used[:], first = left - taken, used + taken, first + count
+        phases.append(phase)
+        taken = phase.taken(phase.count)
+        left[:], used[:], first = left - taken, used + taken, first + phase.count
 
     while left.sum() >= size:
         active = left > 0
         share = np.where(active, np.maximum(weights, 0), 0)
         share = share if share.sum() > 0 else np.where(active, left, 0)
-        quotas = cycle(share.astype(float), size)
-        upto = np.cumsum(quotas, axis=0)
-        whole = [int(n // c) for n, c in zip(left, upto[-1], strict=True) if c]
-        count = max(0, min(whole) - 1) * CYCLE
-        spare = left - upto[-1] * (count // CYCLE)
-        while np.all(spare >= quotas[count % CYCLE]):
-            spare, count = spare - quotas[count % CYCLE], count + 1
+        whole = _whole(share)
+        asked = np.flatnonzero(whole > 0)
+        most = Phase(first, int(left.sum()) // size, whole, used.copy(), size)
+        # the first window that would need a token that its queue no longer has
+        dry = min(int(x) for x in most.rank(asked, left[asked].astype(object)))
+        count = min(most.count, dry // size)
         if count:
-            add(count, quotas)
+            add(Phase(first, count, whole, used.copy(), size))
             continue
-        quota = np.minimum(quotas[0], left)  # a queue runs dry in this window: the others fill its part
+        quota = np.minimum(most.taken(1), left)  # a queue runs dry in this window: the others fill its part
         while (short := size - int(quota.sum())) > 0:
             able = np.flatnonzero(left > quota)
             part = np.where(share[able] > 0, share[able], 0).astype(float)
@@ -137,31 +168,41 @@ def schedule(totals: np.ndarray, weights: np.ndarray, size: int = SIZE) -> list[
             if not more.any():
                 more[np.argmax(part)] = 1
             quota[able] += more
-        add(1, quota[None, :])
+        add(Phase(first, 1, quota, used.copy(), size))
     if left.sum():
-        add(1, left[None, :].copy())
+        add(Phase(first, 1, left.copy(), used.copy(), int(left.sum())))
     return phases
 
 
 def _cut(phases: list[Phase], queues: dict[str, int], kind: str):
-    starts = {q: [int(p.used[i]) for p in phases] for q, i in queues.items()}
+    ends = [p.used + p.taken(p.count) for p in phases]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "queue", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "queue", "at", "tokens", "ids")]
-            for doc, queue, at, tokens, raw in zip(*columns, strict=True):
-                wide, q, done = np.frombuffer(raw, kind).astype("<u4").tobytes(), queues[queue], 0
-                while done < tokens:
-                    phase = bisect.bisect_right(starts[queue], at + done) - 1
-                    begin = starts[queue][phase]
-                    window, offset, room = phases[phase].place(q, at + done - begin)
-                    n = min(room, tokens - done)
-                    for k, v in zip(out, (doc, queue, done, n, tokens, window, offset, wide[4 * done : 4 * (done + n)]), strict=True):
-                        out[k].append(v)
-                    done += n
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+            if not batch.num_rows:
+                continue
+            queue = np.array([queues[q] for q in batch.column("queue").to_pylist()], np.int64)
+            at, tokens = batch.column("at").to_numpy(), batch.column("tokens").to_numpy()
+            found = []
+            for phase, end in zip(phases, ends, strict=True):
+                start, stop = np.maximum(at, phase.used[queue]), np.minimum(at + tokens, end[queue])
+                rows = np.flatnonzero(start < stop)
+                if len(rows):
+                    base = phase.used[queue[rows]]
+                    row, a, b, window, offset = phase.pieces(queue[rows], start[rows] - base, stop[rows] - base)
+                    skip = base[row] - at[rows[row]]
+                    found.append((rows[row], a + skip, b - a, window, offset))
+            row, start, length, window, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+            wide = [np.frombuffer(raw, kind).astype("<u4").tobytes() for raw in batch.column("ids").to_pylist()]
+            ids = [wide[r][4 * s : 4 * (s + n)] for r, s, n in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
+            take = pa.array(row)
+            columns = [
+                batch.column("doc_id").take(take), batch.column("queue").take(take), pa.array(start), pa.array(length),
+                batch.column("tokens").take(take), pa.array(window), pa.array(offset), pa.array(ids, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                columns, names=["doc_id", "queue", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+            )
 
     return run
 
@@ -174,18 +215,15 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    largest = docs.where("source is not null").groupBy("source").count().orderBy(F.desc("count"), "source").limit(MAX_QUEUES - 1)
-    own = sorted({str(r[0]) for r in largest.collect()} | set(targets or {}))  # bounded by MAX_QUEUES and the targets given
-    source = F.col("source").cast("string")
-    queue = F.when(source.isin(own), source).otherwise(F.lit(SHARED)) if own else F.lit(SHARED)
+    queue = F.coalesce(F.col("source").cast("string"), F.lit(SHARED))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), "text")
     tokens = scratch.put(rows.mapInArrow(_encode(tokenizer, end), _TOKENS), "tokens")
 
-    sums = tokens.groupBy("part", "queue").agg(F.sum("tokens").alias("n"))
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    queues = {q: i for i, q in enumerate(sorted(totals))}
-    counts = np.array([totals[q] for q in queues], np.int64)
-    weights = counts.astype(float) if targets is None else np.array([float(targets.get(q, 0)) for q in queues])
+    sums = scratch.put(tokens.groupBy("part", "queue").agg(F.sum("tokens").alias("n")), "sums")
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").toArrow()  # one name and one number per source
+    queues = {q: i for i, q in enumerate(totals["queue"].to_pylist())}
+    counts = totals["n"].to_numpy().astype(np.int64)
+    weights = counts if targets is None else np.array([float(targets.get(q, 0)) for q in queues])
     phases = schedule(counts, weights, size)
     before = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

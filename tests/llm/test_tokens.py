@@ -111,5 +111,53 @@ def test_schedule_uses_everything():
         assert [p.first for p in phases] == np.cumsum([0, *[p.count for p in phases]])[:-1].tolist()
 
 
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_rare_sources_keep_their_share_over_thousands_of_windows(scale):
+    """Sources of less than a token per hundred windows lie near their targets throughout; ``scale`` 1000 needs more than 64 bits."""
+    size = 2048
+    totals = np.array([3_000_000, 7, 86, *[40] * 300, 4_000_000, 1, 2_500, *range(1, 60)], np.int64) * scale
+    totals[1] = 7
+    phases = packing.schedule(totals, totals, size)
+    windows = int(totals.sum()) // size
+    assert windows > 3000 and phases[0].count == windows
+    for k in [*range(1, windows, max(1, windows // 2000)), windows]:
+        due = totals / totals.sum() * size * k
+        assert np.abs(phases[0].taken(k) - due).max() < 6, k
+    last = phases[-1]
+    assert (last.used + last.taken(last.count) == totals).all()
+
+
+def test_pieces_equal_the_quotas_token_by_token():
+    draw = np.random.default_rng(5)
+    for _ in range(60):
+        weights, size = draw.integers(0, 40, draw.integers(1, 12)), int(draw.integers(3, 30))
+        count = int(weights.sum()) // size
+        if not count:
+            continue
+        phase = packing.Phase(4, count, weights, np.zeros(len(weights), np.int64), size)
+        upto = np.array([phase.taken(k) for k in range(count + 1)])
+        quotas = np.diff(upto, axis=0)
+        assert (quotas >= 0).all() and (quotas.sum(axis=1) == size).all()
+        filled = np.zeros((count, size), int)
+        for q in np.flatnonzero(upto[-1]):
+            n = int(upto[-1][q])
+            cut = int(draw.integers(0, n))
+            runs = [(a, b) for a, b in ((0, cut), (cut, n)) if b > a]
+            starts, stops = np.array(runs).T
+            row, a, b, window, offset = phase.pieces(np.full(len(runs), q), starts, stops)
+            assert (b - a).sum() == n
+            for x, y, k, o in zip(a, b, window - 4, offset, strict=True):
+                assert upto[k][q] <= x < y <= upto[k + 1][q]
+                filled[k, o : o + y - x] += 1
+        assert (filled == 1).all()
+
+
+def test_every_source_has_its_own_queue(spark):
+    rows = [(i, "one two three four", f"s{i % 350}") for i in range(700)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), BPE, size=64).collect()
+    assert len({p.queue for p in pieces}) == 350
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+
+
 def test_empty_table(none):
     assert packing.pack(none, BPE).count() == 0
