@@ -8,12 +8,15 @@ document with a smaller id. The steps, each linear in the words that take part:
    Word-for-word copies of an earlier document are settled here and take no further part.
 2. Windows round recurring anchors are hashed (128 bits) and grouped: a window of two documents is *confirmed*, its home is
    the first of them. Confirmed windows that follow each other in their home form passages, cut into bounded pieces.
-3. Documents with recurring anchors are dealt into shards of bounded size. A shard gets the passages whose anchors occur in
-   it and compiles them into one Aho-Corasick automaton: phrases of half a window at such a stride that every window of a
-   passage holds a whole phrase. All texts of the shard run through it; each hit is extended word by word against
-   the passage, and matches of at least a window remove their words. So hashes only propose, words decide.
+3. Documents with recurring anchors are dealt into shards of bounded size. A shard gets the passages of which one of its
+   documents after the home holds a confirmed window, and compiles them into Aho-Corasick automata of bounded words: phrases
+   of half a window at such a stride that every window of a passage holds a whole phrase. All texts of the shard run through
+   each; each hit is extended word by word against the passage, and matches of at least a window, from all automata together,
+   remove their words. So hashes only propose, words decide.
 
-A frequent passage has one home and is one pattern per shard, whatever the number of documents that hold it.
+A frequent passage has one home and is one pattern per shard, whatever the number of documents that hold it. A window of a
+document calls for one passage at most, so the passages of all shards are linear in the input, also where one phrase stands in
+many different passages.
 
 Edge cases: null and empty texts have no words and lose none; texts shorter than a window lose none; a null id counts as
 larger than every id; rows with the same id are not earlier than each other; repeated rows get the same answer each; other
@@ -31,6 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from feedweir.llm import words as w
 from feedweir.llm.scratch import Scratch
@@ -42,11 +46,13 @@ GRAM = 8
 PIECE = 200
 #: Bytes of text in one shard.
 SHARD_BYTES = 8 << 20
+#: Words of the passages in one automaton; each has a code point of its own at most, of which there are 1,056,768.
+AUTOMATON_WORDS = 500_000
 LAST_ID = (1 << 63) - 1
 
 _SEEN = "id long, doc_id long, tag string, n_words long, k1 long, k2 long, whole_sha256 string, anchors array<long>"
-_WINDOWS = "h1 long, h2 long, id long"
-_PASSAGES = "home long, passage string, anchors array<long>"
+_WINDOWS = "h1 long, h2 long, id long, shard long"
+_PASSAGES = "home long, passage string, windows array<long>"
 _FOUND = "id long, tag string, n_removed long, kept_sha256 string, kept string"
 
 
@@ -105,7 +111,7 @@ def _windows(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, shards = batch.column("id").to_numpy(), batch.column("shard").to_numpy()
             for lo, hi, ws in w.slices(batch.column("text")):
                 at, anchor, h = _anchored(ws, window, gram)
                 doc = ws.doc()[at]
@@ -118,29 +124,31 @@ def _windows(window: int, gram: int):
                 d, a, b = doc[order], h1[order], h2[order]
                 new = np.ones(len(d), bool)
                 new[1:] = (d[1:] != d[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                at = lo + d[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.signed(a[new])), pa.array(w.signed(b[new])), pa.array(ids[lo + d[new]])], names=["h1", "h2", "id"]
+                    [pa.array(w.signed(a[new])), pa.array(w.signed(b[new])), pa.array(ids[at]), pa.array(shards[at])],
+                    names=["h1", "h2", "id", "shard"],
                 )
 
     return run
 
 
 def _passages(window: int, gram: int):
-    """Runs of confirmed windows in their home, as words joined by one space, with the anchors of their windows."""
+    """Runs of confirmed windows in their home, as words joined by one space, with the hashes of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            homes, texts, anchors = [], [], []
+            homes, texts, held = [], [], []
             for lo, hi, ws in w.slices(batch.column("text")):
-                at, anchor, h = _anchored(ws, window, gram)
+                at, _, h = _anchored(ws, window, gram)
                 doc = ws.doc()[at]
                 windows = w.grams(h, window)[at] if len(at) else np.zeros(0, np.uint64)
                 keep = _members(doc, windows, batch.column("windows").slice(lo, hi - lo))
-                at, doc, anchor, windows = at[keep], doc[keep], anchor[keep], windows[keep]
+                at, doc, windows = at[keep], doc[keep], windows[keep]
                 _, first = np.unique(_key(doc, windows), return_index=True)  # a window of a text is kept where it stands first
                 first.sort()
-                at, doc, anchor = at[first], doc[first], anchor[first]
+                at, doc, windows = at[first], doc[first], windows[first]
                 cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(doc) != 0)) + 1
                 for a, b in zip(np.append(0, cuts), np.append(cuts, len(at)), strict=True):
                     for s in range(a, b, PIECE):
@@ -148,10 +156,10 @@ def _passages(window: int, gram: int):
                         i, j = at[s], at[e - 1] + window
                         homes.append(ids[lo + doc[s]])
                         texts.append(b" ".join(ws.buf[ws.start[i] : ws.end[j - 1]].tobytes().split()).decode())
-                        anchors.append(w.signed(np.unique(anchor[s:e])))
+                        held.append(w.signed(windows[s:e]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(homes, pa.int64()), pa.array(texts, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
-                names=["home", "passage", "anchors"],
+                [pa.array(homes, pa.int64()), pa.array(texts, pa.string()), pa.array(held, pa.list_(pa.int64()))],
+                names=["home", "passage", "windows"],
             )
 
     return run
@@ -218,14 +226,27 @@ class Automaton:
         return found
 
 
-def _cut(text: str, automaton: Automaton, before: int) -> tuple[int, str, str]:
+def automata(homes: list[int], passages: list[str], window: int, limit: int) -> Iterator[Automaton]:
+    """The passages in automata of at most ``limit`` words, or one passage where it is longer."""
+    lo, held = 0, 0
+    for i, passage in enumerate(passages):
+        n = passage.count(" ") + 1
+        if i > lo and held + n > limit:
+            yield Automaton(homes[lo:i], passages[lo:i], window)
+            lo, held = i, 0
+        held += n
+    if passages:
+        yield Automaton(homes[lo:], passages[lo:], window)
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> tuple[int, str, str]:
     """(words removed, sha256 of the kept words joined by one space, text without the removed words)."""
     raw = text.encode()
     buf = np.frombuffer(raw, np.uint8)
     ws = w.split(buf, np.array([0, len(buf)]))
     words = raw.split()
     edge = np.zeros(len(words) + 1, np.int64)
-    for a, b in automaton.spans(words, before):
+    for a, b in spans:
         edge[a] += 1
         edge[b] -= 1
     gone = np.cumsum(edge[:-1]) > 0
@@ -239,10 +260,13 @@ def _cut(text: str, automaton: Automaton, before: int) -> tuple[int, str, str]:
     return int(gone.sum()), hashlib.sha256(kept).hexdigest(), b"".join([*pieces, raw[at:]]).decode()
 
 
-def _stream(window: int):
+def _stream(window: int, limit: int):
     def run(docs: pd.DataFrame, passages: pd.DataFrame) -> pd.DataFrame:
-        automaton = Automaton(passages["home"].tolist(), passages["passage"].tolist(), window)
-        rows = [(i, tag, *_cut(text, automaton, i)) for i, tag, text in zip(docs["id"], docs["tag"], docs["text"], strict=True)]
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(len(docs))]
+        for automaton in automata(passages["home"].tolist(), passages["passage"].tolist(), window, limit):
+            for own, i, text in zip(spans, docs["id"], docs["text"], strict=True):
+                own += automaton.spans(text.encode().split(), i)
+        rows = [(i, tag, *_cut(text, own)) for i, tag, text, own in zip(docs["id"], docs["tag"], docs["text"], spans, strict=True)]
         return pd.DataFrame(rows, columns=["id", "tag", "n_removed", "kept_sha256", "kept"])
 
     return run
@@ -253,7 +277,19 @@ def tag(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def routed(passages: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(part, home, passage): each passage once for every shard in which a document after its home holds one of its windows."""
+    wanted = (
+        passages.select("passage_id", "home", F.explode("windows").alias("h1"))
+        .join(confirmed.where("last > home").select("home", "h1", "shard"), ["home", "h1"])
+        .select("passage_id", F.col("shard").alias("part")).distinct()
+    )
+    return wanted.join(passages.select("passage_id", "home", "passage"), "passage_id").select("part", "home", "passage")
+
+
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, automaton_words: int = AUTOMATON_WORDS
+) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text).
 
     → doc_id, tag (see ``tag``), n_words, n_removed, kept_sha256 and ``kept``: the text without the removed words, null where
@@ -285,28 +321,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     flags = anchors.join(recurring, "anchor").groupBy("id", "tag").agg(F.collect_set("anchor").alias("anchors"))
     flagged = scratch.put(texts.select("id", "tag", "text").join(flags, ["id", "tag"]), "flagged")
 
-    # confirmed windows and their homes
-    windows = flagged.select("id", "text", "anchors").mapInArrow(_windows(window, gram), _WINDOWS)
-    homes = (
-        windows.groupBy("h1", "h2").agg(F.min("id").alias("home"), F.max("id").alias("last")).where("home < last")
-        .groupBy(F.col("home").alias("id")).agg(F.collect_set("h1").alias("windows"))
+    size = flagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // shard_bytes))
+    dealt = flagged.select("id", "tag", "text", "anchors", F.pmod(F.xxhash64("id", "tag"), F.lit(shards)).cast("long").alias("shard"))
+
+    # confirmed windows, their homes and the last document of each shard that holds them
+    windows = dealt.select("id", "text", "anchors", "shard").mapInArrow(_windows(window, gram), _WINDOWS)
+    held = windows.groupBy("h1", "h2", "shard").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    same = W.partitionBy("h1", "h2")
+    confirmed = scratch.put(
+        held.select("h1", "shard", "last", F.min("first").over(same).alias("home"), F.max("last").over(same).alias("end"))
+        .where("home < end").drop("end"),
+        "confirmed",
     )
+    homes = confirmed.groupBy(F.col("home").alias("id")).agg(F.collect_set("h1").alias("windows"))
     passages = flagged.select("id", "text").join(homes, "id").mapInArrow(_passages(window, gram), _PASSAGES)
     passages = scratch.put(passages.withColumn("passage_id", F.monotonically_increasing_id()), "passages")
 
     # automata by shard
-    size = flagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    dealt = flagged.select("id", "tag", "text", "anchors", F.pmod(F.xxhash64("id", "tag"), F.lit(shards)).alias("shard"))
-    wanted = (
-        passages.select("passage_id", F.explode("anchors").alias("anchor"))
-        .join(dealt.select("shard", F.explode("anchors").alias("anchor")).distinct(), "anchor")
-        .select("passage_id", F.col("shard").alias("part")).distinct()
-    )
-    routed = wanted.join(passages.select("passage_id", "home", "passage"), "passage_id").select("part", "home", "passage")
     found = (
         dealt.select("shard", "id", "tag", "text").groupBy("shard")
-        .cogroup(routed.groupBy("part")).applyInPandas(_stream(window), _FOUND)
+        .cogroup(routed(passages, confirmed).groupBy("part")).applyInPandas(_stream(window, automaton_words), _FOUND)
         .where("id is not null").dropDuplicates(["id", "tag"])
     )
     nothing = hashlib.sha256(b"").hexdigest()

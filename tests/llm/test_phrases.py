@@ -50,3 +50,39 @@ def test_overlapping_variants_of_one_passage(spark):
     rows = [(1, " ".join(words[:80])), (2, " ".join(words[30:140])), (3, " ".join(words)), (4, " ".join(["x", *words[60:120], "y"]))]
     got = phrases.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute(rows)
+
+
+def test_a_common_phrase_does_not_send_every_passage_to_every_shard(spark, monkeypatch):
+    """Each pair of near copies has its own passage round one licence line; only the shards of its two documents get it."""
+    line = [f"licence{i}" for i in range(8)]
+    rows = []
+    for g in range(60):
+        left, right = [f"a{g}x{i}" for i in range(45)], [f"b{g}x{i}" for i in range(45)]
+        rows += [(2 * g, " ".join([*left, *line, *right])), (2 * g + 1, " ".join(["new", *left, *line, *right, "end"]))]
+    sent = []
+    plain = phrases.routed
+
+    def counted(passages, confirmed):
+        out = plain(passages, confirmed)
+        sent.append((passages.count(), out.count(), out.select("part").distinct().count()))
+        return out
+
+    monkeypatch.setattr(phrases, "routed", counted)
+    got = phrases.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), shard_bytes=4_000)
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == brute(rows)
+    passages, routed, shards = sent[0]
+    assert passages == 60 and shards > 10 and routed == passages
+
+
+def test_bounded_automata_remove_the_same_words(messy, rows):
+    got = phrases.remove_repeats(messy, shard_bytes=20_000, automaton_words=100).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
+def test_more_distinct_words_than_code_points():
+    passages = [" ".join(f"{n:x}" for n in range(at, at + 200)) for at in range(0, 1_100_000, 200)]
+    found = 0
+    for automaton in phrases.automata([1] * len(passages), passages, 50, phrases.AUTOMATON_WORDS):
+        assert len(automaton.code) <= phrases.AUTOMATON_WORDS
+        found += sum(b - a for a, b in automaton.spans(passages[-1].encode().split(), 2))
+    assert found == 200
