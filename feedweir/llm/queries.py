@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweir.llm import mixing, near, packing, phrases, quality, search, sharding, url_rules, viterbi, winnowing
+from feedweir.llm import divergence, mixing, near, packing, phrases, quality, search, sharding, url_rules, viterbi, winnowing
 from feedweir.llm.scratch import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,12 @@ ORACLES["op9_feistel_shards"] = sharding.permutation_sql()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the word use of every source is from the others of its language, and its ten most distinctive terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = divergence.audit_sql()

@@ -7,7 +7,7 @@ batch or on the Python process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,11 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII that is not a letter.
+NON_LETTER = np.array([not chr(b).isalpha() if b < 128 else False for b in range(256)])
+#: A-Z to a-z, other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Everything in ASCII that is neither a letter, a digit nor an underscore.
 NON_WORD = np.array([not (chr(b).isalnum() or chr(b) == "_") if b < 128 else False for b in range(256)])
 
@@ -115,7 +120,11 @@ def column(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def split(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE) -> Words:
     """Cut the texts into words. A text border always ends a word."""
-    inside = ~separators[buf]
+    return runs(buf, offsets, ~separators[buf])
+
+
+def runs(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    """The maximal runs of bytes that are ``inside``. A text border always ends a run."""
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -126,13 +135,19 @@ def split(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray = WHITE)
     return Words(buf, offsets, start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets))
 
 
-def slices(array: pa.Array, separators: np.ndarray = WHITE, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, last row + 1, words) for runs of rows of at most ``limit`` bytes, or one row where it is longer."""
+def slices(
+    array: pa.Array, separators: np.ndarray | Callable[[np.ndarray], np.ndarray] = WHITE, limit: int = SLICE_BYTES
+) -> Iterator[tuple[int, int, Words]]:
+    """(first row, last row + 1, words) for runs of rows of at most ``limit`` bytes, or one row where it is longer.
+
+    ``separators`` is a table of bytes, or a function that tells of each byte of a text whether it is part of a word.
+    """
     buf, offsets = column(array)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1, lo + 1)
-        yield lo, hi, split(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], separators)
+        part, at = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        yield lo, hi, runs(part, at, separators(part)) if callable(separators) else split(part, at, separators)
         lo = hi
 
 
@@ -182,6 +197,43 @@ def rightmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return (low - (m[:n] & low)).astype(np.int64)
 
 
+def strings(words: Words) -> pa.StringArray:
+    """All words in their order, A-Z as a-z."""
+    size = words.end - words.start
+    edge = np.zeros(len(words.buf) + 1, np.int8)
+    edge[words.start] += 1
+    edge[words.end] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(LOWER[words.buf[inside]]))
+
+
+class Tally:
+    """Sums by key of the rows of a task: combined as they come, given out when more than ``limit`` keys are held."""
+
+    def __init__(self, keys: list[str], sums: list[str], limit: int = 400_000):
+        self.keys, self.sums, self.limit, self.held, self.rows, self.least = keys, sums, limit, [], 0, 0
+
+    def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        self.held.append(table)
+        self.rows += table.num_rows
+        if self.rows > max(self.limit, 2 * self.least):
+            self._combine()
+            if self.rows > self.limit:
+                yield from self.flush()
+
+    def _combine(self) -> None:
+        added = pa.concat_tables(self.held).group_by(self.keys, use_threads=False).aggregate([(s, "sum") for s in self.sums])
+        added = added.rename_columns([c.removesuffix("_sum") for c in added.column_names]).select(self.keys + self.sums)
+        self.held, self.rows, self.least = [added], added.num_rows, added.num_rows
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._combine()
+            yield from self.held[0].to_batches(max_chunksize=1 << 16)
+        self.held, self.rows, self.least = [], 0, 0
+
+
 def lists(values: np.ndarray, group: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
     """One list for each of n rows from values sorted by their row."""
     ends = np.searchsorted(group, np.arange(n + 1))
