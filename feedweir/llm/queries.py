@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweir.llm import divergence, mixing, near, packing, phrases, quality, search, sharding, url_rules, viterbi, winnowing
+from feedweir.llm import divergence, mixing, near, packing, phrases, quality, search, sharding, spelling, url_rules, viterbi, winnowing
 from feedweir.llm.scratch import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_source_divergence"] = divergence.audit_sql()
+
+
+@_query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with the number of words one edit away, its more frequent form and the root of its forms."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling_variants"] = spelling.variants_sql()

@@ -57,6 +57,11 @@ class _Powers:
 _POWERS = tuple(_Powers(b) for b in _BASES)
 
 
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base of the polynomials and of its inverse, at least n of each."""
+    return _POWERS[base].upto(n + 1)
+
+
 @dataclass
 class Words:
     """Words of the texts of one slice. ``first[d]`` to ``first[d + 1]`` are the words of text d."""
