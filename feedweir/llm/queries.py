@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweir.llm import divergence, mixing, near, packing, phrases, quality, search, sharding, spelling, url_rules, viterbi, winnowing
+from feedweir.llm import divergence, mixing, near, packing, phrases, quality, search, sharding, spelling, toxicity, url_rules, viterbi, winnowing
 from feedweir.llm.scratch import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,9 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_spelling_variants"] = spelling.variants_sql()
+
+
+@_query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
