@@ -13,9 +13,10 @@ from feedweir import settings as S
 from feedweir.functions.core import blank_to_null, let, sha256_ci
 from feedweir.functions.images import feed_image_or_null
 from feedweir.functions.text import clean_summary, clean_text, parse_date, strip_tags, truncate_text
-from feedweir.functions.urls import absolute_url, trim_ascii, url_hash
+from feedweir.functions.urls import absolute_url, canonical_url, trim_ascii, url_hash
 from feedweir.operators.partitioning import top_per_key
 from feedweir.session import stage
+from feedweir.sources.html import shred_pages
 
 ITEM = "struct<url:string,title:string,external_id:string,summary:string,image_url:string,published_at:timestamp>"
 
@@ -241,8 +242,13 @@ def parse_items(payloads: DataFrame, kind: str, cap: bool = False) -> DataFrame:
     return item_rows(parsed(payloads, [kind], cap=cap))
 
 
-def parse_with_fallback_order(payloads: DataFrame) -> DataFrame:
-    """Items of every payload whatever its declared type, with the format that yielded them and its attempt number."""
+def parse_with_fallback_order(payloads: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Items of every payload whatever its declared type, with the format that yielded them and its attempt number.
+
+    ``rules`` (as for :func:`listings.schema_extract_items`: the active extraction rule of a source by the hash of its URL) are tried
+    fourth, on payloads that no feed format finds items in. Only payloads of sources with a rule are looked at again, shredded and
+    searched; rows that a rule yields carry its id and version and what the listing shows of an item.
+    """
     order = {
         "rss": ["rss", "atom", "json_feed"],
         "atom": ["atom", "rss", "json_feed"],
@@ -252,9 +258,27 @@ def parse_with_fallback_order(payloads: DataFrame) -> DataFrame:
     for declared in ("rss", "atom", "json_feed", None):
         tried = order.get(declared, order["rss"])
         nth = F.array_position(F.array(*[F.lit(t) for t in tried]), F.col("parsed_as")).cast("int")
-        hit = F.col("source_type") == declared if declared else ~F.col("source_type").isin(list(order))
+        hit = F.col("source_type") == declared if declared else ~F.coalesce(F.col("source_type"), F.lit("")).isin(list(order))
         attempt = F.when(hit, nth).otherwise(attempt)
-    return item_rows(parsed(payloads).withColumn("attempt", attempt), "parsed_as", "attempt")
+    found = item_rows(parsed(payloads, cap=rules is not None).withColumn("attempt", attempt), "parsed_as", "attempt")
+    return found if rules is None else found.unionByName(_schema_stage(payloads, rules), allowMissingColumns=True)
+
+
+def _schema_stage(payloads: DataFrame, rules: DataFrame) -> DataFrame:
+    """Items that the active rule of its source finds in a payload without feed items, in page order, numbered from 0."""
+    from feedweir.operators import listings  # listings builds on the feed functions
+
+    keyed = payloads.withColumn("_hash", url_hash(canonical_url("final_url")))
+    ruled = keyed.join(rules.select(F.col("url_hash").alias("_hash")), "_hash", "left_semi").drop("_hash")
+    html = parsed(ruled.withColumn("html", F.col("body"))).where(F.size("items") == 0)
+    pages = shred_pages(html.select(F.col("payload_id").alias("page_id"), F.col("final_url").alias("url"), "html"))
+    items = listings.schema_extract_items(pages, rules)
+    kept = top_per_key(items, ["page_id"], [F.col("pos").asc()], S.PARSE_MAX_ITEMS).withColumn("pos", (F.col("rn") - 1).cast("int"))
+    return kept.select(
+        F.col("page_id").alias("payload_id"), "pos", "url", "title", "summary", "image_url", "published_at",
+        F.lit("html_schema").alias("parsed_as"), F.lit(len(S.FEED_TYPES) + 1).alias("attempt"),
+        "listing_summary", "listing_image_url", "schema_id", F.col("version").alias("schema_version"),
+    )
 
 
 def dedupe_item_rows(items: DataFrame) -> DataFrame:

@@ -205,12 +205,13 @@ EXTRACT = f"""transform(filter(nodes, n -> n.tag <> '#text' AND coalesce({_MATCH
 def schema_extract_items(shredded: DataFrame, rules: DataFrame) -> DataFrame:
     """Items of every page whose source has an active rule; weak candidates go when better ones exist."""
     keyed = shredded.withColumn("url_hash", url_hash(canonical_url("url"))).join(rules, "url_hash")
-    rows = keyed.select("page_id", "url", "schema_id", F.posexplode_outer(F.expr(EXTRACT)).alias("pos", "i")).where("pos IS NOT NULL")
+    rows = keyed.select("page_id", "url", "schema_id", "version", F.posexplode_outer(F.expr(EXTRACT)).alias("pos", "i")).where("pos IS NOT NULL")
     image = feed_image_or_null(absolute_url("i.image", "url"))
     items = rows.select(
         "page_id",
         F.col("url").alias("source_url"),
         "schema_id",
+        "version",
         "pos",
         F.col("i.href").alias("href"),
         absolute_url("i.href", "url").alias("url"),

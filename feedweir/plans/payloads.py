@@ -19,7 +19,7 @@ def _s(x) -> Column:
 
 
 def payloads(docs: DataFrame) -> DataFrame:
-    """doc_id % 4: RSS, Atom, JSON Feed, plain HTML; the declared type is wrong for every fifth."""
+    """doc_id % 4: RSS, Atom, JSON Feed, an HTML listing; the declared type is wrong for every fifth."""
     doc = F.col("doc_id")
     lines = F.split("text", "\n")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -65,6 +65,14 @@ def payloads(docs: DataFrame) -> DataFrame:
             F.date_format(at(i), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_published"),
         )
 
+    def story(line: Column, i: Column) -> Column:
+        return F.concat(
+            _s("<article class=\"lead story\">"),
+            F.when(i % 2 == 0, F.concat(_s("<time>"), F.date_format(at(i), "yyyy-MM-dd HH:mm:ss"), _s("</time>"))).otherwise(_s("")),
+            _s("<h2><a href=\""), F.when(i % 7 == 6, _s("/tag")).otherwise(url(i)), _s("\">"), _xml(line), _s("</a></h2><p>"), _xml(line), _s("</p><img src=\"/img/"),
+            F.when(i % 3 == 1, F.concat(_s(i), _s(".png"))).otherwise(_s("avatar.jpg")), _s("\"></article>"),
+        )
+
     kind = doc % 4
     body = (
         F.when(
@@ -84,7 +92,12 @@ def payloads(docs: DataFrame) -> DataFrame:
             kind == 2,
             F.to_json(F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.transform(lines, json_item).alias("items"))),
         )
-        .otherwise(F.concat(_s("<html><body><p>"), _xml(F.col("text")), _s("</p></body></html>")))
+        .otherwise(
+            F.concat(
+                _s("<html><body><nav><ul><li><a href=\"/about\">About this site</a></li></ul></nav><main>"),
+                F.array_join(F.transform(lines, story), ""), _s("</main></body></html>"),
+            )
+        )
     )
     declared = F.when(doc % 5 == 0, "unknown").otherwise(
         F.element_at(F.array(*[F.lit(x) for x in ("rss", "atom", "json_feed", "html")]), (kind + 1).cast("int"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedweir import settings as S
+from feedweir.functions.urls import canonical_url, url_hash
 from feedweir.operators import feeds
 from feedweir.operators.partitioning import spread
-from feedweir.plans.oracle_parts import clean, limit
+from feedweir.plans.oracle_parts import any_of, clean, limit
 from feedweir.plans.payloads import payloads
 from feedweir.plans.registry import query
 
@@ -63,13 +65,35 @@ def parse_json_feed_items(v):
     return feeds.parse_items(corpus(v), "json_feed")
 
 
+STORIES = f"""shown AS (SELECT payload_id, i, c AS title, {limit('c', 420)} AS s, CASE WHEN i % 7 = 6 THEN 'https://feed.example.org/tag'
+            ELSE 'https://feed.example.org/d/' || payload_id || '/' || (i % 7) END AS url FROM cleaned
+        WHERE kind = 3 AND payload_id % 3 <> 1 AND length(c) BETWEEN 12 AND 220 AND NOT {any_of('lower(c)', S.FEED_TITLE_BLOCKED)}),
+    stories AS (SELECT payload_id, url, min(i) AS first_i, arg_max(title, i) AS title, max(i) AS i, arg_max(coalesce(CASE WHEN length(s) >= 24
+            AND NOT {any_of('lower(s)', S.FEED_SUMMARY_BLOCKED)} THEN s END, chr(1)), i) AS s FROM shown GROUP BY ALL),
+    listed AS (SELECT *, count(*) FILTER (WHERE NOT ends_with(url, '/tag')) OVER (PARTITION BY payload_id) AS better FROM stories),
+    ruled AS (SELECT payload_id, CAST(row_number() OVER (PARTITION BY payload_id ORDER BY first_i) - 1 AS INT) AS pos, url, title, NULL::VARCHAR AS external_id,
+        NULL::VARCHAR AS summary, NULL::VARCHAR AS image_url, CASE WHEN i % 2 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + i * INTERVAL '1' MINUTE END AS published_at,
+        'html_schema' AS parsed_as, 4::INT AS attempt, nullif(s, chr(1)) AS listing_summary,
+        CASE WHEN i % 3 = 1 THEN 'https://feed.example.org/img/' || i || '.png' END AS listing_image_url, payload_id AS schema_id, CAST(payload_id % 5 + 1 AS INT) AS schema_version
+        FROM listed WHERE better = 0 OR NOT ends_with(url, '/tag'))"""
+
+
 @query(
     "parse_with_fallback_order",
-    f"""WITH {RAW} SELECT {COLS}, ['rss', 'atom', 'json_feed'][kind + 1] AS parsed_as,
-        CASE WHEN payload_id % 5 = 0 THEN kind + 1 ELSE 1 END::INT AS attempt FROM items""",
+    f"""WITH {RAW}, {STORIES} SELECT {COLS}, ['rss', 'atom', 'json_feed'][kind + 1] AS parsed_as,
+            CASE WHEN payload_id % 5 = 0 THEN kind + 1 ELSE 1 END::INT AS attempt, NULL::VARCHAR AS listing_summary, NULL::VARCHAR AS listing_image_url,
+            NULL::BIGINT AS schema_id, NULL::INT AS schema_version FROM items
+        UNION ALL SELECT {COLS}, parsed_as, attempt, listing_summary, listing_image_url, schema_id, schema_version FROM ruled""",
 )
 def parse_with_fallback_order(v):
-    return feeds.parse_with_fallback_order(corpus(v))
+    """Two of three sources have an active rule; it counts only where their payload is no feed."""
+    doc = F.col("doc_id")
+    rules = v.docs.where(doc % 3 != 1).select(
+        url_hash(canonical_url(F.concat(F.lit("https://feed.example.org/p/"), doc.cast("string")))).alias("url_hash"), doc.alias("schema_id"),
+        (doc % 5 + 1).cast("int").alias("version"), F.lit("main").alias("within"), F.array(F.lit("article")).alias("item_tags"),
+        F.lit("story").alias("item_class"), F.lit(True).alias("needs_heading"), F.array(F.lit("h2")).alias("title_tags"),
+    )
+    return feeds.parse_with_fallback_order(corpus(v), rules)
 
 
 @query("feed_item_images", f"WITH {RAW} SELECT payload_id, pos, image_url FROM items")
