@@ -83,8 +83,10 @@ def stream_delivery_once(v):
 
 @query(
     "stream_freshness",
-    """SELECT source_id, max(started_at) AS last_success_at, max(started_at) + INTERVAL '60' MINUTE >= TIMESTAMP '2024-02-01 00:00:00' AS fresh
-        FROM v_attempts WHERE status = 'success' GROUP BY 1""",
+    """WITH s AS (SELECT DISTINCT source_id, started_at AS t FROM v_attempts WHERE status = 'success'),
+        n AS (SELECT *, lag(t) OVER w AS before, coalesce(lead(t) OVER w, TIMESTAMP '2024-02-01 00:00:00') AS later FROM s WINDOW w AS (PARTITION BY source_id ORDER BY t))
+        SELECT source_id, t AS at, true AS fresh FROM n WHERE before IS NULL OR t > before + INTERVAL '60' MINUTE
+        UNION ALL SELECT source_id, t + INTERVAL '60' MINUTE, false FROM n WHERE later > t + INTERVAL '60' MINUTE""",
 )
 def stream_freshness(v):
     events = v.streaming("events").attempts.where("status = 'success'").select("source_id", F.col("started_at").alias("at"))

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the ingestion steps.
 
-Every job folds each micro-batch into rows that can be merged in any order, and writes them to the batch's own folder, so a
-replayed batch overwrites itself and a result never depends on which rows arrived together. ``base`` is the job's folder: the same
+Jobs keep what they must remember in the state store (keys that are stored once, running values with their timers) or fold each
+micro-batch into rows that can be merged in any order. Results go to the batch's own folder, so a replayed batch overwrites itself
+and a result never depends on which rows arrived together. ``base`` is the job's folder: the same
 folder continues where the last run stopped, none starts a new job under ``spark.checkpoint.dir``. What is available is
 drained; a service starts the same query with a processing-time trigger.
 """
@@ -13,17 +14,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from feedweir import settings as S
 from feedweir.operators import articles as A
 from feedweir.operators import feeds
-from feedweir.operators.health import health_scores, health_states
-from feedweir.operators.partitioning import time_chunk
+from feedweir.operators.health import health_states
 from feedweir.session import shared_dir
-
-#: Folders into which stored keys are dealt, so that a batch reads those of its own keys only.
-KEY_BUCKETS = 64
+from feedweir.streaming.state import CONF, MICROS, Fold, folded_in_order
 
 
 # --- running -----------------------------------------------------------------------------------------
@@ -70,43 +67,47 @@ def folded(stream: DataFrame, base: str, fold: Callable[[DataFrame], DataFrame])
 
 
 # --- keys that are stored once -----------------------------------------------------------------------
-def insert_once(stream: DataFrame, keys: Sequence[str], base: str | None = None) -> DataFrame:
-    """One row per key of everything that has arrived: keys already in the job's table are left out of later batches."""
+def insert_once(stream: DataFrame, keys: Sequence[str], base: str | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """One row per key of everything that has arrived; ``stored`` holds keys that were there before the job began.
+
+    Keys lie in the state store: a batch looks up its own and reads neither earlier batches nor ``stored``, which enters the state
+    with the job's first batch.
+    """
     spark = stream.sparkSession
     base = base or new_base(spark, "once")
-    data = f"{base}/data"
-
-    def bucketed(df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int"))
-
-    schema = f"{_ddl(stream)}, bucket int, batch long"
-    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{data}/batch=-1/bucket=0")
-
-    def stored() -> DataFrame:
-        return spark.read.schema(schema).option("basePath", data).parquet(data)
+    data, seed = f"{base}/data", f"{base}/seed"
+    for name, value in CONF.items():
+        spark.conf.set(name, value)
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{data}/batch=-1")
+    rows = stream
+    if stored is not None:
+        stored.select(*keys).dropDuplicates().write.mode("ignore").parquet(seed)
+        known = spark.readStream.schema(stream.select(*keys).schema).parquet(seed)
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema if f.name not in keys]
+        rows = stream.withColumn("_stored", F.lit(False)).unionByName(known.select(*keys, *rest, F.lit(True).alias("_stored")))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        wanted = bucketed(batch.dropDuplicates(list(keys)))
-        touched = [r[0] for r in wanted.select("bucket").distinct().collect()]  # at most KEY_BUCKETS
-        known = stored().where((F.col("batch") != batch_id) & F.col("bucket").isin(touched)).select(*keys)
-        fresh = wanted.join(known, list(keys), "left_anti").select(*wanted.columns)
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{data}/batch={batch_id}")
+        if stored is not None:
+            batch = batch.where("NOT _stored").drop("_stored")
+            if batch_id == 0:  # the first batch brings both, in no order
+                batch = batch.join(spark.read.parquet(seed), list(keys), "left_anti").select(*stream.columns)
+        batch.write.mode("overwrite").parquet(f"{data}/batch={batch_id}")
 
-    run_batches(stream, base, handle)
-    return stored().select(*stream.columns)
+    run_batches(rows.dropDuplicates(list(keys)), base, handle)
+    return spark.read.schema(f"{_ddl(stream)}, batch long").parquet(data).select(*stream.columns)
 
 
-def dedupe_articles(stream: DataFrame, base: str | None = None) -> DataFrame:
-    """Each URL hash once."""
-    return insert_once(stream, ["canonical_url_hash"], base)
+def dedupe_articles(stream: DataFrame, base: str | None = None, articles: DataFrame | None = None) -> DataFrame:
+    """Each URL hash once, but for those of ``articles`` stored before."""
+    return insert_once(stream, ["canonical_url_hash"], base, articles)
 
 
-def deliver_once(stream: DataFrame, base: str | None = None) -> DataFrame:
-    """Each (article, subscription, channel) once."""
-    return insert_once(stream, ["article_id", "subscription_id", "channel"], base)
+def deliver_once(stream: DataFrame, base: str | None = None, deliveries: DataFrame | None = None) -> DataFrame:
+    """Each (article, subscription, channel) once, but for ``deliveries`` stored before."""
+    return insert_once(stream, ["article_id", "subscription_id", "channel"], base, deliveries)
 
 
-# --- mergeable sums and latest rows ------------------------------------------------------------------
+# --- mergeable sums ------------------------------------------------------------------
 def domain_rate(stream: DataFrame, limit: int = S.DOMAIN_FETCHES_PER_MINUTE, base: str | None = None) -> DataFrame:
     """Fetches (domain, fetched_at) per domain and minute with the excess over the limit, of all that has arrived."""
 
@@ -118,59 +119,118 @@ def domain_rate(stream: DataFrame, limit: int = S.DOMAIN_FETCHES_PER_MINUTE, bas
     return total.select("domain", "minute", "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("over_limit"))
 
 
-def watchdog(stream: DataFrame, now: Column, timeout_seconds: int = S.GENERATION_TIMEOUT_SECONDS, base: str | None = None) -> DataFrame:
-    """Generations (id, status, at) whose latest status is still pending ``timeout_seconds`` before ``now``, as failed events."""
+# --- keyed state with timers -------------------------------------------------------------------------
+def _seconds(interval: float) -> int:
+    return int(interval * MICROS)
+
+
+class _Watch(Fold):
+    schema = "status string, pending_since long, timed_out boolean"
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def step(self, state, event):
+        pending = event["status"] in S.PENDING_STATUSES
+        told = bool(state and state["told"])
+        if not pending and not told:
+            return None, []  # done: nothing is left to wait for
+        return {"since": event["at"], "pending": pending, "told": told}, []
+
+    def due(self, state):
+        return state["since"] + self.timeout if state["pending"] and not state["told"] else None
+
+    def wake(self, state, clock):
+        return state | {"told": True}, [("failed", state["since"], True)]
+
+
+def watchdog(
+    stream: DataFrame, now: Column, timeout_seconds: int = S.GENERATION_TIMEOUT_SECONDS, base: str | None = None, late: str = "1 day"
+) -> DataFrame:
+    """A failed event, once, for each generation (id, status, at) that is still pending ``timeout_seconds`` after its last status.
+
+    It is given out as soon as the clock has passed the deadline, while the stream goes on.
+    """
     timeout = max(S.GENERATION_TIMEOUT_FLOOR, timeout_seconds)
+    base = base or new_base(stream.sparkSession, "watchdog")
+    told = folded_in_order(stream, "id", "at", ["status"], _Watch(_seconds(timeout)), base, late, now)
+    return told.select(F.col("key").alias("id"), "status", F.timestamp_micros("pending_since").alias("pending_since"), "timed_out")
+
+
+class _Fresh(Fold):
+    schema = "at long, fresh boolean"
+
+    def __init__(self, minutes: int):
+        self.span = _seconds(60 * minutes)
+
+    def step(self, state, event):
+        at = event["at"]
+        if state is None:
+            return {"last": at}, [(at, True)]
+        if at <= state["last"] + self.span:
+            return {"last": max(at, state["last"])}, []
+        return {"last": at}, [(state["last"] + self.span, False), (at, True)]
+
+    def due(self, state):
+        return state["last"] + self.span
 
-    def last(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id").agg(F.max("at").alias("at"), F.max_by("status", "at").alias("status"))
+    def wake(self, state, clock):
+        return None, [(state["last"] + self.span, False)]
 
-    latest = last(folded(stream, base or new_base(stream.sparkSession, "watchdog"), last))
-    late = F.col("at") + F.make_dt_interval(secs=F.lit(timeout)) < now
-    pending = latest.where(F.col("status").isin(S.PENDING_STATUSES) & late)
-    return pending.select("id", F.lit("failed").alias("status"), F.col("at").alias("pending_since"), F.lit(True).alias("timed_out"))
 
+def freshness(stream: DataFrame, now: Column, minutes: int = S.FRESH_MINUTES, base: str | None = None, late: str = "1 day") -> DataFrame:
+    """Turns of sources by their successes (source_id, at): fresh with one, stale when ``minutes`` pass without another.
+
+    One row per turn, given out when the clock has passed it. A stale source holds no state.
+    """
+    turns = folded_in_order(stream, "source_id", "at", ["at"], _Fresh(minutes), base or new_base(stream.sparkSession, "freshness"), late, now)
+    return turns.select(F.col("key").alias("source_id"), F.timestamp_micros("at").alias("at"), "fresh")
 
-def freshness(stream: DataFrame, now: Column, minutes: int = S.FRESH_MINUTES, base: str | None = None) -> DataFrame:
-    """Sources by their last success (source_id, at): fresh until ``minutes`` have passed without another one."""
 
-    def last(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("source_id").agg(F.max("at").alias("at"))
+class _Health(Fold):
+    schema = "health_score int, consecutive_failures int, last_status string, last_http_status int"
+    tie = "id"
 
-    latest = last(folded(stream, base or new_base(stream.sparkSession, "freshness"), last))
-    fresh = F.col("at") + F.make_dt_interval(mins=F.lit(minutes)) >= now
-    return latest.select("source_id", F.col("at").alias("last_success_at"), fresh.alias("fresh"))
+    def step(self, state, event):
+        score, fails = (state["score"], state["fails"]) if state else (S.HEALTH_START, 0)
+        if event["status"] == "success":
+            score, fails = min(S.HEALTH_MAX, max(S.HEALTH_FLOOR, score) + S.HEALTH_GAIN), 0
+        else:
+            drop = S.HEALTH_SOFT_DROP if event["error_type"] in S.HEALTH_SOFT_ERRORS else S.HEALTH_HARD_DROP
+            score, fails = max(0, score - drop), fails + 1
+        return {"score": score, "fails": fails, "status": event["status"], "http": event["http_status"]}, []
 
+    def after(self, state):
+        return [(state["score"], state["fails"], state["status"], state["http"])]
 
-# --- ordered folds -----------------------------------------------------------------------------------
-def running_health(stream: DataFrame, base: str | None = None) -> DataFrame:
+
+def running_health(stream: DataFrame, base: str | None = None, late: str = "1 day") -> DataFrame:
     """Score, failures and state per source after the attempts that have arrived, in the order in which they happened.
 
-    A batch leaves its decided attempts, a few short columns each; the replay in event order is the batch operator's, whose time
-    slices keep busy sources apart.
+    The score is the state: a batch gives out one row per source that it touches, and the log is neither kept nor read again.
     """
+    decided = stream.where(F.col("status").isin("success", "failed"))
+    columns = ["id", "status", "error_type", "http_status"]
+    told = folded_in_order(decided, "source_id", "started_at", columns, _Health(), base or new_base(stream.sparkSession, "health"), late)
+    fields = [c.split()[0] for c in _Health.schema.split(", ")]
+    latest = told.groupBy(F.col("key").alias("source_id")).agg(F.max_by(F.struct(*fields), "batch").alias("h")).select("source_id", "h.*")
+    states = health_states(latest).select("source_id", "health_state")
+    return latest.select("source_id", "health_score", "consecutive_failures").join(states, "source_id")
+
+
+class _Changes(Fold):
+    schema = "id long, status string, at long"
+    tie = "id"
+
+    def step(self, state, event):
+        changed = state is None or state["status"] != event["status"]
+        return {"status": event["status"]}, [(event["id"], event["status"], event["at"])] if changed else []
+
 
-    def decided(batch: DataFrame) -> DataFrame:
-        kept = batch.where(F.col("status").isin("success", "failed"))
-        return kept.select("source_id", "id", "status", "error_type", "http_status", "started_at")
-
-    health = health_scores(folded(stream, base or new_base(stream.sparkSession, "health"), decided))
-    states = health_states(health).select("source_id", "health_state")
-    return health.select("source_id", "health_score", "consecutive_failures").join(states, "source_id")
-
-
-def status_changes(stream: DataFrame, base: str | None = None) -> DataFrame:
-    """Status rows (source_id, id, status, at) that differ from the source's previous one in event order."""
-    columns = ["source_id", "id", "status", "at"]
-    log = folded(stream, base or new_base(stream.sparkSession, "status"), lambda batch: batch.select(*columns))
-    sliced = log.withColumn("_chunk", time_chunk("at"))
-    local = F.lag("status").over(W.partitionBy("source_id", "_chunk").orderBy("at", "id"))
-    first = F.row_number().over(W.partitionBy("source_id", "_chunk").orderBy("at", "id"))
-    tails = sliced.groupBy("source_id", "_chunk").agg(F.max_by("status", F.struct("at", "id")).alias("_tail"))
-    carry = tails.withColumn("_carry", F.lag("_tail").over(W.partitionBy("source_id").orderBy("_chunk"))).drop("_tail")
-    joined = sliced.select("*", local.alias("_local"), first.alias("_first")).join(carry, ["source_id", "_chunk"])
-    before = F.when(F.col("_first") == 1, F.col("_carry")).otherwise(F.col("_local"))
-    return joined.where(~F.col("status").eqNullSafe(before)).select(*columns)
+def status_changes(stream: DataFrame, base: str | None = None, late: str = "1 day") -> DataFrame:
+    """Status rows (source_id, id, status, at) that differ from the source's previous one in event order, given out as the stream runs."""
+    told = folded_in_order(stream, "source_id", "at", ["id", "status"], _Changes(), base or new_base(stream.sparkSession, "status"), late)
+    return told.select(F.col("key").alias("source_id"), "id", "status", F.timestamp_micros("at").alias("at"))
 
 
 # --- the ingestion chain -----------------------------------------------------------------------------

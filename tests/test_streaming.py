@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import random
 import time
@@ -16,6 +17,15 @@ from feedweir.streaming import jobs
 FILES = 8
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each micro-batch opens the state of every partition."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(params=["backward", "shuffled"])
 def dealt(request, spark, tmp_path):
     """Write rows (ordered by time) into eight files that arrive in some order, one per micro-batch; → stream."""
@@ -70,7 +80,7 @@ def test_health_equals_batch(spark, dealt):
     rows = attempts(spark)
     health = health_scores(spark.createDataFrame(rows, ATTEMPT))
     want = health.select("source_id", "health_score", "consecutive_failures").join(health_states(health).select("source_id", "health_state"), "source_id")
-    same(jobs.running_health(dealt(rows, ATTEMPT)), want)
+    same(jobs.running_health(dealt(rows, ATTEMPT), late="30 days"), want)
 
 
 def test_status_changes_equal_replay(spark, dealt):
@@ -81,7 +91,7 @@ def test_status_changes_equal_replay(spark, dealt):
             want.append((r[0], r[1], r[2]))
         last[r[0]] = r[2]
     stream = dealt(rows, ATTEMPT).withColumnRenamed("started_at", "at")
-    assert sorted(tuple(r)[:3] for r in jobs.status_changes(stream).collect()) == sorted(want)
+    assert sorted(tuple(r)[:3] for r in jobs.status_changes(stream, late="30 days").collect()) == sorted(want)
 
 
 def test_rate_equals_batch(spark, dealt):
@@ -92,16 +102,81 @@ def test_rate_equals_batch(spark, dealt):
     same(jobs.domain_rate(stream), domain_rate_window(frame, sources))
 
 
-def test_latest_rows_decide(spark, dealt):
-    rows = attempts(spark)
-    now = F.lit("2024-01-10 12:00:00").cast("timestamp")
-    stream = dealt(rows, ATTEMPT)
-    fresh = jobs.freshness(stream.where("status = 'success'").select("source_id", F.col("started_at").alias("at")), now, 600)
-    want = {}
-    for r in rows:
-        if r[2] == "success":
-            want[r[0]] = max(r[5], want.get(r[0], r[5]))
-    assert {r["source_id"]: r["last_success_at"] for r in fresh.collect()} == want
+def turns(rows, minutes, now):
+    """Turns of each source from a plain walk through its successes."""
+    out, span = [], dt.timedelta(minutes=minutes)
+    for source in {r[0] for r in rows}:
+        at = sorted(r[5] for r in rows if r[0] == source and r[2] == "success")
+        for before, t in zip([None, *at], at, strict=False):
+            if before is None or t > before + span:
+                out += [] if before is None else [(source, before + span, False)]
+                out.append((source, t, True))
+        if at and at[-1] + span < now:
+            out.append((source, at[-1] + span, False))
+    return sorted(out)
+
+
+def test_freshness_gives_every_turn_once(spark, dealt):
+    rows, now = attempts(spark), dt.datetime(2024, 1, 10, 12)
+    stream = dealt(rows, ATTEMPT).where("status = 'success'").select("source_id", F.col("started_at").alias("at"))
+    fresh = jobs.freshness(stream, F.lit("2024-01-10 12:00:00").cast("timestamp"), 300, late="30 days")
+    assert sorted(map(tuple, fresh.collect())) == turns([r for r in rows if r[5] <= now], 300, now)
+
+
+def test_watchdog_gives_each_stale_generation_once(spark, dealt):
+    start, rows = dt.datetime(2024, 1, 1), []
+    for i in range(40):
+        at = start + dt.timedelta(hours=i)
+        rows.append((i, "queued", at))
+        if i % 3:
+            rows.append((i, ["fetching", "ready"][i % 2], at + dt.timedelta(seconds=100 if i % 5 else 900)))
+    rows.sort(key=lambda r: r[2])
+    now = start + dt.timedelta(hours=38, seconds=120)
+    got = jobs.watchdog(dealt(rows, "id long, status string, at timestamp"), F.lit(str(now)).cast("timestamp"), 180, late="30 days").collect()
+    last = {i: (at, status) for i, status, at in rows}
+    want = {i: at for i, (at, status) in last.items() if status != "ready" and at + dt.timedelta(seconds=180) < now}
+    assert {r.id: r.pending_since for r in got} == want and len(got) == len(want) and all(r.status == "failed" and r.timed_out for r in got)
+
+
+def one_file_per_batch(spark, tmp_path, parts: list[list[tuple]], schema: str):
+    folder = str(tmp_path / "in")
+    os.makedirs(folder)
+    for i, rows in enumerate(parts):
+        part = str(tmp_path / f"part{i}")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(part)
+        name = next(n for n in os.listdir(part) if n.startswith("part-") and n.endswith(".parquet"))
+        os.rename(f"{part}/{name}", f"{folder}/{i}.parquet")
+        os.utime(f"{folder}/{i}.parquet", (time.time() - 1000 + i,) * 2)
+    return jobs.read_stream(spark, folder, "*.parquet", schema, files_per_trigger=1)
+
+
+def test_timers_fire_while_the_stream_goes_on(spark, tmp_path):
+    """A deadline that passes is told in the batch whose events move the clock beyond it; a late answer changes nothing then."""
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    parts = [[(1, "queued", at(0)), (2, "queued", at(1))], [(2, "ready", at(3)), (3, "queued", at(30))], [(4, "ready", at(60))], [(1, "ready", at(2)), (5, "queued", at(61))]]
+    base = str(tmp_path / "job")
+    stream = one_file_per_batch(spark, tmp_path, parts, "id long, status string, at timestamp")
+    jobs.watchdog(stream, F.lit(str(at(61))).cast("timestamp"), 180, base, late="5 minutes").collect()
+    told = {r.key: r.batch for r in spark.read.parquet(f"{base}/data").collect()}
+    assert set(told) == {1, 3} and told[1] < told[3] < 4
+
+
+def test_no_event_is_lost_however_late(spark, tmp_path):
+    """A failure that comes days late is counted when it comes: after what was folded before, before what still waited."""
+    event = lambda d, ok: (1, d, "success" if ok else "failed", None if ok else "http_5xx", 200 if ok else 500, dt.datetime(2024, 1, d))
+    parts = [[event(9, True)], [event(10, True)], [event(12, True)], [event(1, False)]]
+    (r,) = jobs.running_health(one_file_per_batch(spark, tmp_path, parts, ATTEMPT), late="1 hour").collect()
+    state, fold = None, jobs._Health()
+    for d in (9, 1, 10, 12):
+        state, _ = fold.step(state, {"status": "failed" if d == 1 else "success", "error_type": "http_5xx", "http_status": 200})
+    assert (r.health_score, r.consecutive_failures) == (state["score"], 0)
+
+
+def test_keys_stored_before_are_left_out(spark, tmp_path):
+    parts = [[(f"{i}", i) for i in range(0, 6)], [(f"{i}", i) for i in range(3, 9)], [(f"{i}", i) for i in range(12)]]
+    stored = spark.createDataFrame([("2",), ("7",), ("2",), ("99",)], "canonical_url_hash string")
+    got = jobs.dedupe_articles(one_file_per_batch(spark, tmp_path, parts, "canonical_url_hash string, n int"), articles=stored).collect()
+    assert sorted(int(r[0]) for r in got) == [0, 1, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
 def test_a_job_continues_where_it_stopped(spark, tmp_path):
