@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +35,7 @@ NOISE = (
 )
 BYLINE = r"(?i)^\*\s+(!\[Image \d+:.*Writer|.*min read|\w+ \d{1,2}$)"
 FOOTER = (
-    r"(?i)^#{2,6}\s+(Recent Posts|Related Posts|More Articles|Comments|Share this|Copyright|Terms of Service|Privacy Policy|Discussion"
+    r"(?i)^#{1,6}\s+(Recent Posts|Related Posts|More Articles|Comments|Share this|Copyright|Terms of Service|Privacy Policy|Discussion"
     r"|Responses|Leave a comment)$"
 )
 HEADER_BUDGET, BODY_LINE_BYTES = 30, 80
@@ -76,42 +81,97 @@ def markdown_image(value: Column | str) -> Column:
 
 # fixed values: thresholds of the language verdict, profile length
 MIN_CHARS, MIN_SCORE, MIN_MARGIN, PROFILE = 60, 0.04, 0.03, 300
-
-
-def _trigrams(text: Column) -> Column:
-    """Letter trigrams of the whole text, word boundaries as blanks."""
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
-    return F.regexp_extract_all(padded, F.lit("(?=(...))"), F.lit(1))
+#: Languages that profiles may tell apart; bounds the table that every task holds.
+MAX_LANGUAGES = 500
+#: Texts whose trigrams are looked at together.
+TEXTS = 64
+
+
+def _letters(text: Column) -> Column:
+    """The whole text as lower-case words of letters, a blank at each word's border."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
+
+
+def _trigrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, last text + 1, text, trigram) of runs of texts; a trigram is a number in the order of its letters."""
+    for lo in range(0, len(texts), TEXTS):
+        part = texts.slice(lo, TEXTS).fill_null("")
+        letters = np.frombuffer("".join(part.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = pc.utf8_length(part).to_numpy().astype(np.int64)
+        text = np.repeat(np.arange(len(size)), size)
+        inside = np.flatnonzero(text[2:] == text[:-2]) if len(text) > 2 else np.zeros(0, np.int64)
+        yield lo, lo + len(part), text[inside], (letters[inside] << 42) | (letters[inside + 1] << 21) | letters[inside + 2]
+
+
+def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        coded = batch.column("lang").dictionary_encode()
+        lang = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+        found: dict[int, list[np.ndarray]] = {}
+        for lo, hi, text, gram in _trigrams(batch.column("letters")):
+            for code in np.unique(lang[lo:hi]):
+                found.setdefault(int(code), []).append(gram[lang[lo:hi][text] == code])
+        for code, grams in found.items():
+            gram, n = np.unique(np.concatenate(grams), return_counts=True)
+            name = coded.dictionary[code].as_py() if code < len(coded.dictionary) else None
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def language_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
-    """The ``size`` most frequent trigrams per language, weighted 1 (first) down to 1/size."""
-    counted = docs.select("lang", F.explode(_trigrams(F.col("text"))).alias("trigram")).groupBy("lang", "trigram").agg(
-        F.count("*").alias("n")
-    )
-    ranked = top_per_key(counted, ["lang"], [F.col("n").desc(), F.col("trigram").asc()], size)
-    return ranked.select("lang", "trigram", ((size + 1 - F.col("rn")) / size).alias("weight"))
+    """lang, gram, weight: the ``size`` most frequent trigrams per language, weighted 1 (first) down to 1/size.
+
+    Trigrams are counted batch by batch, so one row per batch, language and trigram is shuffled.
+    """
+    counted = docs.select("lang", _letters(F.col("text")).alias("letters")).mapInArrow(_count_trigrams, "lang string, gram long, n long")
+    counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    ranked = top_per_key(counted, ["lang"], [F.col("n").desc(), F.col("gram").asc()], size)
+    return ranked.select("lang", "gram", ((size + 1 - F.col("rn")) / size).alias("weight"))
 
 
 def language_code(code: Column) -> Column:
+    """Variants of Chinese are one language, others go by what stands before the hyphen."""
     low = F.lower(code)
     return F.when(F.startswith(low, F.lit("zh")), "zh").otherwise(F.substring_index(low, "-", 1))
 
 
+def _scores(known: np.ndarray, weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, text, gram in _trigrams(batch.column("letters")):
+                place = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
+                hit = known[place] == gram if len(known) else np.zeros(len(gram), bool)
+                sums = np.stack([np.bincount(text[hit], w[place[hit]], hi - lo) for w in weights], axis=1) if len(weights) else np.zeros((hi - lo, 0))
+                mean = sums / np.maximum(np.bincount(text, minlength=hi - lo), 1)[:, None]
+                ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * mean.shape[1])
+                rest = [batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c != "letters"]
+                names = [c for c in batch.schema.names if c != "letters"]
+                yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(ends, pa.array(mean.ravel()))], names=[*names, "mean"])
+
+    return run
+
+
 def verify_language(docs: DataFrame, profiles: DataFrame, target: Column, key: str = "doc_id") -> DataFrame:
     """Is each document in its target language? true, false, or null when unclear.
 
-    A score is the mean profile weight over the document's trigrams. The profiles hold at most ``PROFILE`` rows per
-    language, which bounds the broadcast; sums are combined before the only shuffle, one row per document and language.
+    A score is the mean profile weight over the document's trigrams. The profiles (at most ``PROFILE`` rows for each of at most
+    ``MAX_LANGUAGES`` languages) go to the tasks as one sorted array, so a text is scored where it lies and nothing is shuffled.
     """
-    plain = docs.select(key, target.alias("target"), trim_ascii(strip_tags("text")).alias("plain"))
-    grams = plain.where(F.length("plain") >= MIN_CHARS).select(key, _trigrams(F.col("plain")).alias("g"))
-    hits = grams.select(key, F.size("g").alias("total"), F.explode("g").alias("trigram")).join(profiles, "trigram")
-    scores = hits.groupBy(key, "lang", "total").agg(F.sum("weight").alias("w")).select(
-        key, "lang", F.round(F.col("w") / F.col("total"), 6).alias("score")
-    )
-    ranked = scores.groupBy(key).agg(F.reverse(F.array_sort(F.collect_list(F.struct("score", "lang")))).alias("r"))
-    joined = plain.select(key, "target").join(ranked, key, "left")
+    table = profiles.where("lang IS NOT NULL").select("lang", "gram", "weight").limit(PROFILE * MAX_LANGUAGES + 1).toPandas()
+    if len(table) > PROFILE * MAX_LANGUAGES:
+        raise ValueError(f"profiles of more than {MAX_LANGUAGES} languages")
+    langs = sorted(table["lang"].unique())
+    known, place = np.unique(table["gram"].to_numpy(np.int64), return_inverse=True)
+    weights = np.zeros((len(langs), len(known)))
+    weights[np.searchsorted(langs, table["lang"]) if len(langs) else [], place] = table["weight"].to_numpy(float)
+
+    plain = trim_ascii(strip_tags("text"))
+    letters = F.when(F.length("plain") >= MIN_CHARS, _letters(F.col("plain")))
+    rows = docs.select(key, target.cast("string").alias("target"), plain.alias("plain")).select(key, "target", letters.alias("letters"))
+    kind = rows.schema[key].dataType.simpleString()
+    scored = rows.mapInArrow(_scores(known, weights), f"`{key}` {kind}, target string, mean array<double>")
+    named = F.zip_with("mean", F.array(*[F.lit(x) for x in langs]).cast("array<string>"), lambda m, x: F.struct(F.round(m, 6).alias("score"), x.alias("lang"), m.alias("mean")))
+    ranked = F.reverse(F.array_sort(F.filter(named, lambda s: s["mean"] > 0)))
+    joined = scored.select(key, "target", ranked.alias("r"))
     top, second = F.try_element_at("r", F.lit(1)), F.coalesce(F.try_element_at("r", F.lit(2))["score"], F.lit(0.0))
     verdict = (
         F.when(top["score"] < MIN_SCORE, None)

@@ -362,12 +362,12 @@ def markdown_title_image(v):
 
 @query(
     "verify_language",
-    """WITH p AS (SELECT doc_id, lang, text, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' AS s FROM v_docs),
-        g AS (SELECT doc_id, lang, length(text) AS chars, length(s) - 2 AS total, s[i:i+2] AS trigram FROM p, unnest(range(1, length(s) - 1)) AS u(i)),
-        c AS (SELECT lang, trigram, count(*) AS n FROM g GROUP BY 1, 2),
-        pr AS (SELECT lang, trigram, (301 - rn) / 300 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, trigram) AS rn FROM c) x
+    """WITH p AS (SELECT doc_id, doc_id % 2 AS fold, lang, text, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' AS s FROM v_docs),
+        g AS (SELECT doc_id, fold, lang, length(text) AS chars, length(s) - 2 AS total, s[i:i+2] AS trigram FROM p, unnest(range(1, length(s) - 1)) AS u(i)),
+        c AS (SELECT fold, lang, trigram, count(*) AS n FROM g GROUP BY ALL),
+        pr AS (SELECT fold, lang, trigram, (301 - rn) / 300 AS weight FROM (SELECT *, row_number() OVER (PARTITION BY fold, lang ORDER BY n DESC, trigram) AS rn FROM c) x
             WHERE rn <= 300),
-        s AS (SELECT g.doc_id, pr.lang, round(sum(weight) / max(total), 6) AS score FROM g JOIN pr ON pr.trigram = g.trigram WHERE chars >= 60 GROUP BY 1, 2),
+        s AS (SELECT g.doc_id, pr.lang, round(sum(weight) / max(total), 6) AS score FROM g JOIN pr ON pr.trigram = g.trigram AND pr.fold <> g.fold WHERE chars >= 60 GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS rn, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC)
             AS second FROM s)
         SELECT d.doc_id, d.lang AS target, r.lang AS top_lang, r.score AS top_score, CASE WHEN r.score < 0.04 THEN NULL WHEN r.lang = d.lang THEN true
@@ -375,5 +375,8 @@ def markdown_title_image(v):
         FROM v_docs d LEFT JOIN r ON r.doc_id = d.doc_id AND r.rn = 1""",
 )
 def verify_language(v):
+    """Each half of the documents is judged by profiles of the other half."""
     docs = spread(v.docs)
-    return documents.verify_language(docs, documents.language_profiles(docs), F.col("lang"))
+    halves = [docs.where(F.col("doc_id") % 2 == i) for i in (0, 1)]
+    judged = [documents.verify_language(halves[i], documents.language_profiles(halves[1 - i]), F.col("lang")) for i in (0, 1)]
+    return judged[0].union(judged[1])
