@@ -246,8 +246,8 @@ def parse_with_fallback_order(payloads: DataFrame, rules: DataFrame | None = Non
     """Items of every payload whatever its declared type, with the format that yielded them and its attempt number.
 
     ``rules`` (as for :func:`listings.schema_extract_items`: the active extraction rule of a source by the hash of its URL) are tried
-    fourth, on payloads that no feed format finds items in. Only payloads of sources with a rule are looked at again, shredded and
-    searched; rows that a rule yields carry its id and version and what the listing shows of an item.
+    fourth, on payloads that no feed format finds items in. The feed items are written once; only payloads of sources with a rule that
+    have none are shredded and searched. Rows that a rule yields carry its id and version and what the listing shows of an item.
     """
     order = {
         "rss": ["rss", "atom", "json_feed"],
@@ -261,20 +261,22 @@ def parse_with_fallback_order(payloads: DataFrame, rules: DataFrame | None = Non
         hit = F.col("source_type") == declared if declared else ~F.coalesce(F.col("source_type"), F.lit("")).isin(list(order))
         attempt = F.when(hit, nth).otherwise(attempt)
     found = item_rows(parsed(payloads, cap=rules is not None).withColumn("attempt", attempt), "parsed_as", "attempt")
-    return found if rules is None else found.unionByName(_schema_stage(payloads, rules), allowMissingColumns=True)
+    if rules is None:
+        return found
+    found = stage(found, "feed-items")
+    return found.unionByName(_schema_stage(payloads, found, rules), allowMissingColumns=True)
 
 
-def _schema_stage(payloads: DataFrame, rules: DataFrame) -> DataFrame:
-    """Items that the active rule of its source finds in a payload without feed items, in page order, numbered from 0."""
+def _schema_stage(payloads: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:
+    """Items that the active rule of its source finds in a payload that has none in ``found``, in page order, numbered from 0."""
     from feedweir.operators import listings  # listings builds on the feed functions
 
     keyed = payloads.withColumn("_hash", url_hash(canonical_url("final_url")))
-    ruled = keyed.join(rules.select(F.col("url_hash").alias("_hash")), "_hash", "left_semi").drop("_hash")
-    html = parsed(ruled.withColumn("html", F.col("body"))).where(F.size("items") == 0)
-    pages = shred_pages(html.select(F.col("payload_id").alias("page_id"), F.col("final_url").alias("url"), "html"))
-    items = listings.schema_extract_items(pages, rules)
-    kept = top_per_key(items, ["page_id"], [F.col("pos").asc()], S.PARSE_MAX_ITEMS).withColumn("pos", (F.col("rn") - 1).cast("int"))
-    return kept.select(
+    ruled = keyed.join(rules.select(F.col("url_hash").alias("_hash")), "_hash", "left_semi")
+    html = ruled.join(found.select("payload_id").distinct(), "payload_id", "left_anti")
+    pages = shred_pages(html.select(F.col("payload_id").alias("page_id"), F.col("final_url").alias("url"), F.col("body").alias("html")))
+    items = listings.schema_extract_items(pages, rules, S.PARSE_MAX_ITEMS)
+    return items.select(
         F.col("page_id").alias("payload_id"), "pos", "url", "title", "summary", "image_url", "published_at",
         F.lit("html_schema").alias("parsed_as"), F.lit(len(S.FEED_TYPES) + 1).alias("attempt"),
         "listing_summary", "listing_image_url", "schema_id", F.col("version").alias("schema_version"),

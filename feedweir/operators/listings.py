@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
-from feedweir.functions.core import contains_any
+from feedweir.functions.core import contains_any, let
 from feedweir.functions.images import feed_image_or_null
 from feedweir.functions.links import likely_href
 from feedweir.functions.text import clean_summary, clean_text, likely_listing_title, likely_summary, likely_title, parse_date
 from feedweir.functions.urls import absolute_url, canonical_url, trim_ascii, url_hash, url_host, url_path
 from feedweir.operators.pages import WS, text_of
+from feedweir.session import stage
 
 HEADINGS = "('h1', 'h2', 'h3', 'h4')"
 TITLED = "(y.tag = 'a' AND (contains(lower(y.attrs['class']), 'title') OR contains(lower(y.attrs['class']), 'headline')))"
@@ -104,9 +104,9 @@ def blocked_copy(value: Column) -> Column:
     return contains_any(F.lower(F.trim(value)), S.LISTING_COPY_BLOCKED)
 
 
-def card_fields(shredded: DataFrame) -> DataFrame:
-    """Likely article cards of a page with title, target and what else they carry."""
-    cards = card_rows(shredded).where(
+def card_fields(shredded: DataFrame, cards: DataFrame | None = None) -> DataFrame:
+    """Likely article cards of a page with title, target and what else they carry; ``cards``: written :func:`card_rows`."""
+    cards = (card_rows(shredded) if cards is None else cards).where(
         ((F.col("tag").isin(S.CARD_TAGS) & F.col("in_main")) | (F.col("tag") == "article"))
         & F.col("signature").isNotNull()
     )
@@ -150,8 +150,8 @@ def detect_patterns(cards: DataFrame) -> DataFrame:
     return best.select("page_id", "b.*").where(F.col("confidence") >= S.PATTERN_MIN_CONFIDENCE)
 
 
-def pattern_validation(shredded: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Items the chosen pattern's rule really yields; accepted when enough of them are valid."""
+def pattern_validation(cards: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Items the chosen pattern's rule really yields, of written :func:`card_rows`; accepted when enough of them are valid."""
     wanted = patterns.select("page_id", F.col("tag").alias("_tag"), F.col("class").alias("_class"), "items")
     headed = F.col("has_heading")
     loose = F.col("in_main") & (headed | F.col("has_time"))
@@ -167,7 +167,7 @@ def pattern_validation(shredded: DataFrame, patterns: DataFrame) -> DataFrame:
         & ~((F.col("rule_summary") != "") & blocked_copy(clean_text("rule_summary")))
         & ((F.col("rule_summary") != "") | (F.col("rule_date") != ""))
     )
-    counted = card_rows(shredded).join(wanted, "page_id").where(member).groupBy("page_id").agg(
+    counted = cards.join(wanted, "page_id").where(member).groupBy("page_id").agg(
         F.count_if(valid).alias("valid_items")
     )
     need = F.greatest(F.lit(3), F.least(F.lit(5), F.col("items")))
@@ -179,9 +179,10 @@ def pattern_validation(shredded: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def detect_listing_patterns(shredded: DataFrame) -> DataFrame:
-    """Accepted pattern per page."""
-    patterns = detect_patterns(card_fields(shredded))
-    checked = pattern_validation(shredded, patterns)
+    """Accepted pattern per page. Cards are read from the nodes once and written; patterns and their validation read them."""
+    cards = stage(card_rows(shredded), "cards")
+    patterns = detect_patterns(card_fields(shredded, cards))
+    checked = pattern_validation(cards, patterns)
     return patterns.join(checked.where("accepted"), "page_id").select(
         "page_id", "signature", "items", "valid_items", "score", F.round(F.round("confidence", 9), 2).alias("confidence")
     )
@@ -202,82 +203,93 @@ EXTRACT = f"""transform(filter(nodes, n -> n.tag <> '#text' AND coalesce({_MATCH
         'date', coalesce(trim({_text(_first("y.tag = 'time'"))}), ''))), 1))"""
 
 
-def schema_extract_items(shredded: DataFrame, rules: DataFrame) -> DataFrame:
-    """Items of every page whose source has an active rule; weak candidates go when better ones exist."""
+def _items_of_page(extracted: Column, url: Column) -> Column:
+    """Extracted fields of a page's items → its items: one per URL, weak ones gone where there are better ones."""
+
+    def made(i: Column) -> Column:
+        image = F.when(i["image"] != "", feed_image_or_null(absolute_url(i["image"], url)))
+        return F.struct(
+            i["href"].alias("href"), absolute_url(i["href"], url).alias("url"), clean_text(i["title"]).alias("title"),
+            clean_summary(i["summary"]).alias("summary"), image.alias("listing_image_url"), parse_date(i["date"]).alias("published_at"),
+        )
+
+    def shown(x: Column) -> Column:
+        summary = F.when(likely_summary(x["summary"]), x["summary"]).alias("listing_summary")
+        rest = [x[c].alias(c) for c in ("url", "title", "listing_image_url", "published_at")]
+        score = candidate_score(x["url"], url, x["title"], F.lit(None).cast("string"), x["published_at"])
+        return F.struct(*rest, summary, score.alias("score"))
+
+    usable = F.filter(F.transform(extracted, made), lambda x: (x["href"] != "") & likely_title(x["title"]))
+    once = F.map_values(F.map_from_entries(F.transform(usable, lambda x: F.struct(url_hash(x["url"]), x))))
+    good = lambda x: x["score"] >= S.CANDIDATE_MIN_SCORE
+    return let(F.transform(once, shown), lambda xs: F.when(F.exists(xs, good), F.filter(xs, good)).otherwise(xs))
+
+
+def schema_extract_items(shredded: DataFrame, rules: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items of every page whose source has an active rule, numbered from 0; weak candidates go when better ones exist.
+
+    A page is one row: its items are found, de-duplicated (the last one's values at the first one's place), judged and cut to
+    ``limit`` within it.
+    """
     keyed = shredded.withColumn("url_hash", url_hash(canonical_url("url"))).join(rules, "url_hash")
-    rows = keyed.select("page_id", "url", "schema_id", "version", F.posexplode_outer(F.expr(EXTRACT)).alias("pos", "i")).where("pos IS NOT NULL")
-    image = feed_image_or_null(absolute_url("i.image", "url"))
-    items = rows.select(
-        "page_id",
-        F.col("url").alias("source_url"),
-        "schema_id",
-        "version",
-        "pos",
-        F.col("i.href").alias("href"),
-        absolute_url("i.href", "url").alias("url"),
-        clean_text("i.title").alias("title"),
-        clean_summary("i.summary").alias("_summary"),
-        F.when(F.col("i.image") != "", image).alias("listing_image_url"),
-        parse_date("i.date").alias("published_at"),
-        F.lit(None).cast("string").alias("summary"),
-        F.lit(None).cast("string").alias("image_url"),
-    ).where((F.col("href") != "") & likely_title("title"))
-    items = items.withColumn("listing_summary", F.when(likely_summary("_summary"), F.col("_summary"))).drop("_summary", "href")
-    values = [c for c in items.columns if c not in ("page_id", "pos")]
-    once = (
-        items.groupBy("page_id", url_hash("url").alias("_key"))
-        .agg(F.min("pos").alias("pos"), F.max_by(F.struct(*values), F.col("pos")).alias("_v"))
-        .select("page_id", "pos", "_v.*")
+    items = _items_of_page(F.expr(EXTRACT), F.col("url"))
+    items = items if limit is None else F.slice(items, 1, limit)
+    rows = keyed.select("page_id", "url", "schema_id", "version", F.posexplode_outer(items).alias("pos", "i")).where("pos IS NOT NULL")
+    return rows.select(
+        "page_id", F.col("url").alias("source_url"), "schema_id", "version", "pos", "i.url", "i.title", "i.listing_image_url", "i.published_at",
+        F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("image_url"), "i.listing_summary", "i.score",
     )
-    return score_article_candidates(once, "page_id", bounded=True)
 
 
 def candidate_score(url: Column, source_url: Column, title: Column, summary: Column, published: Column) -> Column:
-    """Points for looking like an article rather than a section, file or foreign page."""
-    canonical = canonical_url(url)
-    host, own = F.coalesce(url_host(canonical), F.lit("")), F.coalesce(url_host(source_url), F.lit(""))
-    path = F.concat(F.lit("/"), F.regexp_replace(url_path(canonical), "^/+|/+$", ""))
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    depth = F.size(segments)
-    bare = F.lower(F.regexp_replace(path, "^/", ""))
-    related = (host == own) | F.endswith(host, F.concat(F.lit("."), own)) | F.endswith(own, F.concat(F.lit("."), host))
+    """Points for looking like an article rather than a section, file or foreign page. Each part of the URL is worked out once."""
 
     def points(hit: Column, value: int) -> Column:
         return F.when(F.coalesce(hit, F.lit(False)), F.lit(value)).otherwise(F.lit(0))
 
-    known = (host != "") & (own != "")
-    section = bare.isin(S.CANDIDATE_PATHS_BLOCKED)
-    length = F.length(trim_ascii(title))
-    return (
-        points(known & related, 1)
-        + points(known & ~related, -2)
-        + points(depth >= 2, 2)
-        + points(depth == 0, -5)
-        + points(section, -3)
-        + points(section & (depth <= 1), -2)
-        + points(path.rlike(rf"(?i)\.({'|'.join(S.CANDIDATE_EXTENSIONS_BLOCKED)})$"), -4)
-        + points(published.isNotNull(), 2)
-        + points(F.length(trim_ascii(summary)) >= 40, 1)
-        + points(length >= 24, 1)
-        + points(length < 10, -1)
-        + points(path.rlike(r"/(20\d{2}|19\d{2})/"), 1)
-        + points((depth >= 2) & F.contains(F.try_element_at(segments, F.lit(-1)), F.lit("-")), 1)
+    def scored(x: Column) -> Column:
+        host, own, path, segments = x["host"], x["own"], x["path"], x["segments"]
+        depth = F.size(segments)
+        related = (host == own) | F.endswith(host, F.concat(F.lit("."), own)) | F.endswith(own, F.concat(F.lit("."), host))
+        known = (host != "") & (own != "")
+        section = F.lower(F.regexp_replace(path, "^/", "")).isin(S.CANDIDATE_PATHS_BLOCKED)
+        return (
+            points(known & related, 1)
+            + points(known & ~related, -2)
+            + points(depth >= 2, 2)
+            + points(depth == 0, -5)
+            + points(section, -3)
+            + points(section & (depth <= 1), -2)
+            + points(path.rlike(rf"(?i)\.({'|'.join(S.CANDIDATE_EXTENSIONS_BLOCKED)})$"), -4)
+            + points(x["published"], 2)
+            + points(x["summary"] >= 40, 1)
+            + points(x["title"] >= 24, 1)
+            + points(x["title"] < 10, -1)
+            + points(path.rlike(r"/(20\d{2}|19\d{2})/"), 1)
+            + points((depth >= 2) & F.contains(F.try_element_at(segments, F.lit(-1)), F.lit("-")), 1)
+        )
+
+    def parts(x: Column) -> Column:
+        path = F.concat(F.lit("/"), F.regexp_replace(url_path(x["url"]), "^/+|/+$", ""))
+        own = F.coalesce(url_host(x["source"]), F.lit("")).alias("own")
+        host = F.coalesce(url_host(x["url"]), F.lit("")).alias("host")
+        rest = [x[c].alias(c) for c in ("title", "summary", "published")]
+        return let(path, lambda p: F.struct(host, own, p.alias("path"), F.filter(F.split(p, "/"), lambda s: s != "").alias("segments"), *rest))
+
+    given = F.struct(
+        canonical_url(url).alias("url"), source_url.alias("source"), F.length(trim_ascii(title)).alias("title"),
+        F.length(trim_ascii(summary)).alias("summary"), published.isNotNull().alias("published"),
     )
+    return let(given, lambda x: let(parts(x), scored))
 
 
-def score_article_candidates(items: DataFrame, key: str, bounded: bool = False) -> DataFrame:
+def score_article_candidates(items: DataFrame, key: str) -> DataFrame:
     """Keep items scoring at least 2; where a listing has none, keep all of it.
 
-    ``bounded`` says that a key is one page, whose few items fit a window; other keys get their best score from an
-    aggregate that is joined back.
+    Items are scored once and written; good ones stay as they are, and only low ones are held against the keys that have a good one.
     """
-    scored = items.withColumn(
-        "score", candidate_score(F.col("url"), F.col("source_url"), F.col("title"), F.col("summary"), F.col("published_at"))
-    )
-    if bounded:
-        rated = scored.withColumn("_best", F.max("score").over(W.partitionBy(key)))
-    else:
-        rated = scored.join(scored.groupBy(key).agg(F.max("score").alias("_best")), key)
-    return rated.where(
-        (F.col("score") >= S.CANDIDATE_MIN_SCORE) | (F.col("_best") < S.CANDIDATE_MIN_SCORE)
-    ).drop("_best")
+    score = candidate_score(F.col("url"), F.col("source_url"), F.col("title"), F.col("summary"), F.col("published_at"))
+    scored = stage(items.withColumn("score", score), "scored")
+    good = F.col("score") >= S.CANDIDATE_MIN_SCORE
+    better = scored.where(good).select(key).distinct()
+    return scored.where(good).unionByName(scored.where(~good).join(better, key, "left_anti"))

@@ -190,7 +190,7 @@ def card_fields(v):
         JOIN valid v ON v.page_id = g.page_id WHERE valid_items >= greatest(3, least(5, items))""",
 )
 def detect_listing_patterns(v):
-    return listings.detect_listing_patterns(stage(listing(v), "nodes"))
+    return listings.detect_listing_patterns(listing(v))
 
 
 @query(
@@ -199,8 +199,9 @@ def detect_listing_patterns(v):
         FROM good g LEFT JOIN valid v ON v.page_id = g.page_id""",
 )
 def pattern_validation(v):
-    pages = stage(listing(v), "nodes")
-    return listings.pattern_validation(pages, listings.detect_patterns(listings.card_fields(pages)))
+    pages = listing(v)
+    cards = stage(listings.card_rows(pages), "cards")
+    return listings.pattern_validation(cards, listings.detect_patterns(listings.card_fields(pages, cards)))
 
 
 @query(
@@ -210,8 +211,8 @@ def pattern_validation(v):
             unnest(range(1, len(ms) + 1)) AS u(g)),
         b AS (SELECT page_id, base, pos, {absolute('href', 'base')} AS url, {clean('raw')} AS title FROM a),
         c AS (SELECT * FROM b WHERE length(lower(trim(title))) BETWEEN 12 AND 220 AND NOT {any_of('lower(title)', S.FEED_TITLE_BLOCKED)}),
-        d AS (SELECT page_id, url, CAST(min(pos) AS INT) AS pos, arg_max(title, pos) AS title FROM c GROUP BY page_id, url)
-        SELECT page_id, pos, url, title FROM d""",
+        d AS (SELECT page_id, url, min(pos) AS place, arg_max(title, pos) AS title FROM c GROUP BY page_id, url)
+        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) - 1 AS INT) AS pos, url, title FROM d""",
 )
 def schema_extract_items(v):
     """Navigation entries of every page through a one-rule registry keyed by URL hash."""
