@@ -163,8 +163,13 @@ def iso_date(value: Column) -> Column:
 
 # --- UTF-8 -------------------------------------------------------------------------------------------
 def repair_utf8(value: Column | str, max_bytes: int | None = None) -> Column:
-    """Binary or string → valid UTF-8 without the broken bytes, cut at a character boundary."""
-    text = F.replace(F.make_valid_utf8(col(value).cast("string")), F.lit("\ufffd"), F.lit(""))
+    """Binary or string → valid UTF-8 without the broken bytes, cut at a character boundary.
+
+    Valid text stays as it is. Broken bytes become U+FFFD and go; marks that the text itself holds stand aside meanwhile.
+    """
+    raw, mark, aside = col(value).cast("string"), F.lit("\ufffd"), F.lit("\U0010ffff\U0010fffe")
+    cleared = F.replace(F.replace(F.make_valid_utf8(F.replace(raw, mark, aside)), mark, F.lit("")), aside, mark)
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(cleared)
     return text if max_bytes is None else cut_utf8(text, max_bytes)
 
 

@@ -12,22 +12,23 @@ from feedweir.plans.views import NOW, now_column
 from feedweir.sources import tables
 
 
-@query(
-    "scan_tables",
-    """SELECT * FROM (
-        SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer UNION ALL SELECT 'documents', count(*) FROM documents
-        UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'lineitem', count(*) FROM lineitem
-        UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders
-        UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'part', count(*) FROM part
-        UNION ALL SELECT 'supplier', count(*) FROM supplier) t""",
-)
+def _profile_sql() -> str:
+    """One row per column of every table, worked out per kind of column."""
+    mass = {
+        "whole": "sum({c})", "real": "sum(floor({c} * 1000))", "text": "sum(strlen({c}))", "time": "sum(epoch_us({c}) % 1000003)", "list": "sum(len({c}))",
+    }
+    rows = []
+    for name, columns in tables.SAMPLE_TABLES.items():
+        for column, kind in tables.columns_of(columns):
+            total = mass[tables.kind_of(kind)].format(c=column)
+            rows.append(f"SELECT '{name}' AS table_name, '{column}' AS column_name, count(*) AS n_rows, count(*) - count({column}) AS n_nulls, coalesce({total}, 0)::BIGINT AS mass FROM {name}")
+    return " UNION ALL ".join(rows)
+
+
+@query("scan_tables", _profile_sql())
 def scan_tables(v):
-    loaded = tables.scan_tables(v.spark, v.dir)
-    counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, df in sorted(loaded.items())]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """Profile of every column of every table."""
+    return tables.profiles(tables.scan_tables(v.spark, v.dir))
 
 
 @query("canonicalize_urls", f"SELECT page_id, url, {canon('url')} AS canonical_url FROM v_pages")

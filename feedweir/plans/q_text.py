@@ -22,20 +22,23 @@ def truncate_text(v):
     return v.docs.select(F.col("doc_id").alias("id"), text.truncate_text("text", S.SUMMARY_LIMIT).alias("short"))
 
 
-FIRST = "CASE WHEN doc_id % 7 = 0 THEN ' <p> </p>' ELSE split_part(text, chr(10), 1) END"
+LINES = "(SELECT doc_id AS id, unnest(range(len(string_split(text, chr(10)))))::INT AS pos, unnest(string_split(text, chr(10))) AS line FROM v_docs)"
 
 
-def first_line(df):
-    return F.when(F.col("doc_id") % 7 == 0, F.lit(" <p> </p>")).otherwise(F.substring_index("text", "\n", 1))
+def lines(v):
+    """Every line of every document by its number."""
+    return spread(v.docs).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
 @query(
     "title_or_default",
-    f"SELECT doc_id AS id, {limit('coalesce(nullif(' + clean(FIRST) + chr(44) + chr(39)*2 + '), ' + chr(39) + 'Untitled article' + chr(39) + ')', 240)} AS title FROM v_docs",
+    f"""SELECT id, pos, {limit('coalesce(nullif(' + clean('line') + ", ''), 'Untitled article')", 240)} AS title
+        FROM (SELECT id, pos, CASE WHEN (id + pos) % 7 = 0 THEN ' <p> </p>' ELSE line END AS line FROM {LINES} l) m""",
 )
 def title_or_default(v):
-    docs = v.docs
-    return docs.select(F.col("doc_id").alias("id"), text.title_or_default(first_line(docs)).alias("title"))
+    """Every line as a title; every seventh is blank markup."""
+    line = F.when((F.col("id") + F.col("pos")) % 7 == 0, F.lit(" <p> </p>")).otherwise(F.col("line"))
+    return lines(v).select("id", "pos", text.title_or_default(line).alias("title"))
 
 
 @query("nullable_summary", f"SELECT doc_id AS id, {limit('nullif(' + clean('text') + chr(44) + chr(39)*2 + ')', 420)} AS summary FROM v_docs")
@@ -66,39 +69,34 @@ def parse_dates(v):
     return v.table("orders").select(F.col("o_orderkey").alias("id"), text.parse_date(spelled).alias("published_at"))
 
 
-@query("repair_utf8", "SELECT doc_id AS id, text || ' end' AS text FROM v_docs")
+@query("repair_utf8", "SELECT doc_id AS id, text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END || ' end' AS text FROM v_docs")
 def repair_utf8(v):
-    """Documents with a broken byte spliced in come back as written."""
-    broken = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("D1")), F.encode(F.lit(" end"), "UTF-8"))
+    """Documents come back as written: two of three with a broken byte spliced in, one of three with a replacement mark of their own."""
+    doc = F.col("doc_id")
+    mark = F.when(doc % 3 == 0, F.unhex(F.lit("EFBFBD"))).otherwise(F.unhex(F.lit("")))
+    byte = F.when(doc % 3 != 1, F.unhex(F.lit("D1"))).otherwise(F.unhex(F.lit("")))
+    broken = F.concat(F.encode("text", "UTF-8"), mark, byte, F.encode(F.lit(" end"), "UTF-8"))
     return v.docs.select(F.col("doc_id").alias("id"), text.repair_utf8(broken).alias("text"))
 
 
-TITLE = "lower(trim(split_part(text, chr(10), 1)))"
+BLANKS = " || chr(9) || chr(10) || chr(11) || chr(13) || chr(0)"
+TRIMMED = f"lower(trim(line, ' '{BLANKS}))"
 
 
 @query(
     "likely_titles",
-    f"""SELECT doc_id AS id, split_part(text, chr(10), 1) AS title FROM v_docs
-        WHERE length({TITLE}) BETWEEN 12 AND 220 AND NOT {any_of(TITLE, S.FEED_TITLE_BLOCKED)}""",
+    f"""SELECT id, pos, line AS title FROM {LINES} l WHERE length({TRIMMED}) BETWEEN 12 AND 220 AND NOT {any_of(TRIMMED, S.FEED_TITLE_BLOCKED)}""",
 )
 def likely_titles(v):
-    return v.docs.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title")).where(
-        text.likely_title("title")
-    )
-
-
-LAST = "list_extract(string_split(text, chr(10)), -1)"
+    return lines(v).where(text.likely_title("line")).withColumnRenamed("line", "title")
 
 
 @query(
     "likely_summaries",
-    f"""SELECT id, summary FROM (SELECT doc_id AS id, {LAST} AS summary FROM v_docs) d
-        WHERE length(trim(summary)) >= 24 AND NOT {any_of('lower(trim(summary))', S.FEED_SUMMARY_BLOCKED)}""",
+    f"""SELECT id, pos, line AS summary FROM {LINES} l WHERE length({TRIMMED}) >= 24 AND NOT {any_of(TRIMMED, S.FEED_SUMMARY_BLOCKED)}""",
 )
 def likely_summaries(v):
-    return v.docs.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", -1).alias("summary")).where(
-        text.likely_summary("summary")
-    )
+    return lines(v).where(text.likely_summary("line")).withColumnRenamed("line", "summary")
 
 
 HREFS = """SELECT page_id, url AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM v_pages

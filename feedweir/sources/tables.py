@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # the sample tables, as they lie in Parquet
 SAMPLE_TABLES = {
@@ -17,6 +18,11 @@ SAMPLE_TABLES = {
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
     "pages": "page_id BIGINT, url STRING, html STRING",
+    "region": "r_regionkey INT, r_name STRING",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "benchmark": "item_id BIGINT, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
 }
 
 # the domain's own tables
@@ -63,6 +69,43 @@ def scan_tables(spark: SparkSession, folder: str, schemas: dict[str, str] = SAMP
     return {name: spark.read.schema(ddl).parquet(f"{folder}/{name}.parquet") for name, ddl in schemas.items()}
 
 
+def columns_of(ddl: str) -> list[tuple[str, str]]:
+    """(name, type) of each column of a declared schema."""
+    return [(name, kind.lower()) for name, kind in (column.split(" ", 1) for column in ddl.split(", "))]
+
+
+def kind_of(kind: str) -> str:
+    """What a column's mass is made of: whole numbers, real numbers, texts, times or lists."""
+    if kind.startswith("array"):
+        return "list"
+    return {"string": "text", "double": "real", "float": "real", "timestamp": "time", "timestamp_ntz": "time"}.get(kind, "whole")
+
+
+def profiles(loaded: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, n_rows, n_nulls, mass: what each column of each table holds, in one pass per table.
+
+    ``mass`` does not depend on the order of rows and adds up over parts: the sum of whole numbers, of thousandths, of bytes, of
+    microseconds (modulo a prime) or of list lengths. A profile before and after a load tells whether rows were lost or changed.
+    """
+    mass = {
+        "whole": lambda c: c.cast("decimal(38,0)"), "real": lambda c: F.floor(c * 1000), "text": F.octet_length,
+        "time": lambda c: F.unix_micros(c.cast("timestamp")) % 1000003, "list": F.size,
+    }
+    out = None
+    for name, df in loaded.items():
+        sums = []
+        for f in df.schema:
+            value = F.col(f"`{f.name}`")
+            total = F.sum(F.when(value.isNotNull(), mass[kind_of(f.dataType.simpleString())](value)))
+            sums.append(F.struct(
+                F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.count("*").alias("n_rows"),
+                (F.count("*") - F.count(value)).alias("n_nulls"), F.coalesce(total.cast("bigint"), F.lit(0).cast("bigint")).alias("mass"),
+            ))
+        rows = df.agg(F.array(*sums).alias("columns")).select(F.inline("columns"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def scan_jdbc(spark: SparkSession, url: str, table: str, lower: int, upper: int, partitions: int, **options: str) -> DataFrame:
     """Range-partitioned read of a relational table by its ``id``."""
     return (
