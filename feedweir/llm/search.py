@@ -1,4 +1,4 @@
-"""Exact top-k BM25 over an inverted index in shards, with block-max WAND pruning.
+"""Exact top-k BM25 over an inverted index in shards, pruned by block maxima and by the score to reach.
 
 Every shard holds the postings of a bounded number of documents as sorted arrays, written to the shared folder; statistics
 (row count, mean length, document frequencies) are summed over all shards, so scores do not depend on the sharding. Documents of a
@@ -10,7 +10,8 @@ each document. The best bounds are scored exactly, which gives a threshold; only
 scored further. Nothing is approximate: the k best of each shard are exact and so is their merger. Scores are rounded to
 ``DIGITS`` places before they are compared, ties go to the smaller id.
 
-Queries pass in blocks of bounded bytes, each broadcast once and run over all shards.
+Queries pass in blocks of bounded bytes. A block runs over the shards in waves, each as large as all before it, and with every query
+goes its k-th best score so far: a shard leaves out what does not reach it.
 
 Words are runs of ASCII letters, digits, underscores and non-ASCII characters, in lower case. Edge cases: null and empty texts
 match nothing; fewer than k matching documents give fewer rows; repeated rows are found each; null ids sort first; an empty
@@ -41,6 +42,8 @@ BLOCK = 64
 FREQUENT = 1 / 8
 #: Bytes of queries broadcast at once.
 QUERY_BYTES = 16 << 20
+#: Shards searched before a query has a score to reach.
+FIRST_WAVE = 4
 
 _INDEX = "shard int, n_docs long, n_words long, ids binary, known binary, lengths binary, terms binary, starts binary, docs binary, tfs binary"
 _HITS = "query_id long, doc_id long, score double"
@@ -119,8 +122,8 @@ class Shard:
             self.full[i, self.docs[a:b]] = self.impact[a:b]
         self.most = self.full.reshape(len(often), blocks, BLOCK).max(axis=2) if self.n else np.zeros((len(often), 0))
 
-    def top(self, terms: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, rounded scores) of the k best documents of a query."""
+    def top(self, terms: np.ndarray, weight: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(places, rounded scores) of the k best documents of a query, of those that score ``floor`` or more."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
         hit = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
         at, weight = at[hit], weight[hit]
@@ -136,14 +139,16 @@ class Shard:
         def exact(places: np.ndarray) -> np.ndarray:
             return np.round(part[places] + (weight @ self.full[row][:, places] if len(row) else 0.0), DIGITS)
 
-        first = np.argpartition(bound, -min(self.n, 4 * k))[-min(self.n, 4 * k) :] if self.n else np.zeros(0, np.int64)
+        able = np.flatnonzero(bound >= floor)
+        first = able if len(able) <= 4 * k else able[np.argpartition(bound[able], -4 * k)[-4 * k :]]
         score = exact(first)
         least = np.partition(score, -k)[-k] if len(first) >= k else -np.inf
-        open_ = bound >= max(least, 10.0**-DIGITS)
+        open_ = bound >= max(least, floor, 10.0**-DIGITS)
         open_[first] = False
         more = np.flatnonzero(open_)
         places, score = np.append(first, more), np.append(score, exact(more))
-        places, score = places[score > 0], score[score > 0]
+        kept = (score > 0) & (score >= floor)
+        places, score = places[kept], score[kept]
         best = np.lexsort((self.ids[places], self.known[places], -score))[:k]
         return places[best], score[best]
 
@@ -155,8 +160,8 @@ def _search(block, mean_length: float, k: int):
             for row in batch.to_pylist():
                 shard = Shard(row, mean_length)
                 found: list[tuple] = []
-                for query, terms, weight in queries:
-                    places, score = shard.top(terms, weight, k)
+                for query, terms, weight, floor in queries:
+                    places, score = shard.top(terms, weight, k, floor)
                     found.append((np.full(len(places), query), shard.ids[places], shard.known[places] == 0, score))
                 q, ids, null, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0)] * 4
                 yield pa.RecordBatch.from_arrays(
@@ -192,14 +197,43 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHA
     blocks = max(1, -(-total // query_bytes))
     hits = []
     for i in range(blocks):
-        part = listed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "term", "weight").toArrow()
-        block = [
-            (q, np.asarray(t, np.int64).view(np.uint64), np.asarray(x, float))
-            for q, t, x in zip(*(part.column(c).to_pylist() for c in ("query_id", "term", "weight")), strict=True)
-        ]
-        shared = spark.sparkContext.broadcast(block)
-        hits.append(scratch.put(index.mapInArrow(_search(shared, mean_length, k), _HITS), f"hits-{i}"))
-        shared.unpersist()
+        part = listed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        found: list[DataFrame] = []
+        for lo, hi in waves(shards):
+            floors = _floors(found, k) if found else spark.createDataFrame([], "query_id long, floor double")
+            rows = part.join(floors, "query_id", "left").select("query_id", "term", "weight", F.coalesce("floor", F.lit(float("-inf"))).alias("floor")).toArrow()
+            block = [
+                (q, np.asarray(t, np.int64).view(np.uint64), np.asarray(x, float), floor)
+                for q, t, x, floor in zip(*(rows.column(c).to_pylist() for c in ("query_id", "term", "weight", "floor")), strict=True)
+            ]
+            shared = spark.sparkContext.broadcast(block)
+            some = index.where((F.col("shard") >= lo) & (F.col("shard") < hi))
+            found.append(scratch.put(some.mapInArrow(_search(shared, mean_length, k), _HITS), f"hits-{i}-{lo}"))
+            shared.unpersist()
+        hits += found
+    return _ranked(hits, k)
+
+
+def waves(shards: int, first: int = FIRST_WAVE) -> list[tuple[int, int]]:
+    """Ranges of shards, each as many as all before it: a wave starts from what the query's k-th best score is so far.
+
+    Shards are random parts of the rows, so about k rows of a wave reach that score: hits grow with the queries and the number of waves,
+    not with the number of shards.
+    """
+    out, lo = [], 0
+    while lo < shards:
+        hi = min(shards, max(first, 2 * lo))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def _ranked(hits: list[DataFrame], k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     ranked = reduce(DataFrame.union, hits).withColumn("rank", F.row_number().over(order).cast("long"))
     return ranked.where(F.col("rank") <= k)
+
+
+def _floors(hits: list[DataFrame], k: int) -> DataFrame:
+    """The k-th best score of every query that has k hits: one number per query."""
+    return _ranked(hits, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))

@@ -91,3 +91,10 @@ def test_search_is_exact(messy, rows, shard_rows, query_bytes):
 def test_empty_tables(none, messy):
     queries = messy.selectExpr("doc_id AS query_id", "text")
     assert search.top_k(none, queries).count() == 0 and search.top_k(messy, queries.limit(0)).count() == 0
+
+
+def test_waves_cover_all_shards_once():
+    for shards in (1, 3, 4, 5, 9, 64, 1000):
+        ranges = search.waves(shards)
+        assert [x for lo, hi in ranges for x in range(lo, hi)] == list(range(shards))
+        assert len(ranges) <= max(1, shards.bit_length())
