@@ -101,7 +101,9 @@ def learn(docs: DataFrame, labelled: DataFrame, max_fit: int = MAX_FIT) -> Class
         return None
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, max_fit / rows)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most max_fit short rows
-    sample = texts.mapInArrow(_sample, "doc_id long, domain string, buckets array<int>, stats array<float>").toArrow().sort_by([("doc_id", "ascending")])
+    found = texts.mapInArrow(_sample, "doc_id long, domain string, buckets array<int>, stats array<float>")
+    once = found.groupBy("doc_id").agg(F.min(F.struct("domain", "buckets", "stats")).alias("row")).select("doc_id", "row.*")  # repeated ids count once
+    sample = once.toArrow().sort_by([("doc_id", "ascending")])
     if not sample.num_rows:
         return None
     names, y = np.unique(np.array(sample.column("domain").to_pylist()), return_inverse=True)
