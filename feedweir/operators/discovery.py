@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 
 from feedweir import settings as S
 from feedweir.functions.core import col, contains_any
-from feedweir.functions.urls import absolute_url, canonical_url, host_in_domain, url_hash, url_host
+from feedweir.functions.urls import absolute_url, canonical_url, host_in_domain, url_hash, url_host, url_origin
+from feedweir.operators import feeds, listings, pages
+from feedweir.session import stage
+from feedweir.sources.html import shred_pages
+
+#: What discovery knows of a candidate; ``stage`` and ``n`` are the order in which it was found.
+CANDIDATE = "struct<stage:int,n:int,url:string,type:string,confidence:double,strategy:string,has_schema:boolean,title:string>"
 
 
 def url_type(url: Column | str) -> Column:
@@ -44,6 +50,91 @@ def feed_probe_plan(urls: DataFrame, with_feed: DataFrame | None = None, limit:
     )
 
 
+def _candidate(stage_no: int, n: Column, url: Column, kind: Column, confidence: Column, strategy: Column | str, has_schema: bool = False, title: Column | None = None) -> Column:
+    fields = [F.lit(stage_no), n, url, kind, confidence, F.lit(strategy), F.lit(has_schema), F.lit(None) if title is None else title]
+    return F.struct(*fields).cast(CANDIDATE)
+
+
+def latest_answers(answers: DataFrame) -> DataFrame:
+    """Type of what each address answers: of its payloads (``payload_id, url, type, confidence``) the one with the greatest id."""
+    last = F.max_by(F.struct("type", "confidence"), "payload_id")
+    return answers.groupBy(canonical_url("url").alias("url")).agg(last.alias("a")).select("url", "a.type", "a.confidence")
+
+
+def probe_answers(urls: DataFrame, answers: DataFrame) -> DataFrame:
+    """Feeds that answer at the probe addresses of each origin: ``origin, probed`` (candidates in probing order, few by the plan's limit).
+
+    Origins are probed once, however many URLs share them.
+    """
+    origins = urls.select(url_origin("url").alias("url")).where("url IS NOT NULL").distinct()
+    plan = feed_probe_plan(origins).withColumnRenamed("url", "origin")
+    hits = plan.join(answers.where(F.col("type").isin(S.FEED_TYPES)).withColumnRenamed("url", "probe_url"), "probe_url")
+    found = _candidate(4, F.col("n"), F.col("probe_url"), F.col("type"), F.greatest(F.lit(0.72), "confidence"), "common_feed_probe")
+    return hits.groupBy("origin").agg(F.array_sort(F.collect_list(found)).alias("probed"))
+
+
+def html_candidates(shredded: DataFrame, answers: DataFrame) -> DataFrame:
+    """What HTML pages offer, one row per page (``page_id, linked``): their own listing, announced feeds, links labelled as feeds.
+
+    ``shredded`` is read four times: pass a written table.
+    """
+    sites = shredded.select("page_id", F.col("url").alias("site"))
+    pattern = listings.detect_listing_patterns(shredded).join(sites, "page_id").select(
+        "page_id",
+        _candidate(
+            1, F.lit(0), F.col("site"), F.lit("html"), F.greatest(F.lit(0.62), F.least(F.lit(0.99), "confidence")), "html_pattern_detector", True
+        ).alias("c"),
+    )
+    announced = pages.feed_autodiscovery(shredded).select(
+        "page_id", _candidate(2, F.col("pos"), F.col("url"), F.col("type"), F.col("confidence"), "html_autodiscovery", title=F.col("title")).alias("c")
+    )
+    labelled = pages.feed_action_links(shredded, answers).select(
+        "page_id", _candidate(3, F.col("pos"), F.col("url"), F.col("type"), F.col("confidence"), "html_action_link").alias("c")
+    )
+    every = pattern.union(announced).union(labelled)
+    return every.groupBy("page_id").agg(F.array_sort(F.collect_list("c")).alias("linked"))
+
+
+def discover(responses: DataFrame, answers: DataFrame) -> DataFrame:
+    """Candidates of every requested URL, in the order of finding: ``requested_url, pos, url, type, confidence, strategy, has_schema, title``.
+
+    ``responses`` holds one row per URL: ``id, url, body`` and perhaps ``content_type``; a null body is a request that failed. ``answers``
+    tells what other addresses answered (``payload_id, url, type, confidence``). The payload itself comes first, then what an HTML page
+    offers; URLs without a feed by then get the feeds that answer at their origin's probe addresses, URLs without any candidate a guess.
+    Candidates of a URL are an array in its row: bodies are never shuffled, only the few links that may be feeds meet the answers.
+    """
+    content_type = F.col("content_type") if "content_type" in responses.columns else None
+    known = stage(latest_answers(answers), "answers")
+    kind = feeds.payload_kind("body", content_type)
+    markup = F.left("body", F.lit(2048)).rlike("(?i)<(?:html|head|body)")
+    markup = markup if content_type is None else markup | F.contains(F.lower(content_type), F.lit("text/html"))
+    html = responses.where(markup).select(F.col("id").alias("page_id"), "url", F.col("body").alias("html"))
+    linked = html_candidates(stage(shred_pages(html), "nodes"), known)
+
+    own = _candidate(0, F.lit(0), F.col("url"), F.col("_kind"), feeds.kind_confidence(F.col("_kind")), "content_inspection")
+    sites = responses.withColumn("_kind", kind).select(
+        F.col("id").alias("page_id"), F.col("url").alias("requested_url"), F.coalesce(url_origin("url"), "url").alias("origin"),
+        F.when(F.col("_kind").isNotNull(), F.array(own)).otherwise(F.array().cast(f"array<{CANDIDATE}>")).alias("own"),
+    )
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    guess = url_type("requested_url")
+    guessed = _candidate(
+        5, F.lit(0), F.col("requested_url"), guess, F.when(guess == "unknown", 0.35).otherwise(0.6),
+        F.when(guess == "unknown", "fallback_unknown").otherwise("url_heuristic"),
+    )
+    joined = (
+        sites.join(linked, "page_id", "left")
+        .withColumn("found", F.concat("own", F.coalesce("linked", none)))
+        .join(probe_answers(responses, known), "origin", "left")
+    )
+    has_feed = F.exists("found", lambda c: c["type"].isin(S.FEED_TYPES))
+    probed = joined.withColumn("found", F.when(has_feed, F.col("found")).otherwise(F.concat("found", F.coalesce("probed", none))))
+    rows = probed.select(
+        "requested_url", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(guessed))).alias("pos", "c")
+    )
+    return rows.select("requested_url", "pos", *[f"c.{x}" for x in ("url", "type", "confidence", "strategy", "has_schema", "title")])
+
+
 def candidate_points(kind: Column, confidence: Column, has_schema: Column) -> Column:
     weight = F.lit(S.TYPE_WEIGHT_OTHER)
     for name, value in S.TYPE_WEIGHTS.items():

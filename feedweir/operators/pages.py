@@ -42,14 +42,15 @@ def link_candidates(shredded: DataFrame, limit: int = S.LINK_CANDIDATES_MAX) ->
 
 
 def feed_autodiscovery(shredded: DataFrame) -> DataFrame:
-    """``<link rel=alternate>`` entries that announce a feed."""
+    """``<link rel=alternate>`` entries that announce a feed, in page order (``pos``)."""
     links = """filter(nodes, n -> n.tag = 'link' AND contains(lower(n.attrs['rel']), 'alternate') AND trim(n.attrs['href']) <> '')"""
-    rows = shredded.select("page_id", F.col("url").alias("base"), F.explode_outer(F.expr(links)).alias("l")).where("l IS NOT NULL")
+    rows = shredded.select("page_id", F.col("url").alias("base"), F.posexplode_outer(F.expr(links)).alias("pos", "l")).where("l IS NOT NULL")
     kind = F.lit(None).cast("string")
     for mime, name in S.AUTODISCOVERY_TYPES.items():
         kind = F.when(F.lower(F.col("l.attrs")["type"]) == mime, F.lit(name)).otherwise(kind)
     return rows.withColumn("type", kind).where("type IS NOT NULL").select(
         "page_id",
+        "pos",
         absolute_url(F.col("l.attrs")["href"], F.col("base")).alias("url"),
         "type",
         blank_to_null(F.trim(F.col("l.attrs")["title"])).alias("title"),

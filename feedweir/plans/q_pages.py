@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
+from feedweir.functions.urls import canonical_url, url_origin
 from feedweir.operators import discovery, documents, feeds, listings
 from feedweir.operators import pages as P
 from feedweir.operators.partitioning import spread
 from feedweir.plans.oracle_parts import absolute, any_of, canon, clean, host, limit, path, quoted
 from feedweir.plans.q_feeds import RAW, corpus
-from feedweir.plans.payloads import listing_pages
+from feedweir.plans.payloads import listing_pages, payloads
 from feedweir.plans.registry import query
 from feedweir.session import stage
 from feedweir.sources.html import shred_pages
@@ -79,7 +82,7 @@ def link_candidates(v):
     """SELECT doc_id AS page_id, 'https://feed.example.org/p/' || doc_id AS url, 'rss' AS type, 'Feed' AS title, 0.87::DOUBLE AS confidence FROM v_docs""",
 )
 def feed_autodiscovery(v):
-    return P.feed_autodiscovery(listing(v))
+    return P.feed_autodiscovery(listing(v)).drop("pos")
 
 
 @query(
@@ -115,29 +118,79 @@ def feed_probe_plan(v):
     return discovery.feed_probe_plan(v.pages.select(canonical_url("url").alias("url")).distinct())
 
 
-CAND = """SELECT source_url AS requested_url, k.pos, CASE k.pos WHEN 0 THEN 'html' WHEN 1 THEN 'html' WHEN 2 THEN 'rss' WHEN 3 THEN 'atom' ELSE 'json_feed' END AS type,
-        CASE k.pos WHEN 0 THEN source_url WHEN 1 THEN source_url ELSE 'https://feed.example.org/p/' || CAST(id * 4 + k.pos - 2 AS STRING) END AS url,
-        CAST(CASE k.pos WHEN 0 THEN 0.45 WHEN 1 THEN 0.62 + (id % 30) / 100.0 ELSE 0.7 + (id * k.pos % 29) / 100.0 END AS DOUBLE) AS confidence,
-        k.pos = 1 AND id % 3 = 0 AS has_schema,
-        CASE k.pos WHEN 0 THEN 'content_inspection' WHEN 1 THEN 'html_pattern_detector' ELSE 'html_autodiscovery' END AS strategy
-    FROM v_sources CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS k(pos) WHERE (id + k.pos) % 4 <> 1"""
-RANKED = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY requested_url ORDER BY score DESC, pos) AS rank FROM (SELECT *,
+# Requested addresses: every crawled page, and every document as a listing page, as a feed or as an address that does not answer. The
+# documents' feeds answer at their own addresses and, at one of eight paths, on the host of the page with their number.
+_WEB_PATHS = PATHS + ["/news/rss.xml", "/no-feed"]
+_MODE = "CASE WHEN doc_id % 5 = 4 THEN 'down' WHEN doc_id % 5 < 2 OR doc_id % 4 = 3 THEN 'list' ELSE 'feed' END"
+_SITE_URL = """CASE {mode} WHEN 'list' THEN 'https://list.example.org/s/' || CAST(doc_id AS STRING) WHEN 'feed' THEN 'https://feed.example.org/p/' || CAST(doc_id AS STRING)
+    ELSE 'https://down.example.org/' || CASE doc_id % 4 WHEN 0 THEN 'atom' WHEN 1 THEN 'x.feed' WHEN 2 THEN 'rss' ELSE 'news' END || '/' || CAST(doc_id AS STRING) END""".replace("{mode}", _MODE)
+KINDS = "['rss', 'atom', 'json_feed', 'html'][{x} % 4 + 1]"
+SURE = "[0.99::DOUBLE, 0.99, 0.98, 0.45][{x} % 4 + 1]::DOUBLE"
+DISCOVERED = f"""{CARDS_SQL},
+    req AS (SELECT page_id * 2 + 1 AS id, page_id AS of, url, 'page' AS mode, regexp_matches(html, '(?i)<(html|head|body)') AS answers FROM v_pages
+        UNION ALL SELECT doc_id * 2, doc_id, {_SITE_URL}, {_MODE}, {_MODE} <> 'down' FROM v_docs),
+    addr AS (SELECT doc_id AS payload_id, 'https://feed.example.org/p/' || doc_id AS url FROM v_docs
+        UNION ALL SELECT doc_id, 'https://feed.example.org/p/' || doc_id || '?format=rss.xml' FROM v_docs
+        UNION ALL SELECT page_id, regexp_extract({canon('url')}, '^([a-z]+://[^/]+)', 1) || [{quoted(_WEB_PATHS)}][page_id % 8 + 1] FROM v_pages JOIN v_docs ON doc_id = page_id),
+    ans AS (SELECT url, {KINDS.format(x='max(payload_id)')} AS type, {SURE.format(x='max(payload_id)')} AS confidence FROM addr GROUP BY url),
+    found AS (SELECT id, url AS requested_url, 0 AS stage, 0 AS n, url, CASE WHEN mode = 'feed' THEN {KINDS.format(x='of')} ELSE 'html' END AS type,
+            CASE WHEN mode = 'feed' THEN {SURE.format(x='of')} ELSE 0.45::DOUBLE END AS confidence, 'content_inspection' AS strategy, false AS has_schema FROM req WHERE answers
+        UNION ALL SELECT id, url, 1, 0, url, 'html', greatest(0.62::DOUBLE, least(0.99::DOUBLE, round(round(confidence, 9), 2))), 'html_pattern_detector', true
+            FROM req JOIN good ON good.page_id = of JOIN valid ON valid.page_id = of WHERE mode = 'list' AND valid_items >= greatest(3, least(5, items))
+        UNION ALL SELECT id, url, 2, 0, 'https://feed.example.org/p/' || of, 'rss', 0.87::DOUBLE, 'html_autodiscovery', false FROM req WHERE mode = 'list'
+        UNION ALL SELECT id, r.url, 3, 0, a.url, a.type, greatest(0.84::DOUBLE, a.confidence), 'html_action_link', false
+            FROM req r JOIN ans a ON a.url = 'https://feed.example.org/p/' || of || '?format=rss.xml' WHERE mode = 'list' AND a.type <> 'html'),
+    probed AS (SELECT id, r.url AS requested_url, 4, g, a.url, a.type, greatest(0.72::DOUBLE, a.confidence), 'common_feed_probe', false
+        FROM (SELECT *, unnest(range(1, 7)) AS g FROM req WHERE id NOT IN (SELECT id FROM found WHERE type <> 'html')) r
+        JOIN ans a ON a.url = regexp_extract({canon('r.url')}, '^([a-z]+://[^/]+)', 1) || [{quoted(PATHS)}][g] WHERE a.type <> 'html'),
+    cands AS (SELECT * FROM found UNION ALL SELECT * FROM probed UNION ALL SELECT id, url, 5, 0, url, {TYPE}, CASE WHEN {TYPE} = 'unknown' THEN 0.35::DOUBLE ELSE 0.6::DOUBLE END,
+        CASE WHEN {TYPE} = 'unknown' THEN 'fallback_unknown' ELSE 'url_heuristic' END, false
+        FROM req WHERE id NOT IN (SELECT id FROM found) AND id NOT IN (SELECT id FROM probed))"""
+RANKED = f"""{DISCOVERED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY requested_url ORDER BY score DESC, stage, n) AS rank FROM (SELECT *,
     CASE type WHEN 'rss' THEN 6 WHEN 'atom' THEN 5 WHEN 'json_feed' THEN 4 WHEN 'html' THEN 2 ELSE 1 END * 1000 + CAST(round(confidence * 100) AS INT)
-    + CASE WHEN type = 'html' AND has_schema THEN 5500 ELSE 0 END AS score FROM ({CAND}) c) s)"""
+    + CASE WHEN type = 'html' AND has_schema THEN 5500 ELSE 0 END AS score FROM cands) s)"""
+
+
+def requests(v):
+    """id, url and body of every requested address."""
+    crawled = v.pages.select((F.col("page_id") * 2 + 1).alias("id"), "url", F.col("html").alias("body"))
+    docs = spread(v.docs)
+    sites = docs.withColumn("mode", F.expr(_MODE)).withColumn("site", F.expr(_SITE_URL))
+    number, site = (F.col("page_id") * 2).alias("id"), ["doc_id", "text", "site", "mode"]
+    sites = sites.select(*site)
+    lists = listing_pages(sites.where("mode = 'list'")).select(number, "url", F.col("html").alias("body"))
+    own = payloads(sites.where("mode = 'feed'")).select((F.col("payload_id") * 2).alias("id"), F.col("final_url").alias("url"), "body")
+    down = sites.where("mode = 'down'").select((F.col("doc_id") * 2).alias("id"), F.col("site").alias("url"), F.lit(None).cast("string").alias("body"))
+    return crawled.union(lists).union(own).union(down)
+
+
+def web_addresses(v):
+    """payload_id and url of every address where a document's feed answers."""
+    own = F.concat(F.lit("https://feed.example.org/p/"), F.col("doc_id").cast("string"))
+    ours = v.docs.select(F.col("doc_id").alias("payload_id"), F.explode(F.array(own, F.concat(own, F.lit("?format=rss.xml")))).alias("url"))
+    place = F.element_at(F.array(*[F.lit(p) for p in _WEB_PATHS]), (F.col("page_id") % 8 + 1).cast("int"))
+    hosts = v.pages.select(F.col("page_id").alias("payload_id"), F.concat(url_origin(canonical_url("url")), place).alias("url"))
+    return ours.union(hosts)
 
 
 def ranked(v):
-    sources = v.sources.select("id", "source_url")
-    rows = CAND.replace("FROM v_sources", "FROM {src}").replace("CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS k(pos)", "LATERAL VIEW explode(sequence(0, 4)) k AS pos")
-    return discovery.rank_candidates(v.spark.sql(rows, src=sources))
+    answers = feeds.sniff_payloads(corpus(v)).join(web_addresses(v), "payload_id")
+    return discovery.rank_candidates(discovery.discover(requests(v), answers))
+
+
+def sites(v):
+    """Every requested address as a source."""
+    return v.pages.select((F.col("page_id") * 2 + 1).alias("id"), F.col("url").alias("source_url")).union(
+        v.docs.select((F.col("doc_id") * 2).alias("id"), F.expr(_SITE_URL).alias("source_url"))
+    )
 
 
 @query(
     "rank_candidates",
-    f"WITH {RANKED} SELECT requested_url, url, type, score, CAST(rank AS INT) AS rank FROM ranked",
+    f"WITH {RANKED} SELECT requested_url, url, type, strategy, score, CAST(rank AS INT) AS rank FROM ranked",
 )
 def rank_candidates(v):
-    return ranked(v).select("requested_url", "url", "type", "score", "rank")
+    return ranked(v).select("requested_url", "url", "type", "strategy", "score", "rank")
 
 
 @query(
@@ -145,27 +198,29 @@ def rank_candidates(v):
     f"""WITH {RANKED}, p AS (SELECT * FROM ranked WHERE rank = 1), f AS (SELECT r.requested_url, list(r.type || ' ' || r.url ORDER BY r.rank) AS fb
             FROM ranked r JOIN p ON p.requested_url = r.requested_url WHERE r.url <> p.url OR r.type <> p.type GROUP BY 1)
         SELECT s.id AS source_id, p.type AS source_type, 'discovered' AS status, p.url AS canonical_url, sha256(lower(p.url)) AS canonical_url_hash,
-            coalesce(f.fb, []) AS fallback_candidates FROM v_sources s JOIN p ON p.requested_url = s.source_url LEFT JOIN f ON f.requested_url = s.source_url""",
+            coalesce(f.fb, []) AS fallback_candidates FROM req s JOIN p ON p.requested_url = s.url LEFT JOIN f ON f.requested_url = s.url""",
 )
 def apply_discovery(v):
-    return discovery.apply_discovery(v.sources.select("id", "source_url"), ranked(v))
+    return discovery.apply_discovery(sites(v), ranked(v))
 
 
 @query(
     "ingestion_probe",
-    f"""WITH {RAW}, {RANKED}, n AS (SELECT 'https://feed.example.org/p/' || payload_id AS url, count(*) AS n FROM items GROUP BY payload_id),
+    f"""WITH {re.sub(chr(92) + 'braw' + chr(92) + 'b', 'feed_lines', RAW)}, {RANKED},
+        k AS (SELECT payload_id, count(*) AS n FROM items GROUP BY payload_id), n AS (SELECT url, max_by(n, payload_id) AS n FROM addr JOIN k USING (payload_id) GROUP BY url),
         c AS (SELECT r.*, coalesce(n.n, 0) AS n_items FROM ranked r LEFT JOIN n ON n.url = r.url), p AS (SELECT * FROM c WHERE rank = 1),
         f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY requested_url ORDER BY rank) AS rn FROM c
             WHERE rank > 1 AND n_items > 0 AND type IN ('rss', 'atom', 'json_feed')) x WHERE rn = 1)
-        SELECT s.source_url AS requested_url, p.type AS primary_type, p.url AS primary_url, p.strategy AS primary_strategy, p.n_items AS primary_count,
+        SELECT s.url AS requested_url, p.type AS primary_type, p.url AS primary_url, p.strategy AS primary_strategy, p.n_items AS primary_count,
             coalesce(p.n_items = 0 AND f.url IS NOT NULL AND f.url <> p.url, false) AS fallback_used, CASE WHEN p.n_items = 0 THEN f.type END AS fallback_type,
             CASE WHEN p.n_items = 0 THEN f.url END AS fallback_url, CASE WHEN p.n_items = 0 THEN f.n_items END AS fallback_count,
             CASE WHEN p.url IS NULL THEN 'no_candidate' END AS error
-        FROM v_sources s LEFT JOIN p ON p.requested_url = s.source_url LEFT JOIN f ON f.requested_url = s.source_url""",
+        FROM req s LEFT JOIN p ON p.requested_url = s.url LEFT JOIN f ON f.requested_url = s.url""",
 )
 def ingestion_probe(v):
-    counts = feeds.parsed(corpus(v)).select(F.col("final_url").alias("url"), F.size("items").cast("bigint").alias("n_items"))
-    return discovery.ingestion_probe(v.sources.select(F.col("source_url").alias("requested_url")), ranked(v), counts)
+    counts = feeds.parsed(corpus(v)).select("payload_id", F.size("items").cast("bigint").alias("n"))
+    per_url = counts.where("n > 0").join(web_addresses(v), "payload_id").groupBy("url").agg(F.max_by("n", "payload_id").alias("n_items"))
+    return discovery.ingestion_probe(sites(v).select(F.col("source_url").alias("requested_url")), ranked(v), per_url)
 
 
 @query(
