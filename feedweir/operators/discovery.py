@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
-from feedweir.functions.core import col, contains_any
+from feedweir.functions.core import col, contains_any, let
 from feedweir.functions.urls import absolute_url, canonical_url, host_in_domain, url_hash, url_host, url_origin
 from feedweir.operators import feeds, listings, pages
 from feedweir.session import stage
@@ -105,18 +105,20 @@ def discover(responses: DataFrame, answers: DataFrame) -> DataFrame:
     """
     content_type = F.col("content_type") if "content_type" in responses.columns else None
     known = stage(latest_answers(answers), "answers")
-    kind = feeds.payload_kind("body", content_type)
     markup = F.left("body", F.lit(2048)).rlike("(?i)<(?:html|head|body)")
     markup = markup if content_type is None else markup | F.contains(F.lower(content_type), F.lit("text/html"))
     html = responses.where(markup).select(F.col("id").alias("page_id"), "url", F.col("body").alias("html"))
     linked = html_candidates(stage(shred_pages(html), "nodes"), known)
 
-    own = _candidate(0, F.lit(0), F.col("url"), F.col("_kind"), feeds.kind_confidence(F.col("_kind")), "content_inspection")
-    sites = responses.withColumn("_kind", kind).select(
+    none = F.array().cast(f"array<{CANDIDATE}>")
+
+    def own(kind: Column) -> Column:
+        return _candidate(0, F.lit(0), F.col("url"), kind, feeds.kind_confidence(kind), "content_inspection")
+
+    sites = responses.select(
         F.col("id").alias("page_id"), F.col("url").alias("requested_url"), F.coalesce(url_origin("url"), "url").alias("origin"),
-        F.when(F.col("_kind").isNotNull(), F.array(own)).otherwise(F.array().cast(f"array<{CANDIDATE}>")).alias("own"),
+        let(feeds.payload_kind("body", content_type), lambda kind: F.when(kind.isNotNull(), F.array(own(kind))).otherwise(none)).alias("own"),
     )
-    none = F.array().cast(f"array<{CANDIDATE}>")
     guess = url_type("requested_url")
     guessed = _candidate(
         5, F.lit(0), F.col("requested_url"), guess, F.when(guess == "unknown", 0.35).otherwise(0.6),
@@ -127,11 +129,13 @@ def discover(responses: DataFrame, answers: DataFrame) -> DataFrame:
         .withColumn("found", F.concat("own", F.coalesce("linked", none)))
         .join(probe_answers(responses, known), "origin", "left")
     )
-    has_feed = F.exists("found", lambda c: c["type"].isin(S.FEED_TYPES))
-    probed = joined.withColumn("found", F.when(has_feed, F.col("found")).otherwise(F.concat("found", F.coalesce("probed", none))))
-    rows = probed.select(
-        "requested_url", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.array(guessed))).alias("pos", "c")
-    )
+
+    def settled(found: Column) -> Column:
+        has_feed = F.exists(found, lambda c: c["type"].isin(S.FEED_TYPES))
+        with_probed = let(F.when(has_feed, found).otherwise(F.concat(found, F.coalesce("probed", none))), lambda x: F.when(F.size(x) > 0, x))
+        return F.coalesce(with_probed, F.array(guessed))
+
+    rows = joined.select("requested_url", F.posexplode(let(F.col("found"), settled)).alias("pos", "c"))
     return rows.select("requested_url", "pos", *[f"c.{x}" for x in ("url", "type", "confidence", "strategy", "has_schema", "title")])
 
 

@@ -101,7 +101,7 @@ def card_rows(shredded: DataFrame) -> DataFrame:
 
 
 def blocked_copy(value: Column) -> Column:
-    return contains_any(F.lower(F.trim(value)), S.LISTING_COPY_BLOCKED)
+    return let(F.lower(F.trim(value)), lambda t: contains_any(t, S.LISTING_COPY_BLOCKED))
 
 
 def card_fields(shredded: DataFrame, cards: DataFrame | None = None) -> DataFrame:
@@ -162,7 +162,7 @@ def pattern_validation(cards: DataFrame, patterns: DataFrame) -> DataFrame:
         .otherwise(F.col("tag").isin("div", "section") & loose)
     )
     valid = (
-        likely_listing_title(clean_text("rule_title"))
+        let(clean_text("rule_title"), likely_listing_title)
         & likely_href("rule_href", "url")
         & ~((F.col("rule_summary") != "") & blocked_copy(clean_text("rule_summary")))
         & ((F.col("rule_summary") != "") | (F.col("rule_date") != ""))
@@ -179,9 +179,9 @@ def pattern_validation(cards: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def detect_listing_patterns(shredded: DataFrame) -> DataFrame:
-    """Accepted pattern per page. Cards are read from the nodes once and written; patterns and their validation read them."""
+    """Accepted pattern per page. Cards are read from the nodes once and written, and so are the patterns, one row per page."""
     cards = stage(card_rows(shredded), "cards")
-    patterns = detect_patterns(card_fields(shredded, cards))
+    patterns = stage(detect_patterns(card_fields(shredded, cards)), "patterns")
     checked = pattern_validation(cards, patterns)
     return patterns.join(checked.where("accepted"), "page_id").select(
         "page_id", "signature", "items", "valid_items", "score", F.round(F.round("confidence", 9), 2).alias("confidence")
