@@ -130,7 +130,7 @@ def failed_jobs_by_source(failed_jobs: DataFrame, limit: int | None = None) -> D
 DIAGNOSES = {
     "source_cold": ("ok", "Source is in cold state and is excluded from frequent polling.", None),
     "source_inactive": ("warn", "Source has no active bindings/subscriptions; regular polling is paused.", None),
-    "failed_job": ("error", None, None),
+    "failed_job": ("error", None, "Open failed jobs/Horizon for stack trace."),
     "parse_attempt_failed": ("error", None, "Retry source and inspect parse attempts."),
     "parse_attempt_skipped": ("warn", None, "Check source payload/cache availability and retry."),
     "no_queue_workers": ("error", "No active workers. Queued jobs are not being processed.", "Start queue workers and retry source."),
@@ -159,15 +159,23 @@ def source_diagnostics(
     sources: DataFrame, subscriptions: DataFrame, articles: DataFrame, fetches: DataFrame, attempts: DataFrame,
     failed_jobs: DataFrame, has_workers: bool = True,
 ) -> DataFrame:
-    """First matching diagnosis per source over its latest fetch, attempt and failed job."""
+    """First matching diagnosis per source over its latest fetch, attempt and failed job.
+
+    Optional columns: ``fetch_status_code`` of a source (what its last fetch stage noted; goes before the fetch log) and
+    ``snapshot_reference`` of an attempt. A source without a usage state counts as active while it has active subscriptions.
+    """
+    if "fetch_status_code" not in sources.columns:
+        sources = sources.withColumn("fetch_status_code", F.lit(None).cast("int"))
+    if "snapshot_reference" not in attempts.columns:
+        attempts = attempts.withColumn("snapshot_reference", F.lit(None).cast("string"))
     j = with_active_counts(sources, subscriptions).join(article_counts(articles), "id", "left")
     j = j.join(
         latest(fetches, "source_id", ["fetched_at", "id"], "http_status").withColumnsRenamed({"source_id": "id", "http_status": "_http"}),
         "id", "left",
     )
     j = j.join(
-        latest(attempts, "source_id", ["started_at", "id"], "status", "error_type", "error_message").withColumnsRenamed(
-            {"source_id": "id", "status": "_attempt", "error_type": "_error_type", "error_message": "_error"}
+        latest(attempts, "source_id", ["started_at", "id"], "status", "error_type", "error_message", "snapshot_reference").withColumnsRenamed(
+            {"source_id": "id", "status": "_attempt", "error_type": "_error_type", "error_message": "_error", "snapshot_reference": "_snapshot"}
         ),
         "id", "left",
     )
@@ -179,9 +187,11 @@ def source_diagnostics(
         "id", "left",
     )
     c = F.col
-    idle = (c("usage_state") != "active") & (c("active_subscriptions") == 0)
+    by_use = F.when(c("active_subscriptions") > 0, "active").otherwise("inactive")
+    usage = F.coalesce(blank_to_null("usage_state"), by_use)
+    idle = (usage != "active") & (c("active_subscriptions") == 0)
     rules = [
-        ("source_cold", idle & (c("usage_state") == "cold")),
+        ("source_cold", idle & (usage == "cold")),
         ("source_inactive", idle),
         ("failed_job", c("_job").isNotNull()),
         ("parse_attempt_failed", c("_attempt") == "failed"),
@@ -211,17 +221,17 @@ def source_diagnostics(
 
     error = blank_to_null(F.trim("_error"))
     reason = (
-        F.when(c("code") == "failed_job", F.concat(F.lit("Last failed job: "), c("_job"), F.lit(" at "), iso_date(c("_job_at")), F.lit(".")))
+        F.when(c("code") == "failed_job", F.concat(F.lit("Last failed job: "), c("_job"), F.lit(" at "), F.coalesce(iso_date(c("_job_at")), F.lit("n/a")), F.lit(".")))
         .when(
             c("code") == "parse_attempt_failed",
-            F.coalesce(error, F.concat(F.lit("Latest parse attempt failed ("), F.coalesce("_error_type", F.lit("pipeline_error")), F.lit(").")))
+            F.coalesce(error, F.concat(F.lit("Latest parse attempt failed ("), F.coalesce(F.trim("_error_type"), F.lit("pipeline_error")), F.lit(").")))
         )
         .when(c("code") == "parse_attempt_skipped", F.coalesce(blank_to_null("_error"), F.lit("Latest parse attempt was skipped.")))
         .when(c("code") == "discovery_failed", F.coalesce("discovery_warning", fixed(1)))
-        .when(c("code") == "fetch_failed", F.concat(F.lit("Fetch failed with HTTP "), _text(c("_http")), F.lit(".")))
+        .when(c("code") == "fetch_failed", F.concat(F.lit("Fetch failed with HTTP "), _text(F.coalesce("fetch_status_code", "_http")), F.lit(".")))
         .when(
             c("code") == "source_blocked",
-            F.concat(F.lit("Source appears blocked (health "), c("health_state"), F.lit(", score "), c("health_score").cast("string"), F.lit(").")),
+            F.concat(F.lit("Source appears blocked (health "), c("health_state"), F.lit(", score "), F.coalesce("health_score", F.lit(0)).cast("string"), F.lit(").")),
         )
         .when(c("code") == "pipeline_failed", F.coalesce(blank_to_null("stage_error"), fixed(1)))
         .when(
@@ -238,7 +248,8 @@ def source_diagnostics(
                 F.concat(F.lit("Next check at "), iso_date(c("next_check_at")), F.lit(". Source refreshes immediately on demand.")),
             ).otherwise(F.lit("Source refreshes on demand or when an active binding is created.")),
         )
-        .when(c("code") == "failed_job", c("_job_error"))
+        .when(c("code") == "failed_job", F.coalesce("_job_error", fixed(2)))
+        .when((c("code") == "parse_attempt_failed") & c("_snapshot").isNotNull(), F.concat(F.lit("Latest snapshot: "), c("_snapshot"), F.lit(".")))
         .otherwise(fixed(2))
     )
     return j.select(F.col("id").alias("source_id"), fixed(0).alias("severity"), "code", reason.alias("reason"), hint.alias("hint"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from feedweir.operators import reports as R
 from feedweir.plans.oracle_parts import iso
 from feedweir.plans.registry import query
@@ -94,10 +96,11 @@ def _case(i):
 
 @query(
     "source_diagnostics",
-    f"""WITH {LATEST}, {JOBS}, b AS (SELECT s.*, (SELECT count(*) FROM v_subscriptions x WHERE x.source_id = s.id AND x.is_active) AS n,
+    f"""WITH {LATEST}, {JOBS}, b0 AS (SELECT s.*, CASE WHEN s.id % 5 = 3 THEN 451 END AS noted, CASE WHEN la.id % 2 = 0 THEN 'snapshots/' || la.id || '.html' END AS snapshot, (SELECT count(*) FROM v_subscriptions x WHERE x.source_id = s.id AND x.is_active) AS n,
             (SELECT count(*) FROM v_articles a WHERE a.source_id = s.id) AS n_articles, lf.http_status AS http, la.status AS attempt, la.error_type AS et,
             la.error_message AS em, jobs.display_name AS job, jobs.failed_at AS job_at, jobs.exception_head AS job_error
             FROM v_sources s LEFT JOIN lf ON lf.source_id = s.id LEFT JOIN la ON la.source_id = s.id LEFT JOIN jobs ON jobs.source_id = s.id),
+        b AS (SELECT * EXCLUDE usage_state, coalesce(CASE WHEN id % 7 <> 3 THEN usage_state END, CASE WHEN n > 0 THEN 'active' ELSE 'inactive' END) AS usage_state FROM b0),
         d AS (SELECT *, CASE WHEN usage_state <> 'active' AND n = 0 THEN CASE WHEN usage_state = 'cold' THEN 'source_cold' ELSE 'source_inactive' END
             WHEN job IS NOT NULL THEN 'failed_job' WHEN attempt = 'failed' THEN 'parse_attempt_failed' WHEN attempt = 'skipped' THEN 'parse_attempt_skipped'
             WHEN status = 'pending' AND last_fetched_at IS NULL THEN 'pending_never_fetched' WHEN status = 'discovery_failed' THEN 'discovery_failed'
@@ -108,17 +111,23 @@ def _case(i):
         SELECT id AS source_id, {_case(0)} AS severity, code, CASE code WHEN 'failed_job' THEN 'Last failed job: ' || job || ' at ' || {iso('job_at')} || '.'
             WHEN 'parse_attempt_failed' THEN coalesce(nullif(trim(em), ''), 'Latest parse attempt failed (' || coalesce(et, 'pipeline_error') || ').')
             WHEN 'parse_attempt_skipped' THEN coalesce(nullif(em, ''), 'Latest parse attempt was skipped.')
-            WHEN 'discovery_failed' THEN coalesce(discovery_warning, {_case(1)}) WHEN 'fetch_failed' THEN 'Fetch failed with HTTP ' || coalesce(CAST(http AS VARCHAR), 'n/a') || '.'
+            WHEN 'discovery_failed' THEN coalesce(discovery_warning, {_case(1)}) WHEN 'fetch_failed' THEN 'Fetch failed with HTTP ' || coalesce(CAST(noted AS VARCHAR), CAST(http AS VARCHAR), 'n/a') || '.'
             WHEN 'source_blocked' THEN 'Source appears blocked (health ' || health_state || ', score ' || health_score || ').'
             WHEN 'pipeline_failed' THEN coalesce(stage_error, {_case(1)})
             WHEN 'new_articles_detected' THEN 'Ingestion healthy. New articles detected: ' || new_articles || '.' ELSE {_case(1)} END AS reason,
             CASE WHEN code IN ('source_cold', 'source_inactive') THEN CASE WHEN next_check_at IS NOT NULL
                 THEN 'Next check at ' || {iso('next_check_at')} || '. Source refreshes immediately on demand.'
-                ELSE 'Source refreshes on demand or when an active binding is created.' END WHEN code = 'failed_job' THEN job_error ELSE {_case(2)} END AS hint
+                ELSE 'Source refreshes on demand or when an active binding is created.' END WHEN code = 'failed_job' THEN job_error
+                WHEN code = 'parse_attempt_failed' AND snapshot IS NOT NULL THEN 'Latest snapshot: ' || snapshot || '.' ELSE {_case(2)} END AS hint
         FROM d""",
 )
 def source_diagnostics(v):
-    return R.source_diagnostics(v.sources, v.subscriptions, v.articles, v.fetches, v.attempts, R.failed_jobs_by_source(v.failed_jobs))
+    sources = v.sources.withColumn("usage_state", F.when(F.col("id") % 7 == 3, "").otherwise(F.col("usage_state"))).withColumn(
+        "fetch_status_code", F.when(F.col("id") % 5 == 3, F.lit(451))
+    )
+    number = F.col("id").cast("string")
+    attempts = v.attempts.withColumn("snapshot_reference", F.when(F.col("id") % 2 == 0, F.concat(F.lit("snapshots/"), number, F.lit(".html"))))
+    return R.source_diagnostics(sources, v.subscriptions, v.articles, v.fetches, attempts, R.failed_jobs_by_source(v.failed_jobs))
 
 
 @query(
