@@ -85,7 +85,7 @@ def html_candidates(shredded: DataFrame, answers: DataFrame) -> DataFrame:
             1, F.lit(0), F.col("site"), F.lit("html"), F.greatest(F.lit(0.62), F.least(F.lit(0.99), "confidence")), "html_pattern_detector", True
         ).alias("c"),
     )
-    announced = pages.feed_autodiscovery(shredded).select(
+    announced = pages.announced_feeds(shredded).select(
         "page_id", _candidate(2, F.col("pos"), F.col("url"), F.col("type"), F.col("confidence"), "html_autodiscovery", title=F.col("title")).alias("c")
     )
     labelled = pages.feed_action_links(shredded, answers).select(

@@ -42,7 +42,12 @@ def link_candidates(shredded: DataFrame, limit: int = S.LINK_CANDIDATES_MAX) ->
 
 
 def feed_autodiscovery(shredded: DataFrame) -> DataFrame:
-    """``<link rel=alternate>`` entries that announce a feed, in page order (``pos``)."""
+    """``<link rel=alternate>`` entries that announce a feed."""
+    return announced_feeds(shredded).drop("pos")
+
+
+def announced_feeds(shredded: DataFrame) -> DataFrame:
+    """:func:`feed_autodiscovery` with the place ``pos`` of each entry in its page."""
     links = """filter(nodes, n -> n.tag = 'link' AND contains(lower(n.attrs['rel']), 'alternate') AND trim(n.attrs['href']) <> '')"""
     rows = shredded.select("page_id", F.col("url").alias("base"), F.posexplode_outer(F.expr(links)).alias("pos", "l")).where("l IS NOT NULL")
     kind = F.lit(None).cast("string")
