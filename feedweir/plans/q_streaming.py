@@ -11,20 +11,15 @@ from feedweir.plans.q_crawl import BY_SCORE, LOG
 from feedweir.plans.q_feeds import RAW
 from feedweir.plans.registry import query
 from feedweir.plans.views import now_column
-from feedweir.sources.tables import SAMPLE_TABLES
 from feedweir.streaming import jobs
 
 
-def table_stream(v, name):
-    return jobs.read_stream(v.spark, v.dir, f"{name}.parquet", SAMPLE_TABLES[name])
-
-
 @query(
     "stream_ingest",
     f"WITH {RAW} SELECT url AS canonical_url, {limit('title', 240)} AS title FROM items",
 )
 def stream_ingest(v):
-    return jobs.ingest(payloads(table_stream(v, "documents"))).select("canonical_url", "title")
+    return jobs.ingest(payloads(v.table_stream("documents"))).select("canonical_url", "title")
 
 
 @query("stream_dedupe", f"WITH {NORMAL} SELECT DISTINCT canonical_url_hash FROM normalized")
@@ -75,7 +70,7 @@ def stream_status_changes(v):
 
 @query("stream_delivery_once", "SELECT DISTINCT l_orderkey AS article_id, l_suppkey AS subscription_id, 'telegram' AS channel FROM lineitem")
 def stream_delivery_once(v):
-    wanted = table_stream(v, "lineitem").select(
+    wanted = v.table_stream("lineitem").select(
         F.col("l_orderkey").alias("article_id"), F.col("l_suppkey").alias("subscription_id"), F.lit("telegram").alias("channel"),
     )
     return jobs.deliver_once(wanted)

@@ -187,3 +187,17 @@ def test_a_job_continues_where_it_stopped(spark, tmp_path):
     spark.createDataFrame([(f"{i % 9}", i) for i in range(12)], schema).write.mode("append").parquet(folder)
     found = [r[0] for r in jobs.dedupe_articles(read(), base).collect()]
     assert sorted(found) == [str(i) for i in range(9)]
+
+
+def test_a_table_may_be_one_file_or_a_folder_of_files(spark, tmp_path):
+    from feedweir.plans import bound
+
+    docs = spark.createDataFrame([(i, f"Story {i} " + "x" * i, "en", "s") for i in range(1, 41)], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "file").mkdir()
+    docs.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.toPandas().to_parquet(tmp_path / "file" / "documents.parquet")
+    for name in ("stream_dedupe", "stream_ingest"):
+        folder, file = (sorted(tuple(r) for r in bound(name)(spark, str(tmp_path / kind)).collect()) for kind in ("folder", "file"))
+        assert folder == file and len(folder) > 10
