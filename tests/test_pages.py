@@ -99,3 +99,24 @@ def test_body_time_is_linear(spark):
 
     seconds(50)
     assert seconds(4000) < 4 * seconds(1000) + 4
+
+
+def test_page_sql_decodes_references_cut_before_the_semicolon(spark, tmp_path):
+    from oracle_harness import compare
+
+    import duckdb
+
+    from feedweir.plans import bound, oracles
+
+    text = "Bread &amp; butter &amp"
+    html = f"""<!DOCTYPE html><html><head><title>{text}</title></head><body><article><h1>{text}</h1><p>{'Long lines of a story. ' * 12} &copy</p></article></body></html>"""
+    style = "</title><style>p{margin:0}</style>"
+    named = html.replace(text, "Bread and butter | my site", 1), html.replace(text, "Azure updates | of today", 1)
+    pages = [("https://example.org/a", html), ("https://example.org/b", html.replace("&amp<", "&am<").replace("</title>", style))]
+    pages += [("https://www.my-site.org/c", named[0]), ("https://my-site.org/d", named[1]), ("https://example.org/e", html.replace(text, "Trade -  Example.org", 1))]
+    frame(spark, *pages).toPandas().to_parquet(tmp_path / "pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    for name in ("page_nodes", "page_titles", "article_bodies"):
+        _, error = compare(duck, spark, str(tmp_path), bound(name), oracles()[name])
+        assert error is None, error
