@@ -83,8 +83,8 @@ def markdown_image(value: Column | str) -> Column:
 MIN_CHARS, MIN_SCORE, MIN_MARGIN, PROFILE = 60, 0.04, 0.03, 300
 #: Languages that profiles may tell apart; bounds the table that every task holds.
 MAX_LANGUAGES = 500
-#: Texts whose trigrams are looked at together.
-TEXTS = 64
+#: Letters of texts whose trigrams are looked at together, and distinct trigrams of a language that are kept before they are merged.
+LETTERS, HELD = 1 << 19, 1 << 18
 
 
 def _letters(text: Column) -> Column:
@@ -92,27 +92,46 @@ def _letters(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
+def _runs(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``LETTERS`` letters, or of one longer text."""
+    ends, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + LETTERS, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _trigrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, text, trigram) of runs of texts; a trigram is a number in the order of its letters."""
-    for lo in range(0, len(texts), TEXTS):
-        part = texts.slice(lo, TEXTS).fill_null("")
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in _runs(sizes):
+        part = texts.slice(lo, hi - lo).fill_null("")
         letters = np.frombuffer("".join(part.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
-        size = pc.utf8_length(part).to_numpy().astype(np.int64)
+        size = sizes[lo:hi]
         text = np.repeat(np.arange(len(size)), size)
         inside = np.flatnonzero(text[2:] == text[:-2]) if len(text) > 2 else np.zeros(0, np.int64)
-        yield lo, lo + len(part), text[inside], (letters[inside] << 42) | (letters[inside + 1] << 21) | letters[inside + 2]
+        yield lo, hi, text[inside], (letters[inside] << 42) | (letters[inside + 1] << 21) | letters[inside + 2]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    gram, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return gram, np.bincount(place, np.concatenate([n for _, n in parts]), len(gram)).astype(np.int64)
 
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts per batch, language and trigram; a task holds distinct trigrams, not those of all its texts."""
     for batch in batches:
         coded = batch.column("lang").dictionary_encode()
         lang = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
-        found: dict[int, list[np.ndarray]] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for lo, hi, text, gram in _trigrams(batch.column("letters")):
             for code in np.unique(lang[lo:hi]):
-                found.setdefault(int(code), []).append(gram[lang[lo:hi][text] == code])
-        for code, grams in found.items():
-            gram, n = np.unique(np.concatenate(grams), return_counts=True)
+                parts = found.setdefault(int(code), [])
+                parts.append(np.unique(gram[lang[lo:hi][text] == code], return_counts=True))
+                if sum(len(g) for g, _ in parts[1:]) > HELD:
+                    parts[:] = [_merged(parts)]
+        for code, parts in found.items():
+            gram, n = _merged(parts)
             name = coded.dictionary[code].as_py() if code < len(coded.dictionary) else None
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
 
@@ -134,14 +153,14 @@ def language_code(code: Column) -> Column:
     return F.when(F.startswith(low, F.lit("zh")), "zh").otherwise(F.substring_index(low, "-", 1))
 
 
-def _scores(known: np.ndarray, weights: np.ndarray):
+def _scores(known: np.ndarray, points: np.ndarray, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, text, gram in _trigrams(batch.column("letters")):
                 place = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
                 hit = known[place] == gram if len(known) else np.zeros(len(gram), bool)
-                sums = np.stack([np.bincount(text[hit], w[place[hit]], hi - lo) for w in weights], axis=1) if len(weights) else np.zeros((hi - lo, 0))
-                mean = sums / np.maximum(np.bincount(text, minlength=hi - lo), 1)[:, None]
+                sums = np.stack([np.bincount(text[hit], w[place[hit]], hi - lo) for w in points], axis=1) if len(points) else np.zeros((hi - lo, 0))
+                mean = sums / (size * np.maximum(np.bincount(text, minlength=hi - lo), 1))[:, None]
                 ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * mean.shape[1])
                 rest = [batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c != "letters"]
                 names = [c for c in batch.schema.names if c != "letters"]
@@ -150,25 +169,26 @@ def _scores(known: np.ndarray, weights: np.ndarray):
     return run
 
 
-def verify_language(docs: DataFrame, profiles: DataFrame, target: Column, key: str = "doc_id") -> DataFrame:
+def verify_language(docs: DataFrame, profiles: DataFrame, target: Column, key: str = "doc_id", size: int = PROFILE) -> DataFrame:
     """Is each document in its target language? true, false, or null when unclear.
 
-    A score is the mean profile weight over the document's trigrams. The profiles (at most ``PROFILE`` rows for each of at most
+    A score is the mean profile weight over the document's trigrams: weights are whole points of 1/``size``, summed as such, so the order of
+    the sum changes nothing. The profiles (at most ``size`` rows for each of at most
     ``MAX_LANGUAGES`` languages) go to the tasks as one sorted array, so a text is scored where it lies and nothing is shuffled.
     """
-    table = profiles.where("lang IS NOT NULL").select("lang", "gram", "weight").limit(PROFILE * MAX_LANGUAGES + 1).toPandas()
-    if len(table) > PROFILE * MAX_LANGUAGES:
+    table = profiles.where("lang IS NOT NULL").select("lang", "gram", "weight").limit(size * MAX_LANGUAGES + 1).toPandas()
+    if len(table) > size * MAX_LANGUAGES:
         raise ValueError(f"profiles of more than {MAX_LANGUAGES} languages")
     langs = sorted(table["lang"].unique())
     known, place = np.unique(table["gram"].to_numpy(np.int64), return_inverse=True)
-    weights = np.zeros((len(langs), len(known)))
-    weights[np.searchsorted(langs, table["lang"]) if len(langs) else [], place] = table["weight"].to_numpy(float)
+    points = np.zeros((len(langs), len(known)))
+    points[np.searchsorted(langs, table["lang"]) if len(langs) else [], place] = np.rint(table["weight"].to_numpy(float) * size)
 
     plain = trim_ascii(strip_tags("text"))
     letters = F.when(F.length("plain") >= MIN_CHARS, _letters(F.col("plain")))
     rows = docs.select(key, target.cast("string").alias("target"), plain.alias("plain")).select(key, "target", letters.alias("letters"))
     kind = rows.schema[key].dataType.simpleString()
-    scored = rows.mapInArrow(_scores(known, weights), f"`{key}` {kind}, target string, mean array<double>")
+    scored = rows.mapInArrow(_scores(known, points, size), f"`{key}` {kind}, target string, mean array<double>")
     named = F.zip_with("mean", F.array(*[F.lit(x) for x in langs]).cast("array<string>"), lambda m, x: F.struct(F.round(m, 6).alias("score"), x.alias("lang"), m.alias("mean")))
     ranked = F.reverse(F.array_sort(F.filter(named, lambda s: s["mean"] > 0)))
     joined = scored.select(key, "target", ranked.alias("r"))
