@@ -8,8 +8,8 @@ every link is verified on the exact weighted sets.
 
 Hot groups: word-for-word copies are one class from the start and only the first of them takes part. In a bucket all members are
 first compared with its smallest member, which settles a tight group of n copies with n comparisons. Where that leaves a bucket
-in several classes, its members are dealt into chunks of at most ``BLOCK`` documents, large classes into chunks of their own,
-and chunks that share a bucket are compared as matrices, once however many buckets they share and never where both
+in several classes, its members are dealt into chunks of about ``BLOCK`` documents, together with the small buckets around them and
+large classes into chunks of their own, and chunks that share a bucket are compared as matrices, once however many buckets they share and never where both
 hold one and the same class. So no link of two members of a bucket is lost, and no pair is ever a row.
 
 Edge cases: null and empty texts are copies of each other; texts of fewer than ``gram`` words are one element; a null id
@@ -192,25 +192,46 @@ def _torn(held: DataFrame, roots: DataFrame) -> DataFrame:
     return label.join(torn, "bucket")
 
 
-def _chunks(torn: DataFrame, block: int) -> DataFrame:
-    """(id, chunk, one): a chunk holds documents of one largest bucket; ``one`` names its class where it is all of one."""
-    home = torn.groupBy("id").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.min("label").alias("label"))
-    large = home.groupBy("home", "label").agg(F.count("*").alias("size")).where(F.col("size") >= block // 2)
-    sided = home.join(large, ["home", "label"], "left").select("id", "home", F.when(F.col("size").isNotNull(), F.col("label")).alias("one"))
+def _homes(torn: DataFrame) -> DataFrame:
+    """Rows of ``torn`` with their document's ``home``, its largest bucket."""
+    return torn.join(torn.groupBy("id").agg(F.max(F.struct("n", "bucket")).alias("home")), "id")
+
+
+def _chunks(homes: DataFrame, block: int) -> DataFrame:
+    """(id, chunk, one): a chunk holds documents of one neighbourhood of buckets; ``one`` names its class where it is all of one.
+
+    Homes go with the largest home that members of their documents' buckets have, so a large group and the many small homes around it
+    fill chunks together: chunks are as many as their documents need, not as many as there are homes.
+    """
+    best = homes.groupBy("bucket").agg(F.max("home").alias("best"))
+    root = homes.join(best, "bucket").groupBy("home").agg(F.max("best")["bucket"].alias("root"))
+    placed = homes.groupBy("id").agg(F.max("home").alias("home"), F.min("label").alias("label")).join(root, "home").select("id", "root", "label")
+    large = placed.groupBy("root", "label").agg(F.count("*").alias("size")).where(F.col("size") >= block // 2)
+    sided = placed.join(large, ["root", "label"], "left").select("id", "root", F.when(F.col("size").isNotNull(), F.col("label")).alias("one"))
     key = F.coalesce("one", F.lit(-1))
-    parts = sided.groupBy("home", key.alias("k")).agg(F.ceil(F.count("*") * 1.1 / block).alias("parts"))
-    dealt = sided.withColumn("k", key).join(parts, ["home", "k"])
-    return dealt.select("id", F.xxhash64("home", "k", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("chunk"), "one")
+    parts = sided.groupBy("root", key.alias("k")).agg(F.ceil(F.count("*") * 1.1 / block).alias("parts"))
+    dealt = sided.withColumn("k", key).join(parts, ["root", "k"])
+    return dealt.select("id", F.xxhash64("root", "k", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("chunk"), "one")
 
 
-def _blocks(torn: DataFrame, block: int) -> DataFrame:
+def _seen(torn: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(bucket, chunk, one): the chunks that have members in a bucket."""
+    return torn.select("bucket", "id").join(chunks, "id").select("bucket", "chunk", "one").distinct()
+
+
+def _blocks(seen: DataFrame) -> DataFrame:
     """Pairs of chunks that share a bucket and do not hold one and the same class."""
-    seen = torn.select("bucket", "id").join(_chunks(torn, block), "id").select("bucket", "chunk", "one").distinct()
     other = seen.select("bucket", F.col("chunk").alias("c2"), F.col("one").alias("two"))
     pairs = seen.join(other, "bucket").where("chunk <= c2 AND NOT coalesce(one = two, false)")
     return pairs.select(F.col("chunk").alias("c1"), "c2").distinct()
 
 
+def _sides(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(c1, c2, side, id): the documents of each block, once per block that their chunk is in."""
+    sides = blocks.select("c1", "c2", F.posexplode(F.array("c1", "c2")).alias("side", "chunk"))
+    return sides.where("side = 0 OR c1 <> c2").join(chunks, "chunk").select("c1", "c2", "side", "id")
+
+
 def _compare(least: float):
     """Links between the two sides of a block (or within its one side), as a spanning forest."""
 
@@ -327,10 +348,10 @@ def near_duplicates(
     torn = _torn(held, roots)
     torn = scratch.put(torn, "torn")
     if not torn.isEmpty():
-        blocks = scratch.put(_blocks(torn, block), "blocks")
-        sides = blocks.select("c1", "c2", F.posexplode(F.array("c1", "c2")).alias("side", "chunk"))
-        chunks = scratch.put(_chunks(torn, block), "chunks")
-        dealt = sides.where("side = 0 OR c1 <> c2").join(chunks, "chunk").join(sets, "id").select("c1", "c2", "side", "id", "grams", "counts")
+        chunks = scratch.put(_chunks(scratch.put(_homes(torn), "homes"), block), "chunks")
+        blocks = scratch.put(_blocks(scratch.put(_seen(torn, chunks), "seen")), "blocks")
+        scratch.drop("homes", "seen")
+        dealt = _sides(blocks, chunks).join(sets, "id").select("c1", "c2", "side", "id", "grams", "counts")
         more = scratch.put(dealt.groupBy("c1", "c2").applyInArrow(_compare(least), "a long, b long"), "links-blocks")
         roots = components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more), scratch, "classes-blocks")
 

@@ -70,6 +70,19 @@ def test_torn_buckets_are_compared_to_the_end(spark, block):
     assert sorted(map(tuple, got.select("doc_id", "class_id").collect()), key=repr) == classes(rows)
 
 
+def test_small_buckets_round_a_large_one_share_its_chunks(spark):
+    """Every pair of a bucket meets in a block, and a large group is not copied once for each small bucket that touches it."""
+    rows = [(0, i, i, 120) for i in range(120)]
+    rows += [(1 + i, doc, doc, 3) for i in range(120) for doc in (i, 1000 + i, 2000 + i)]
+    torn = spark.createDataFrame(rows, "bucket long, id long, label long, n long")
+    chunks = near._chunks(near._homes(torn), 512).cache()
+    sides = near._sides(near._blocks(near._seen(torn, chunks)), chunks).collect()
+    assert len(sides) <= 2 * 360
+    met = {(r.c1, r.c2) for r in sides}
+    chunk = {r.id: r.chunk for r in chunks.collect()}
+    assert all((min(chunk[a], chunk[b]), max(chunk[a], chunk[b])) in met for x, a, _, _ in rows for y, b, _, _ in rows if x == y and a < b)
+
+
 def test_one_document_of_each_class_stays(messy, rows):
     out = near.one_of_each(messy)
     assert out.schema == messy.schema
