@@ -28,6 +28,17 @@ def test_encoder_equals_the_tokenizer(rows):
         assert np.frombuffer(raw, encoder.kind).tolist() == plain.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+def test_simple_texts_are_looked_up_by_their_distinct_words():
+    encoder, plain = Encoder(BPE), Tokenizer.from_file(BPE)
+    texts = ["the cat, the end.\nthe the\nCat ends.", "x", "the\nx\nthe", "é, 中! don't"]
+    asked = []
+    encoder._words, words = lambda new: asked.extend(new) or words(new), encoder._words
+    for _ in range(2):
+        raw = encoder._by_words(texts)
+        assert [np.frombuffer(r, encoder.kind).tolist() for r in raw] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == len(set(asked)) and all(encoder._simple(t) for t in texts)
+
+
 def test_counts_equal_the_tokenizer(rows):
     pieces = viterbi.vocabulary(UNIGRAM)
     plain = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
