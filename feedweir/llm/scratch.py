@@ -10,11 +10,14 @@ from feedweir.session import shared_dir
 
 #: Rows handed to a Python worker at once; texts may be long, so a batch is kept small.
 BATCH_ROWS = 512
+#: Bytes handed over at once, or one row where it is longer: a row may be a whole shard of an index.
+BATCH_BYTES = 16 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Bound what one Arrow batch of texts holds and keep joins free to be split when keys are hot."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark

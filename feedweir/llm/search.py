@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +45,7 @@ QUERY_BYTES = 16 << 20
 FIRST_WAVE = 4
 
 _INDEX = "shard int, n_docs long, n_words long, ids binary, known binary, lengths binary, terms binary, starts binary, docs binary, tfs binary"
+_ARRAYS = ("ids", "known", "lengths", "terms", "starts", "docs", "tfs")
 _HITS = "query_id long, doc_id long, score double"
 
 
@@ -54,21 +54,24 @@ def _index(key: tuple, table: pa.Table) -> pa.Table:
     docs, terms, tfs, lengths, base = [], [], [], [], 0
     for lo, hi, ws in w.slices(table.column("text"), w.NON_WORD):
         d, t, n = w.unique_pairs(ws.doc(), ws.hashes())
-        docs.append(d + base)
+        docs.append((d + base).astype(np.int32))
         terms.append(t)
-        tfs.append(n)
+        tfs.append(n.astype(np.int32))
         lengths.append(ws.counts)
         base += hi - lo
     doc, term, tf, length = (np.concatenate(x) for x in (docs, terms, tfs, lengths))
+    del docs, terms, tfs
     top = np.zeros(base, np.uint64)
     by_count = np.argsort(tf, kind="stable")
     top[doc[by_count]] = term[by_count]
+    del by_count
     order = np.lexsort((length, top))  # new place -> row
-    place = np.empty(base, np.int64)
+    place = np.empty(base, np.int32)
     place[order] = np.arange(base)
     doc = place[doc]
     sort = np.lexsort((doc, term))
     doc, term, tf = doc[sort], term[sort], tf[sort]
+    del sort
     first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
     ids = table.column("doc_id").combine_chunks()
     known = ids.is_valid().to_numpy(zero_copy_only=False)[order]
@@ -80,7 +83,7 @@ def _index(key: tuple, table: pa.Table) -> pa.Table:
     shard = key[0].as_py()
     return pa.table(
         [[shard], [base], [int(length.sum())], *[[c.tobytes()] for c in cells]],
-        schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_words", pa.int64()), *[(c, pa.binary()) for c in ("ids", "known", "lengths", "terms", "starts", "docs", "tfs")]]),
+        schema=pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_words", pa.int64()), *[(c, pa.binary()) for c in _ARRAYS]]),
     )
 
 
@@ -137,7 +140,7 @@ class Shard:
         bound = bound * (1 + 1e-12) + 10.0**-DIGITS  # rounding never hides a document
 
         def exact(places: np.ndarray) -> np.ndarray:
-            return np.round(part[places] + (weight @ self.full[row][:, places] if len(row) else 0.0), DIGITS)
+            return np.round(part[places] + (weight @ self.full[np.ix_(row, places)] if len(row) else 0.0), DIGITS)
 
         able = np.flatnonzero(bound >= floor)
         first = able if len(able) <= 4 * k else able[np.argpartition(bound[able], -4 * k)[-4 * k :]]
@@ -157,8 +160,9 @@ def _search(block, mean_length: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = block.value
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, mean_length)
+            for i in range(batch.num_rows):
+                # one shard at a time, its arrays are views of the batch
+                shard = Shard({c: batch.column(c)[i].as_buffer() for c in _ARRAYS}, mean_length)
                 found: list[tuple] = []
                 for query, terms, weight, floor in queries:
                     places, score = shard.top(terms, weight, k, floor)
@@ -168,6 +172,7 @@ def _search(block, mean_length: float, k: int):
                     [pa.array(q.astype(np.int64)), pa.array(ids.astype(np.int64), mask=null.astype(bool)), pa.array(score.astype(float))],
                     names=["query_id", "doc_id", "score"],
                 )
+                del shard, found  # before the next shard's arrays are made
 
     return run
 

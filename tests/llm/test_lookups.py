@@ -7,7 +7,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from feedweir.llm import search, url_rules
 
@@ -98,3 +100,15 @@ def test_waves_cover_all_shards_once():
         ranges = search.waves(shards)
         assert [x for lo, hi in ranges for x in range(lo, hi)] == list(range(shards))
         assert len(ranges) <= max(1, shards.bit_length())
+
+
+def test_a_batch_of_large_rows_is_bounded(spark):
+    """Rows of an index are megabytes each; a worker holds few of them at once."""
+    from feedweir.llm import scratch
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = scratch.configure(spark).range(0, 16, 1, 1).select(F.expr("cast(repeat('x', 4000000) AS binary)").alias("b"))
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < 2 * scratch.BATCH_BYTES
