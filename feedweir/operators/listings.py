@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
-from feedweir.functions.core import contains_any, let
+from feedweir.functions.core import contains_any, let, let_sql
 from feedweir.functions.images import feed_image_or_null
 from feedweir.functions.links import likely_href
-from feedweir.functions.text import clean_summary, clean_text, likely_listing_title, likely_summary, likely_title, parse_date
-from feedweir.functions.urls import absolute_url, canonical_url, trim_ascii, url_hash, url_host, url_path
-from feedweir.operators.pages import WS, text_of
+from feedweir.functions.text import CLEAN, clean_summary, clean_text, likely_listing_title, likely_summary, likely_title, parse_date
+from feedweir.functions.urls import absolute_url, canonical_url, resolved_url, trim_ascii, url_hash, url_host, url_path
+from feedweir.operators.pages import WS, below, text_of
 from feedweir.session import stage
 
 HEADINGS = "('h1', 'h2', 'h3', 'h4')"
@@ -19,50 +19,59 @@ TITLED = "(y.tag = 'a' AND (contains(lower(y.attrs['class']), 'title') OR contai
 LINKED = "(y.tag = 'a' AND y.attrs['href'] IS NOT NULL)"
 IN_HEADING = "concat(substring(y.path, length(n.path) + length(n.tag) + 2), '/') RLIKE '/h[1-4]/'"
 DATED = "(y.tag = 'time' OR y.attrs['datetime'] IS NOT NULL OR y.attrs['data-datetime'] IS NOT NULL)"
-BLOCKED_IMAGE = " OR ".join(f"contains(lower(y.attrs['src']), '{w}')" for w in S.LISTING_IMAGE_BLOCKED)
+BLOCKED_IMAGE = " OR ".join(f"contains(s, '{w}')" for w in S.LISTING_IMAGE_BLOCKED)
+
+
+NOT_WS = WS.replace("[", "[^", 1)
 
 
 def _normal(x: str) -> str:
     return rf"regexp_replace(regexp_replace({x}, r'{WS}+', ' '), r'^ | $', '')"
 
 
-def _first(condition: str) -> str:
-    return f"try_element_at(filter(d, y -> coalesce({condition}, false)), 1)"
+def _first(condition: str, nodes: str = "d") -> str:
+    return f"try_element_at(filter({nodes}, y -> coalesce({condition}, false)), 1)"
 
 
 def _text(node: str) -> str:
     """Text content of the node expression, null without a node."""
-    return f"element_at(transform(array({node}), z -> CASE WHEN z IS NOT NULL THEN {text_of('z').replace('y ->', 'w ->').replace('y.', 'w.')} END), 1)"
+    return let_sql(node, "z", f"CASE WHEN z IS NOT NULL THEN {text_of('z')} END")
 
 
 def _first_non_blank(values: list[str]) -> str:
-    return f"coalesce(try_element_at(filter(array({', '.join(values)}), v -> v IS NOT NULL AND trim({_normal('v')}) <> ''), 1), '')"
+    return f"coalesce(try_element_at(filter(array({', '.join(values)}), v -> v RLIKE r'{NOT_WS}'), 1), '')"
 
 
+#: What a card is read from, picked out of its nodes ``d`` once: links and headings, dated elements, images, long paragraphs.
+_PARTS = f"""named_struct(
+    'heads', filter(d, y -> y.tag IN {HEADINGS} OR y.tag = 'a'),
+    'dated', filter(d, y -> coalesce({DATED}, false)),
+    'images', filter(d, y -> y.tag = 'img'),
+    'ps', filter(transform(filter(d, y -> y.tag = 'p'), y -> {text_of('y')}), t -> length({_normal('t')}) >= {S.LISTING_SUMMARY_MIN}))"""
 _TITLE_NODES = [TITLED, f"{LINKED} AND {IN_HEADING}", f"y.tag IN {HEADINGS}", LINKED]
 _HREF_NODES = [TITLED, f"{LINKED} AND {IN_HEADING}", LINKED]
-_P_TEXTS = f"transform(filter(d, y -> y.tag = 'p'), y -> {text_of('y').replace('y -> y.tag', 'w -> w.tag').replace('y -> y.text', 'w -> w.text')})"
-_LONG_PS = f"filter({_P_TEXTS}, t -> length({_normal('t')}) >= {S.LISTING_SUMMARY_MIN})"
-_PLAIN_PS = f"filter({_LONG_PS}, t -> NOT contains(lower(t), 'subscribe') AND NOT contains(lower(t), 'privacy'))"
-_DATE = f"""element_at(transform(array({_first(DATED)}), z -> CASE WHEN z.tag = 'time' THEN {text_of('z').replace('y ->', 'w ->').replace('y.', 'w.')}
-    ELSE coalesce(z.attrs['datetime'], z.attrs['data-datetime']) END), 1)"""
+_DATE = let_sql(
+    "try_element_at(k.dated, 1)", "z",
+    f"CASE WHEN z.tag = 'time' THEN {text_of('z')} ELSE coalesce(z.attrs['datetime'], z.attrs['data-datetime']) END",
+)
 CARD = f"""named_struct(
     'node_id', n.id, 'tag', n.tag, 'classes', coalesce(n.attrs['class'], ''),
     'in_main', contains(concat(n.path, '/'), '/main/'),
-    'title', {_first_non_blank([_text(_first(c)) for c in _TITLE_NODES])},
-    'href', {_first_non_blank([_first(c) + ".attrs['href']" for c in _HREF_NODES])},
-    'has_heading', exists(d, y -> y.tag IN {HEADINGS}),
-    'has_time', exists(d, y -> y.tag = 'time'),
-    'has_date', exists(d, y -> {DATED}),
-    'summary', coalesce(try_element_at({_LONG_PS}, 1), ''),
-    'has_image', exists(d, y -> y.tag = 'img' AND trim(y.attrs['src']) <> '' AND NOT ({BLOCKED_IMAGE})),
-    'rule_title', coalesce({_text(_first(f"{TITLED} OR ({LINKED} AND {IN_HEADING}) OR y.tag IN {HEADINGS}"))}, ''),
-    'rule_href', coalesce(trim({_first(LINKED)}.attrs['href']), ''),
-    'rule_summary', coalesce(try_element_at({_PLAIN_PS}, 1), ''),
+    'title', {let_sql(_first_non_blank([_text(_first(c, 'k.heads')) for c in _TITLE_NODES]), 't', CLEAN)},
+    'href', {_first_non_blank([_first(c, 'k.heads') + ".attrs['href']" for c in _HREF_NODES])},
+    'has_heading', exists(k.heads, y -> y.tag <> 'a'),
+    'has_time', exists(k.dated, y -> y.tag = 'time'),
+    'has_date', size(k.dated) > 0,
+    'summary', coalesce(try_element_at(k.ps, 1), ''),
+    'has_image', exists(k.images, y -> trim(y.attrs['src']) <> '' AND NOT {let_sql("lower(y.attrs['src'])", 's', BLOCKED_IMAGE)}),
+    'rule_title', coalesce({_text(_first(f"{TITLED} OR ({LINKED} AND {IN_HEADING}) OR y.tag <> 'a'", 'k.heads'))}, ''),
+    'rule_href', coalesce(trim({_first(LINKED, 'k.heads')}.attrs['href']), ''),
+    'rule_summary', coalesce(try_element_at(filter(k.ps, t -> NOT contains(lower(t), 'subscribe') AND NOT contains(lower(t), 'privacy')), 1), ''),
     'rule_date', coalesce(trim({_DATE}), ''))"""
-CARDS = f"""transform(filter(nodes, n -> (n.tag IN ({', '.join(f"'{t}'" for t in S.CARD_TAGS)}) OR n.attrs['class'] IS NOT NULL)
-    AND exists(slice(nodes, n.id + 1, n.end - n.id), y -> {LINKED})),
-    n -> element_at(transform(array(slice(nodes, n.id + 1, n.end - n.id)), d -> {CARD}), 1))"""
+#: Null for an element without a link.
+_CARD_OR_NULL = let_sql(below("n"), "d", f"CASE WHEN exists(d, y -> {LINKED}) THEN {let_sql(_PARTS, 'k', CARD)} END")
+CARDS = f"""transform(filter(nodes, n -> n.tag IN ({', '.join(f"'{t}'" for t in S.CARD_TAGS)}) OR n.attrs['class'] IS NOT NULL),
+    n -> {_CARD_OR_NULL})"""
 
 
 def preferred_class(classes: Column) -> Column:
@@ -92,10 +101,9 @@ def node_signatures(shredded: DataFrame) -> DataFrame:
 
 def card_rows(shredded: DataFrame) -> DataFrame:
     """One row per element that holds a link, with everything detection and validation need."""
-    rows = shredded.select("page_id", "url", F.explode_outer(F.expr(CARDS)).alias("c")).where("c IS NOT NULL").select(
-        "page_id", "url", "c.*"
-    )
-    return rows.withColumn("title", clean_text("title")).withColumn("class", preferred_class(F.col("classes"))).withColumn(
+    pages = shredded.select("page_id", canonical_url("url").alias("base"), "nodes")
+    rows = pages.select("page_id", "base", F.explode_outer(F.expr(CARDS)).alias("c")).where("c IS NOT NULL").select("page_id", "base", "c.*")
+    return rows.withColumn("class", preferred_class(F.col("classes"))).withColumn(
         "signature", signature(F.col("tag"), F.col("classes"))
     )
 
@@ -110,7 +118,7 @@ def card_fields(shredded: DataFrame, cards: DataFrame | None = None) -> DataFram
         ((F.col("tag").isin(S.CARD_TAGS) & F.col("in_main")) | (F.col("tag") == "article"))
         & F.col("signature").isNotNull()
     )
-    return cards.where(likely_listing_title("title") & likely_href("href", "url")).select(
+    return cards.where(likely_listing_title("title") & likely_href("href", "base", resolved_url)).select(
         "page_id", "node_id", "signature", "tag", "class", "title", "href", "has_date",
         ((F.col("summary") != "") & ~blocked_copy(clean_text("summary"))).alias("has_summary"), "has_image",
     )
@@ -162,8 +170,8 @@ def pattern_validation(cards: DataFrame, patterns: DataFrame) -> DataFrame:
         .otherwise(F.col("tag").isin("div", "section") & loose)
     )
     valid = (
-        let(clean_text("rule_title"), likely_listing_title)
-        & likely_href("rule_href", "url")
+        likely_listing_title(clean_text("rule_title"))
+        & likely_href("rule_href", "base", resolved_url)
         & ~((F.col("rule_summary") != "") & blocked_copy(clean_text("rule_summary")))
         & ((F.col("rule_summary") != "") | (F.col("rule_date") != ""))
     )
@@ -193,14 +201,14 @@ RULE = "url_hash STRING, schema_id BIGINT, version INT, within STRING, item_tags
 _MATCH = """(within IS NULL OR contains(concat(n.path, '/'), concat('/', within, '/')))
     AND (item_tags IS NULL OR array_contains(item_tags, n.tag))
     AND (item_class IS NULL OR contains(concat(' ', n.attrs['class'], ' '), concat(' ', item_class, ' ')))"""
-_HAS = f"exists(slice(nodes, n.id + 1, n.end - n.id), y -> {LINKED}) AND (NOT needs_heading OR exists(slice(nodes, n.id + 1, n.end - n.id), y -> y.tag IN {HEADINGS}))"
-EXTRACT = f"""transform(filter(nodes, n -> n.tag <> '#text' AND coalesce({_MATCH}, false) AND {_HAS}),
-    n -> element_at(transform(array(slice(nodes, n.id + 1, n.end - n.id)), d -> named_struct(
+_HAS = f"exists(d, y -> {LINKED}) AND (NOT needs_heading OR exists(d, y -> y.tag IN {HEADINGS}))"
+EXTRACT = f"""filter(transform(filter(nodes, n -> n.tag <> '#text' AND coalesce({_MATCH}, false)),
+    n -> element_at(transform(array({below('n')}), d -> CASE WHEN {_HAS} THEN named_struct(
         'title', coalesce({_text(_first("array_contains(title_tags, y.tag) AND (y.tag <> 'a' OR y.attrs['href'] IS NOT NULL)"))}, ''),
         'href', coalesce(trim({_first(LINKED)}.attrs['href']), ''),
         'summary', coalesce({_text(_first("y.tag = 'p'"))}, ''),
         'image', coalesce(trim({_first("y.tag = 'img'")}.attrs['src']), ''),
-        'date', coalesce(trim({_text(_first("y.tag = 'time'"))}), ''))), 1))"""
+        'date', coalesce(trim({_text(_first("y.tag = 'time'"))}), '')) END), 1)), x -> x IS NOT NULL)"""
 
 
 def _items_of_page(extracted: Column, url: Column) -> Column:
