@@ -6,19 +6,23 @@ within the row: the job has no shuffle. ``items`` arrays hold :data:`ITEM` struc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from feedweir import settings as S
-from feedweir.functions.core import blank_to_null, let, sha256_ci
+from feedweir.functions.core import blank_to_null, col, let, sha256_ci
 from feedweir.functions.images import feed_image_or_null
 from feedweir.functions.text import clean_summary, clean_text, parse_date, strip_tags, truncate_text
-from feedweir.functions.urls import absolute_url, canonical_url, trim_ascii, url_hash
+from feedweir.functions.urls import BLANKS, canonical_url, resolved_url, trim_ascii, url_hash
 from feedweir.operators.partitioning import top_per_key
 from feedweir.session import stage
 from feedweir.sources.html import shred_pages
 
 ITEM = "struct<url:string,title:string,external_id:string,summary:string,image_url:string,published_at:timestamp>"
+FIELDS = ("url", "title", "external_id", "summary", "image_url", "published_at")
 
 _RSS_ITEM = (
     "STRUCT<title: STRING, link: STRING, description: STRING, guid: STRING, pubDate: STRING, `content:encoded`: STRING, "
@@ -40,7 +44,7 @@ ROOT = r"^(?:\s+|<\?[^>]*\?>|<!--(?:[^-]|-(?!->))*-->|<!DOCTYPE[^>\[]*>|\x{FEFF}
 
 def payload_kind(body: Column | str, content_type: Column | None = None) -> Column:
     """json_feed, rss, atom or html by inspecting the payload, null for anything else."""
-    text = trim_ascii(body)
+    text = F.ltrim(col(body), F.lit(BLANKS))  # what follows the payload decides nothing
 
     def decide(t: Column) -> Column:
         root = F.lower(F.regexp_extract(t, ROOT, 1))
@@ -65,9 +69,9 @@ def kind_confidence(kind: Column) -> Column:
 
 
 def first_image(html: Column, base: Column) -> Column:
-    """First ``<img src>`` of an HTML fragment, resolved and filtered."""
+    """First ``<img src>`` of an HTML fragment, resolved against the canonical ``base`` and filtered."""
     src = trim_ascii(F.regexp_extract(html, r"""(?is)<img\b[^>]*?\ssrc\s*=\s*["']?([^"'\s>]+)""", 1))
-    return let(src, lambda s: F.when(s != "", let(absolute_url(s, base), feed_image_or_null)))
+    return let(src, lambda s: F.when(s != "", let(resolved_url(s, base), feed_image_or_null)))
 
 
 def _first_text(values: Column) -> Column:
@@ -91,7 +95,7 @@ def rss_image(i: Column, base: Column) -> Column:
         )
     )
     body = F.when(content != "", content).otherwise(F.coalesce(i["description"], F.lit("")))
-    return let(media, lambda m: F.when(m.isNotNull(), absolute_url(m, base)).otherwise(first_image(body, base)))
+    return let(media, lambda m: F.when(m.isNotNull(), resolved_url(m, base)).otherwise(first_image(body, base)))
 
 
 def atom_image(e: Column, base: Column) -> Column:
@@ -102,7 +106,7 @@ def atom_image(e: Column, base: Column) -> Column:
         )
     )
     body = F.coalesce(e["content"], e["summary"], F.lit(""))
-    return let(link, lambda m: F.when(m.isNotNull(), absolute_url(m, base)).otherwise(first_image(body, base)))
+    return let(link, lambda m: F.when(m.isNotNull(), resolved_url(m, base)).otherwise(first_image(body, base)))
 
 
 def json_image(i: Column, base: Column) -> Column:
@@ -115,25 +119,30 @@ def json_image(i: Column, base: Column) -> Column:
     direct = F.coalesce(blank_to_null(trim_ascii(F.coalesce(i["image"], i["banner_image"]))), attached)
     return let(
         direct,
-        lambda m: F.when(m.isNotNull(), absolute_url(m, base)).otherwise(
+        lambda m: F.when(m.isNotNull(), resolved_url(m, base)).otherwise(
             first_image(F.coalesce(i["content_html"], F.lit("")), base)
         ),
     )
 
 
-def rss_items(body: Column, base: Column) -> Column:
+def _item(fields: Sequence[str], **values: Column) -> Column:
+    return F.struct(*[values[name].alias(name) for name in fields])
+
+
+def rss_items(body: Column, base: Column, fields: Sequence[str] = FIELDS) -> Column:
     xml = F.from_xml(body, RSS_SCHEMA)
 
     def item(i: Column) -> Column:
         description = F.coalesce(i["description"], F.lit(""))
         content = trim_ascii(F.coalesce(i["content:encoded"], F.lit("")))
-        return F.struct(
-            F.when(trim_ascii(i["link"]) != "", absolute_url(i["link"], base)).alias("url"),
-            clean_text(F.coalesce(i["title"], F.lit(""))).alias("title"),
-            blank_to_null(trim_ascii(i["guid"])).alias("external_id"),
-            blank_to_null(clean_summary(F.when(description != "", description).otherwise(content))).alias("summary"),
-            rss_image(i, base).alias("image_url"),
-            parse_date(i["pubDate"]).alias("published_at"),
+        return _item(
+            fields,
+            url=F.when(trim_ascii(i["link"]) != "", resolved_url(i["link"], base)),
+            title=clean_text(F.coalesce(i["title"], F.lit(""))),
+            external_id=blank_to_null(trim_ascii(i["guid"])),
+            summary=blank_to_null(clean_summary(F.when(description != "", description).otherwise(content))),
+            image_url=rss_image(i, base),
+            published_at=parse_date(i["pubDate"]),
         )
 
     return let(
@@ -141,7 +150,7 @@ def rss_items(body: Column, base: Column) -> Column:
     )
 
 
-def atom_items(body: Column, base: Column) -> Column:
+def atom_items(body: Column, base: Column, fields: Sequence[str] = FIELDS) -> Column:
     xml = F.from_xml(body, ATOM_SCHEMA)
 
     def item(e: Column) -> Column:
@@ -150,19 +159,20 @@ def atom_items(body: Column, base: Column) -> Column:
         href = F.coalesce(
             F.try_element_at(alternate, F.lit(1))["_href"], F.try_element_at(linked, F.lit(1))["_href"]
         )
-        return F.struct(
-            F.when(href.isNotNull(), absolute_url(href, base)).alias("url"),
-            clean_text(F.coalesce(e["title"], F.lit(""))).alias("title"),
-            blank_to_null(trim_ascii(e["id"])).alias("external_id"),
-            blank_to_null(clean_summary(F.coalesce(e["summary"], e["content"], F.lit("")))).alias("summary"),
-            atom_image(e, base).alias("image_url"),
-            parse_date(F.coalesce(e["published"], e["updated"])).alias("published_at"),
+        return _item(
+            fields,
+            url=F.when(href.isNotNull(), resolved_url(href, base)),
+            title=clean_text(F.coalesce(e["title"], F.lit(""))),
+            external_id=blank_to_null(trim_ascii(e["id"])),
+            summary=blank_to_null(clean_summary(F.coalesce(e["summary"], e["content"], F.lit("")))),
+            image_url=atom_image(e, base),
+            published_at=parse_date(F.coalesce(e["published"], e["updated"])),
         )
 
     return F.transform(xml["entry"], item)
 
 
-def json_items(body: Column, base: Column) -> Column:
+def json_items(body: Column, base: Column, fields: Sequence[str] = FIELDS) -> Column:
     feed = F.from_json(body, JSON_SCHEMA)
 
     def item(i: Column) -> Column:
@@ -172,13 +182,14 @@ def json_items(body: Column, base: Column) -> Column:
         title = F.coalesce(F.when(trim_ascii(i["title"]) != "", i["title"]), fallback)
         link = F.coalesce(i["url"], i["external_url"])
         summary = F.coalesce(i["summary"], i["content_text"], i["content_html"])
-        return F.struct(
-            F.when(trim_ascii(link) != "", absolute_url(link, base)).alias("url"),
-            trim_ascii(title).alias("title"),
-            blank_to_null(trim_ascii(i["id"])).alias("external_id"),
-            F.when(trim_ascii(summary) != "", clean_summary(summary)).alias("summary"),
-            json_image(i, base).alias("image_url"),
-            parse_date(F.coalesce(i["date_published"], i["date_modified"])).alias("published_at"),
+        return _item(
+            fields,
+            url=F.when(trim_ascii(link) != "", resolved_url(link, base)),
+            title=trim_ascii(title),
+            external_id=blank_to_null(trim_ascii(i["id"])),
+            summary=F.when(trim_ascii(summary) != "", clean_summary(summary)),
+            image_url=json_image(i, base),
+            published_at=parse_date(F.coalesce(i["date_published"], i["date_modified"])),
         )
 
     return F.transform(feed["items"], item)
@@ -204,25 +215,31 @@ def cap_items(items: Column, limit: int = S.PARSE_MAX_ITEMS) -> Column:
     return F.slice(items, 1, limit)
 
 
-def parsed(payloads: DataFrame, kinds: list[str] | None = None, cap: bool = False, dedupe: bool = True) -> DataFrame:
+def parsed(
+    payloads: DataFrame, kinds: list[str] | None = None, cap: bool = False, dedupe: bool = True, fields: Sequence[str] = FIELDS
+) -> DataFrame:
     """Add ``parsed_as`` and the ``items`` array of every payload.
 
+    ``fields``: what a caller needs of an item, ``url`` and ``title`` among it; the engine does not leave out unread fields of an array.
+
     A payload has one root, so at most one of the parsers can yield items whatever order they are tried in; looking at
     the root first gives the same answer as trying them one after the other.
     """
     kinds = kinds or S.FEED_TYPES
-    base = F.col("final_url")
-    items = F.lit(None).cast(f"array<{ITEM}>")
+    base = F.col("_base")
+    kept = StructType([f for name in fields for f in StructType.fromDDL(ITEM[7:-1]) if f.name == name])
+    item = ArrayType(kept)
+    items = F.lit(None).cast(item)
     for kind in kinds:
-        found = usable(PARSERS[kind](F.col("body"), base))
+        found = usable(PARSERS[kind](F.col("body"), base, fields))
         found = dedupe_items(found) if dedupe else found
         found = cap_items(found) if cap else found
-        items = F.when(F.col("_kind") == kind, found.cast(f"array<{ITEM}>")).otherwise(items)
+        items = F.when(F.col("_kind") == kind, found.cast(item)).otherwise(items)
     return (
-        payloads.withColumn("_kind", payload_kind("body"))
-        .withColumn("items", F.coalesce(items, F.array().cast(f"array<{ITEM}>")))
+        payloads.withColumns({"_kind": payload_kind("body"), "_base": canonical_url("final_url")})
+        .withColumn("items", F.coalesce(items, F.array().cast(item)))
         .withColumn("parsed_as", F.when(F.size("items") > 0, F.col("_kind")))
-        .drop("_kind", "body")
+        .drop("_kind", "_base", "body")
     )
 
 
@@ -297,12 +314,12 @@ def cap_item_rows(items: DataFrame, limit: int = S.PARSE_MAX_ITEMS) -> DataFrame
     return top_per_key(items, ["payload_id"], [F.col("pos").asc()], limit).drop("rn")
 
 
-def fallback_candidate_items(payloads: DataFrame, candidates: DataFrame) -> DataFrame:
+def fallback_candidate_items(payloads: DataFrame, candidates: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """For payloads without items: items of the first alternative feed that yields some.
 
-    ``candidates`` holds payload_id, rank, url and type; alternatives are looked up in the payload table by URL.
+    ``candidates`` holds payload_id, rank, url and type; alternatives are looked up in the payload table by URL. ``fields`` as for :func:`parsed`.
     """
-    own = stage(parsed(payloads).select("payload_id", "final_url", "items"), "parsed")
+    own = stage(parsed(payloads, fields=fields).select("payload_id", "final_url", "items"), "parsed")
     empty = own.where(F.size("items") == 0).select("payload_id")
     feeds = own.where(F.size("items") > 0).select(url_hash("final_url").alias("_hash"), F.col("final_url").alias("candidate_url"), "items")
     wanted = candidates.where(F.col("type").isin(S.FEED_TYPES)).join(empty, "payload_id", "left_semi").withColumn(
@@ -316,7 +333,7 @@ def fallback_candidate_items(payloads: DataFrame, candidates: DataFrame) -> Data
 
 def parse_outcomes(payloads: DataFrame) -> DataFrame:
     n = F.size("items").cast("bigint")
-    return parsed(payloads).select(
+    return parsed(payloads, fields=("url", "title")).select(
         "payload_id",
         "source_id",
         n.alias("parsed_count"),

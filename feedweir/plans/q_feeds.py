@@ -98,7 +98,7 @@ def parse_with_fallback_order(v):
 
 @query("feed_item_images", f"WITH {RAW} SELECT payload_id, pos, image_url FROM items")
 def feed_item_images(v):
-    return feeds.item_rows(feeds.parsed(corpus(v), cap=False)).select("payload_id", "pos", "image_url")
+    return feeds.item_rows(feeds.parsed(corpus(v), cap=False, fields=("url", "title", "image_url"))).select("payload_id", "pos", "image_url")
 
 
 def raw_items(v):
@@ -143,7 +143,7 @@ def fallback_candidate_items(v):
         F.concat(F.lit("https://feed.example.org/p/"), (F.col("payload_id") - F.col("rank")).cast("string")).alias("url"),
         F.when((F.col("rank") == 1) & (F.col("payload_id") % 3 == 0), "html").otherwise("rss").alias("type"),
     )
-    return feeds.fallback_candidate_items(corpus(v), candidates).select("payload_id", "candidate_url", "pos", "url", "title")
+    return feeds.fallback_candidate_items(corpus(v), candidates, ("url", "title")).select("payload_id", "candidate_url", "pos", "url", "title")
 
 
 @query(
