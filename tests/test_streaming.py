@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from feedweir.operators.crawl import domain_rate_window
 from feedweir.operators.health import health_scores, health_states
-from feedweir.streaming import jobs
+from feedweir.streaming import jobs, state
 
 FILES = 8
 
@@ -161,6 +163,87 @@ def test_timers_fire_while_the_stream_goes_on(spark, tmp_path):
     assert set(told) == {1, 3} and told[1] < told[3] < 4
 
 
+class Store:
+    """A state store in memory that counts how often it is asked."""
+
+    def __init__(self):
+        self.calls, self.rows, self.value, self.timers = 0, [], None, []
+
+    def getListState(self, name, schema):
+        return Cell(self, "rows")
+
+    def getValueState(self, name, schema):
+        return Cell(self, "value")
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class Cell:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def _held(self):
+        self.store.calls += 1
+        return getattr(self.store, self.name)
+
+    def _put(self, held):
+        self.store.calls += 1
+        setattr(self.store, self.name, held)
+
+    def get(self):
+        return self._held()
+
+    def exists(self):
+        return self._held() is not None
+
+    def appendList(self, rows):
+        self._put(self.store.rows + rows)
+
+    put = update = _put
+
+    def clear(self):
+        self._put([] if self.name == "rows" else None)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_keys_that_share_a_state_ask_the_store_together():
+    """The rows are those of a state of their own, at each clock; the store is asked a few times for all of them."""
+    draw, second = random.Random(3), jobs.MICROS
+    events = [(k, draw.randrange(0, 1000) * second, draw.choice(["queued", "fetching", "ready"])) for k in range(100) for _ in range(draw.randint(1, 3))]
+    draw.shuffle(events)
+    batches = [events[:90], events[90:]]
+
+    def run(make, group):
+        stores, told = {}, []
+        for i, batch in enumerate(batches):
+            clock, work = Clock(400_000 + 700_000 * i), {}
+            for k, at, status in batch:
+                work.setdefault(group(k), []).append((at, json.dumps({"key": k, "status": status})))
+            for g in {**dict.fromkeys(stores), **work}:
+                fold = make(jobs._Watch(180 * second), ["key", "status", "pending_since", "timed_out"])
+                fold.init(stores.setdefault(g, Store()))
+                if g in work:
+                    fold.handleInputRows((g,), iter([pd.DataFrame(work[g], columns=["at", "event"])]), clock)
+                due, fold.handle.timers = [t for t in fold.handle.timers if t <= clock.ms], [t for t in fold.handle.timers if t > clock.ms]
+                for _ in due:
+                    told += [(i, *r) for frame in fold.handleExpiredTimer((g,), clock, None) for r in frame.itertuples(index=False, name=None)]
+        return sorted(told), sum(s.calls for s in stores.values())
+
+    alone, calls = run(state._Processor, lambda k: k)
+    shared, fewer = run(state._Together, lambda k: k // 128)
+    assert shared == alone and len(alone) > 20 and {i for i, *_ in alone} == {0, 1}
+    assert fewer < 40 < 400 < calls
+
+
 def test_no_event_is_lost_however_late(spark, tmp_path):
     """A failure that comes days late is counted when it comes: after what was folded before, before what still waited."""
     event = lambda d, ok: (1, d, "success" if ok else "failed", None if ok else "http_5xx", 200 if ok else 500, dt.datetime(2024, 1, d))
