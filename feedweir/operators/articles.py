@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweir import settings as S
-from feedweir.functions.core import blank_to_null, col, contains_any
+from feedweir.functions.core import blank_to_null, col, contains_any, let
 from feedweir.functions.images import acceptable_image
 from feedweir.functions.text import (
     clean_text,
@@ -17,7 +17,7 @@ from feedweir.functions.text import (
     truncate_text,
 )
 from feedweir.functions.urls import canonical_url, is_http_url, trim_ascii, url_hash
-from feedweir.operators.partitioning import id_chunk, number_rows, top_per_key
+from feedweir.operators.partitioning import id_chunk, number_rows, spread, top_per_key
 
 
 def normalize_articles(items: DataFrame) -> DataFrame:
@@ -241,20 +241,23 @@ PREVIEW_SCHEMA = "array<struct<title:string,url:string,summary:string,image_url:
 
 
 def sanitize_preview(generations: DataFrame) -> DataFrame:
-    """Stored preview JSON → one clean row per item."""
-    items = generations.select(
+    """Stored preview JSON → one clean row per item. Generations lie in few splits, so they are dealt out before the work on their items."""
+    items = spread(generations.select("id", "preview_items"), "id").select(
         F.col("id").alias("generation_id"),
         F.posexplode(F.from_json("preview_items", PREVIEW_SCHEMA)).alias("pos", "item"),
     )
-    normalized = canonical_url(F.coalesce("item.url", F.lit("")))
-    url = F.when(is_http_url(normalized), normalized).otherwise(F.coalesce("item.url", F.lit("")))
+    given = F.coalesce("item.url", F.lit(""))
+    url = let(
+        F.struct(given.alias("given"), canonical_url(given).alias("normal")),
+        lambda x: F.when(is_http_url(x["normal"]), x["normal"]).otherwise(x["given"]),
+    )
     return items.select(
         "generation_id",
         "pos",
         truncate_text(
             F.coalesce(blank_to_null(clean_text("item.title")), F.lit(S.PREVIEW_DEFAULT_TITLE)), S.TITLE_LIMIT
         ).alias("title"),
-        F.when(trim_ascii(url) != "", url).otherwise(F.lit("#")).alias("url"),
+        let(url, lambda u: F.when(trim_ascii(u) != "", u).otherwise(F.lit("#"))).alias("url"),
         nullable_summary("item.summary").alias("summary"),
         blank_to_null(trim_ascii(F.coalesce("item.image_url", "item.image"))).alias("image_url"),
         parse_date("item.published_at").alias("published_at"),

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from feedweir.operators import listings, pages
+from feedweir.operators import articles, listings, pages
 from feedweir.sources.html import _PLAIN, _Shredder, shred_page
 
 PARTS = """<p>|</p>|<br/>|<br>|<a href="x&amp;y">|<a HREF="q" href="r">|</a>|text|a &amp; b|&lt|&|<|< |<!-- c -->|<!-- |<script>|</script>|if (a<b)|<title>
@@ -37,3 +37,15 @@ def test_a_listing_needs_no_full_parser():
 def test_no_subtree_is_cut_out_of_the_whole_array(sql):
     """``slice`` unpacks all nodes of a page for every element of it."""
     assert "slice(nodes" not in sql and not re.search(r"filter\(nodes.*filter\(nodes", sql, re.S)
+
+
+def test_previews_of_one_split_are_worked_on_by_many_tasks(spark):
+    """An item's address is made canonical once, not wherever its result is used."""
+    preview = """[{"title": "a", "url": "HTTP://E.org//x/?utm_source=a"}, {"title": "", "url": "", "image": " i "}, {"url": " not a url "}, {"title": null}]"""
+    rows = spark.createDataFrame([(i, preview if i else None) for i in range(200)], "id long, preview_items string").coalesce(1)
+    clean = articles.sanitize_preview(rows)
+    assert {r[0] for r in clean.selectExpr("spark_partition_id()").distinct().collect()} == set(range(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    got = clean.where("generation_id = 7").orderBy("pos").select("title", "url", "image_url").collect()
+    assert [tuple(r) for r in got[:2]] == [("a", "http://e.org/x", None), ("Untitled", "#", "i")] and got[3].url == "#"
+    assert clean.count() == 199 * 4
+    assert clean._jdf.queryExecution().optimizedPlan().toString().count("utm_") == 1
