@@ -6,6 +6,7 @@ import re
 import pytest
 
 from feedweir.operators import articles, listings, pages
+from feedweir.plans import bound
 from feedweir.sources.html import _PLAIN, _Shredder, shred_page
 
 PARTS = """<p>|</p>|<br/>|<br>|<a href="x&amp;y">|<a HREF="q" href="r">|</a>|text|a &amp; b|&lt|&|<|< |<!-- c -->|<!-- |<script>|</script>|if (a<b)|<title>
@@ -49,3 +50,9 @@ def test_previews_of_one_split_are_worked_on_by_many_tasks(spark):
     assert [tuple(r) for r in got[:2]] == [("a", "http://e.org/x", None), ("Untitled", "#", "i")] and got[3].url == "#"
     assert clean.count() == 199 * 4
     assert clean._jdf.queryExecution().optimizedPlan().toString().count("utm_") == 1
+
+
+def test_patterns_are_detected_once(spark, sf_dir):
+    """The rule's check reads them twice."""
+    plan = bound("pattern_validation")(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1
