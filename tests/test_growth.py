@@ -7,7 +7,7 @@ import pytest
 
 from feedweir.operators import articles, listings, pages
 from feedweir.plans import bound
-from feedweir.sources.html import _PLAIN, _Shredder, shred_page
+from feedweir.sources.html import _PLAIN, _Shredder, shred_page, shred_pages
 
 PARTS = """<p>|</p>|<br/>|<br>|<a href="x&amp;y">|<a HREF="q" href="r">|</a>|text|a &amp; b|&lt|&|<|< |<!-- c -->|<!-- |<script>|</script>|if (a<b)|<title>
 |</title>|<li>|<ul>|</ul>|<div class="a b">|</div>|<i id='x'>|<img src=a/>|<img src="a"/>|<td>|</ p>|</p >|"|<a b="1"c="2">|\x00|<![CDATA[x]]>|<?pi?>|&#x41;
@@ -52,6 +52,18 @@ def test_previews_of_one_split_are_worked_on_by_many_tasks(spark):
     assert clean._jdf.queryExecution().optimizedPlan().toString().count("utm_") == 1
 
 
+def test_places_of_images_search_the_few_nodes_that_may_name_one(spark):
+    html = '<article><p>text</p><img data-src="/lazy.png"></article><main><img src="/a/late.png"></main><meta name="twitter:image" content="/card.png">'
+    found = pages.page_images(pages_of(spark, html))
+    assert len(re.findall(r"filter\(nodes#\d+", found._jdf.queryExecution().analyzed().toString())) == 1
+    assert found.first()["image_url"] == "https://e.org/card.png"
+    assert pages.page_images(pages_of(spark, html.split("<meta")[0])).first()["image_url"] == "https://e.org/lazy.png"
+
+
+def pages_of(spark, html):
+    return shred_pages(spark.createDataFrame([(1, "https://e.org/x", html)], "page_id long, url string, html string"))
+
+
 def test_patterns_are_detected_once(spark, sf_dir):
     """The rule's check reads them twice."""
     plan = bound("pattern_validation")(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
