@@ -120,3 +120,29 @@ def test_page_sql_decodes_references_cut_before_the_semicolon(spark, tmp_path):
     for name in ("page_nodes", "page_titles", "article_bodies"):
         _, error = compare(duck, spark, str(tmp_path), bound(name), oracles()[name])
         assert error is None, error
+
+
+def test_page_metadata_describes_the_crawled_pages(spark, tmp_path):
+    """The query leaves no description of a crawled page out, and its SQL states them."""
+    from oracle_harness import compare
+
+    import duckdb
+
+    from feedweir.plans import bound, oracles
+
+    page = "<!DOCTYPE html><html><head><title>A title of this page</title></head><body><article><h1>A heading</h1>{}</article></body></html>"
+    bodies = [
+        f"<p>Short.</p><p>{LONG}</p><p>{'Later lines. ' * 20}</p>", f"<p><b>Open {'line and &amp;copy; line, ' * 30}<br><p>{LONG}</p>",
+        f"<p>Learn more about {LONG}</p><p>{LONG}</p>", "<p>" + "x " * 40 + " \n </p><p>Too short.</p>", "", f"<p>{LONG}",
+    ]
+    frame(spark, *[(f"https://example.org/{i}", page.format(b)) for i, b in enumerate(bodies)]).toPandas().to_parquet(tmp_path / "pages.parquet")
+    docs = [(3, "The first line of a text of the list.\nThe second line of it.", "en", "src0"), (4, "One line of another text, and more.", "en", "src1")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = {r.page_id: r.description for r in bound("page_metadata")(spark, str(tmp_path)).where("kind = 'page'").collect()}
+    assert [got[i] for i in (0, 2, 3, 4, 5)] == [LONG, None, None, None, LONG]
+    assert got[1].startswith("Open line and © line,") and got[1].endswith("...") and len(got[1]) <= 423
+    duck = duckdb.connect()
+    for table in ("pages", "documents"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    _, error = compare(duck, spark, str(tmp_path), bound("page_metadata"), oracles()["page_metadata"])
+    assert error is None, error
