@@ -95,6 +95,50 @@ def test_empty_tables(none, messy):
     assert search.top_k(none, queries).count() == 0 and search.top_k(messy, queries.limit(0)).count() == 0
 
 
+def test_groups_of_queries_meet_a_shard_exactly(monkeypatch):
+    """Single precision and the score to reach lose no document, however queries are grouped."""
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in draw.zipf(1.3, draw.integers(1, 80)) if x < 4000) for _ in range(700)]
+    texts += texts[:40] + ["only tie"] * 12 + [""]
+    index = search._index((pa.scalar(0, pa.int32()),), pa.table({"doc_id": pa.array(range(len(texts))), "text": texts})).to_pylist()[0]
+    shard = search.Shard(index, index["n_words"] / index["n_docs"])
+    assert 0 < len(shard.rows) < len(shard.terms)
+    size = np.diff(shard.starts)
+    picked = [np.unique(draw.integers(0, len(size), draw.integers(0, 200))) for _ in range(300)] + [np.arange(len(size))]
+    weights = [draw.integers(1, 4, len(p)) * np.log1p((len(texts) - size[p] + 0.5) / (size[p] + 0.5)) for p in picked]
+    rows = pa.table({
+        "query_id": pa.array(range(500, 500 + len(picked))), "weight": pa.array([w.tolist() for w in weights], pa.list_(pa.float64())),
+        "term": pa.array([[*shard.terms[p].view(np.int64).tolist(), -5] for p in picked], pa.list_(pa.int64())),
+    })
+    rows = rows.set_column(1, "weight", pa.array([[*w.tolist(), 2.5] for w in weights], pa.list_(pa.float64())))
+    asked = search.Queries.of(rows)
+    full = np.zeros((len(size), shard.n))
+    for t in range(len(size)):
+        full[t, shard.docs[shard.starts[t] : shard.starts[t + 1]]] = shard.impact[shard.starts[t] : shard.starts[t + 1]]
+    score = np.array([np.round(w @ full[p], 6) for p, w in zip(picked, weights)])[asked.ids - 500]
+    for k, floors in ((7, np.full(len(picked), -np.inf)), (7, np.sort(score, axis=1)[:, -5]), (1, np.sort(score, axis=1)[:, -1])):
+        want = {q: sorted((-x, shard.ids[d]) for d, x in enumerate(row) if x > 0 and x >= floors[q])[:k] for q, row in enumerate(score)}
+        for group, postings in ((256, 1 << 17), (3, 50)):
+            monkeypatch.setattr(search, "GROUP", group)
+            monkeypatch.setattr(search, "POSTINGS", postings)
+            got = {q: [(-x, d) for d, x in zip(shard.ids[places], found)] for q, places, found in shard.best(asked, floors, k)}
+            assert got == {q: hits for q, hits in want.items() if hits}
+
+
+def test_a_shard_is_searched_by_groups_and_in_few_waves(monkeypatch):
+    """Work per query and shard is what they share, not calls: a group of queries is one product of matrices and few passes over postings."""
+    calls = []
+    whole = search.Shard._of_group
+    monkeypatch.setattr(search.Shard, "_of_group", lambda self, lo, hi, *a: calls.append(hi - lo) or whole(self, lo, hi, *a))
+    index = search._index((pa.scalar(0, pa.int32()),), pa.table({"doc_id": pa.array(range(50)), "text": [f"a b{i}" for i in range(50)]})).to_pylist()[0]
+    shard, n = search.Shard(index, 2.0), 1000
+    terms = pa.array([shard.terms[[i % 50]].view(np.int64).tolist() for i in range(n)], pa.list_(pa.int64()))
+    asked = search.Queries.of(pa.table({"query_id": pa.array(range(n)), "term": terms, "weight": pa.array([[1.0]] * n)}))
+    assert len(list(shard.best(asked, np.full(n, -np.inf), 3))) == n
+    assert sum(calls) == n and len(calls) <= n // 200
+    assert len(search.waves(1000)) <= 7
+
+
 def test_waves_cover_all_shards_once():
     for shards in (1, 3, 4, 5, 9, 64, 1000):
         ranges = search.waves(shards)
