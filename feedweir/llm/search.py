@@ -44,6 +44,8 @@ FREQUENT = 1 / 20
 #: Queries multiplied at once, and postings of rarer words added up at once.
 GROUP = 256
 POSTINGS = 1 << 17
+#: Pairs of a query and a document scored exactly at once.
+EXACT = 4096
 #: Bytes of queries broadcast at once.
 QUERY_BYTES = 32 << 20
 #: Shards searched before a query has a score to reach.
@@ -158,8 +160,8 @@ class Shard:
         #: How far, as a share of it, a sum of products in single precision may be off.
         self.off = (len(often) + 8) * 2.0**-23
 
-    def best(self, asked: Queries, floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the query, places, rounded scores) of the k best documents of each query, of those that score its floor or more."""
+    def best(self, asked: Queries, floors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of queries, places, rounded scores): the k best documents of each query, of those that score its floor or more."""
         at = np.minimum(np.searchsorted(self.terms, asked.words), max(len(self.terms) - 1, 0))
         at[self.terms[at] != asked.words if len(self.terms) else slice(None)] = -1
         sizes = np.diff(self.starts)
@@ -182,37 +184,50 @@ class Shard:
             a = 0
             while a < hi - lo:
                 b = max(a + 1, int(np.searchsorted(postings, postings[a] + POSTINGS, "right")) - 1)
-                yield from self._of_group(lo + a, lo + b, rare, frequent, dense[a:b], floors[lo + a : lo + b], k)
+                yield self._of_group(lo + a, lo + b, rare, frequent, dense[a:b], floors[lo + a : lo + b], k)
                 a = b
 
     def _within(self, least):
         """What a sum of single precision is at least where the score, rounded, is ``least`` or more, and more than nothing."""
         return (np.maximum(least, 1.4 * 10.0**-DIGITS) - 10.0**-DIGITS) / (1 + self.off)
 
-    def _of_group(self, lo: int, hi: int, rare: tuple, frequent: tuple, dense: np.ndarray, floors: np.ndarray, k: int):
+    def _of_group(self, lo: int, hi: int, rare: tuple, frequent: tuple, dense: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = np.searchsorted(rare[0], [lo, hi])
         query, start, size, weight = (x[a:b] for x in rare)
         flat = np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size) if len(size) else np.zeros(0, np.int64)
         flat += np.arange(len(flat))
         cell = np.repeat((query - lo) * self.n, size)
-        cell += self.docs[flat]
-        value = self.impact[flat]
+        cell += self.docs.take(flat, mode="clip")
+        value = self.impact.take(flat, mode="clip")
         value *= np.repeat(weight, size)
         part = np.bincount(cell, value, minlength=(hi - lo) * self.n).reshape(hi - lo, self.n)
         score = part + dense
         hits = np.flatnonzero(score >= self._within(floors)[:, None])
-        hit, start = np.unique(hits // self.n if self.n else hits, return_index=True)
-        for i, places in zip(hit, np.split(hits, start[1:]), strict=True) if len(hit) else ():
-            places = places - i * self.n
-            if len(places) > 4 * k:
-                places = places[score[i, places] >= self._within(np.partition(score[i, places], -k)[-k] * (1 - self.off))]
-            a, b = np.searchsorted(frequent[0], [lo + i, lo + i + 1])
-            impacts = _impact(self.counts[np.ix_(frequent[1][a:b], places)], self.norm[places])
-            exact = np.round(part[i, places] + (impacts * frequent[2][a:b, None]).sum(axis=0), DIGITS)
-            kept = np.flatnonzero((exact > 0) & (exact >= floors[i]))
-            places, exact = places[kept], exact[kept]
-            best = np.lexsort((self.ids[places], self.known[places], -exact))[:k]
-            yield lo + i, places[best], exact[best]
+        part, score = part.ravel()[hits], score.ravel()[hits]
+        query = hits // max(self.n, 1)
+        ends = np.searchsorted(query, np.arange(hi - lo + 1))
+        crowded = np.flatnonzero(np.diff(ends) > 4 * k)
+        if len(crowded):
+            kept = np.ones(len(hits), bool)
+            for i in crowded:
+                these = slice(ends[i], ends[i + 1])
+                kept[these] = score[these] >= self._within(np.partition(score[these], -k)[-k] * (1 - self.off))
+            hits, part, query = hits[kept], part[kept], query[kept]
+        places = hits - query * self.n
+        exact = np.concatenate([np.zeros(0)] + [self._exact(lo + query[i : i + EXACT], places[i : i + EXACT], part[i : i + EXACT], frequent) for i in range(0, len(hits), EXACT)])
+        kept = np.flatnonzero((exact > 0) & (exact >= floors[query]))
+        query, places, exact = query[kept], places[kept], exact[kept]
+        order = np.lexsort((self.ids[places], self.known[places], -exact, query))
+        order = order[np.arange(len(order)) - np.searchsorted(query, query) < k]  # queries are in order before and after
+        return lo + query[order], places[order], exact[order]
+
+    def _exact(self, query: np.ndarray, places: np.ndarray, part: np.ndarray, frequent: tuple) -> np.ndarray:
+        """Rounded scores of pairs of a query and a document, whose rarer words give ``part``."""
+        a, b = np.searchsorted(frequent[0], query), np.searchsorted(frequent[0], query, "right")
+        pair = np.repeat(np.arange(len(query)), b - a)
+        entry = np.arange(len(pair)) + np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a)
+        impacts = _impact(self.counts[frequent[1][entry], places[pair]], self.norm[places[pair]])
+        return np.round(part + np.bincount(pair, impacts * frequent[2][entry], minlength=len(query)), DIGITS)
 
 
 def _impact(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -227,8 +242,8 @@ def _search(block, floors, mean_length: float, k: int):
                 # one shard at a time, its arrays are views of the batch
                 shard = Shard({c: batch.column(c)[i].as_buffer() for c in _ARRAYS}, mean_length)
                 found = [
-                    (np.full(len(places), asked.ids[q]), shard.ids[places], shard.known[places] == 0, score)
-                    for q, places, score in shard.best(asked, floors.value, k)
+                    (asked.ids[query], shard.ids[places], shard.known[places] == 0, score)
+                    for query, places, score in shard.best(asked, floors.value, k)
                 ]
                 q, ids, null, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0)] * 4
                 yield pa.RecordBatch.from_arrays(
